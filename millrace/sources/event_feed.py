@@ -7,7 +7,7 @@ and some are delivered twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import storage
@@ -18,80 +18,62 @@ FEED_TYPES = {"click": "edit", "signup": "new", "view": "categorize", "error": "
 LOG_ACTIONS = ("block", "move", "delete")
 CUT_EVERY, KEYLESS_EVERY, TWICE_EVERY, UNDECODABLE_EVERY = 89, 97, 50, 101
 
-
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 0
-
-
-def event_type() -> Column:
-    """The feed's type of an ``events`` row."""
-    pairs = [F.lit(part) for pair in FEED_TYPES.items() for part in pair]
-    return F.create_map(*pairs)[F.col("event_type")]
+_KIND = "CASE event_type " + " ".join(f"WHEN '{event}' THEN '{kind}'" for event, kind in FEED_TYPES.items()) + " END"
+_ACTION = "CASE event_id % 3 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LOG_ACTIONS)) + " END"
+# A member whose value is NULL is left out of the text.
+_DOCUMENT = f"""
+to_json(named_struct(
+  'id', CASE WHEN event_id % {KEYLESS_EVERY} <> 0 THEN event_id END,
+  'namespace', event_id % 16,
+  'type', kind,
+  'title', concat('Page ', user_id),
+  'comment', CASE event_id % 4
+    WHEN 0 THEN concat('[[:Category:C', user_id, ']] added to category')
+    WHEN 1 THEN concat('[[:Category:C', user_id, ']] removed from category')
+    WHEN 2 THEN 'Added nothing' END,
+  'user', concat('u', user_id),
+  'bot', user_id % 3 = 0,
+  'minor', event_id % 2 = 0,
+  'revision', named_struct(
+    'new', event_id * 10 + user_id,
+    'old', CASE WHEN kind <> 'new' THEN event_id * 10 END),
+  'length', named_struct(
+    'new', event_id % 5000,
+    'old', CASE WHEN kind <> 'new' THEN event_id * 7 % 5000 END),
+  'meta', named_struct(
+    'uri', concat('https://', domain, '/', event_id),
+    'domain', domain,
+    'dt', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+  'patrolled', CASE WHEN kind IN ('edit', 'new') THEN event_id % 5 = 0 END,
+  'log_type', CASE WHEN kind = 'log' THEN {_ACTION} END,
+  'log_action', CASE WHEN kind = 'log' THEN {_ACTION} END,
+  'log_params', CASE WHEN kind = 'log' THEN named_struct(
+    'duration', 'infinity',
+    'target', concat('T', user_id),
+    'count', named_struct('files', event_id % 9)) END))"""
+_FRAME = f"""
+concat('event: message\\nid: ', event_id, '\\ndata: ',
+  CASE WHEN event_id % {CUT_EVERY} = 0 THEN left(json, length(json) - 1) ELSE json END)"""
+_COPIES = f"CASE WHEN event_id % {TWICE_EVERY} = 0 THEN 2 ELSE 1 END"
 
 
 def documents(events: DataFrame) -> DataFrame:
     """The intact JSON documents: ``event_id``, ``ts``, ``event_type`` and ``json``."""
-    kind, is_new, is_log = F.col("kind"), F.col("kind") == "new", F.col("kind") == "log"
-    event_id, user_id = F.col("event_id"), F.col("user_id")
-    domain = F.concat(F.lit("d"), user_id % 7, F.lit(".example.org"))
-    link = F.concat(F.lit("[[:Category:C"), user_id, F.lit("]]"))
-    action = F.when(is_log, F.element_at(F.array(*[F.lit(a) for a in LOG_ACTIONS]), (event_id % 3 + 1).cast("int")))
-    comment = (
-        F.when(event_id % 4 == 0, F.concat(link, F.lit(" added to category")))
-        .when(event_id % 4 == 1, F.concat(link, F.lit(" removed from category")))
-        .when(event_id % 4 == 2, F.lit("Added nothing"))
-    )
-    document = F.struct(
-        F.when(~_every(KEYLESS_EVERY), event_id).alias("id"),
-        (event_id % 16).alias("namespace"),
-        kind.alias("type"),
-        F.concat(F.lit("Page "), user_id).alias("title"),
-        comment.alias("comment"),
-        F.concat(F.lit("u"), user_id).alias("user"),
-        (user_id % 3 == 0).alias("bot"),
-        (event_id % 2 == 0).alias("minor"),
-        F.struct(
-            (event_id * 10 + user_id).alias("new"),
-            F.when(~is_new, event_id * 10).alias("old"),
-        ).alias("revision"),
-        F.struct(
-            (event_id % 5000).alias("new"),
-            F.when(~is_new, event_id * 7 % 5000).alias("old"),
-        ).alias("length"),
-        F.struct(
-            F.concat(F.lit("https://"), domain, F.lit("/"), event_id).alias("uri"),
-            domain.alias("domain"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("dt"),
-        ).alias("meta"),
-        F.when(kind.isin("edit", "new"), event_id % 5 == 0).alias("patrolled"),
-        action.alias("log_type"),
-        action.alias("log_action"),
-        F.when(
-            is_log,
-            F.struct(
-                F.lit("infinity").alias("duration"),
-                F.concat(F.lit("T"), user_id).alias("target"),
-                F.struct((event_id % 9).alias("files")).alias("count"),
-            ),
-        ).alias("log_params"),
-    )
-    typed = events.withColumn("kind", event_type())
-    return typed.select("event_id", "ts", "event_type", F.to_json(document).alias("json"))
+    named = events.selectExpr("*", f"{_KIND} AS kind", "concat('d', user_id % 7, '.example.org') AS domain")
+    return named.selectExpr("event_id", "ts", "event_type", f"{_DOCUMENT} AS json")
 
 
 def frames(events: DataFrame) -> DataFrame:
     """The feed's frames with the three defects: ``event_id``, ``ts``, ``event_type``, ``value``."""
-    json = F.when(_every(CUT_EVERY), F.expr("left(json, length(json) - 1)")).otherwise(F.col("json"))
-    frame = F.concat(F.lit("event: message\nid: "), F.col("event_id"), F.lit("\ndata: "), json)
-    copies = F.when(_every(TWICE_EVERY), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    framed = documents(events).select("event_id", "ts", "event_type", frame.alias("value"))
-    return framed.select("*", F.explode(copies)).drop("col")
+    return documents(events).selectExpr(
+        "event_id", "ts", "event_type", f"explode(array_repeat({_FRAME}, {_COPIES})) AS value"
+    )
 
 
 def undecodable(framed: DataFrame) -> DataFrame:
     """The same frames, some of them with two bytes that are not UTF-8 at their end."""
     broken = F.concat(F.encode("value", "UTF-8"), F.unhex(F.lit("FFFE"))).cast("string")
-    return framed.withColumn("value", F.when(_every(UNDECODABLE_EVERY), broken).otherwise(F.col("value")))
+    return framed.withColumn("value", F.when(F.col("event_id") % UNDECODABLE_EVERY == 0, broken).otherwise(F.col("value")))
 
 
 def write_queue(framed: DataFrame, path: str, stamp: int) -> None:

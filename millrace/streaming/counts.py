@@ -25,7 +25,8 @@ def stream_minute_counts(events: DataFrame, keys: Sequence[str], watermark: str
     time, are left out.
     """
     if watermark:
-        events = events.withWatermark("dt", watermark)
+        # Watermarks need a time with a zone.
+        events = events.withColumn("dt", F.col("dt").cast("timestamp")).withWatermark("dt", watermark)
         minute = F.window("dt", "1 minute").alias("__window")
         counted = events.groupBy(minute, *keys).agg(F.count("*").alias("count_actions"))
         return counted.select(*keys, minute_text(F.col("__window.start")).alias("minute"), "count_actions")
@@ -44,9 +45,12 @@ def write_minute_counts(
 
     Replacing a group by its new total gives the same table when a batch is repeated.
     """
+    session = counts.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         upsert_table(batch, table, ["minute", *keys], bucket=DAY_BUCKET, null_safe=True, root=root)
+        # A batch runs in a session of its own; let the caller's see the new files.
+        session.catalog.refreshTable(table)
 
     writer = counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -63,6 +63,7 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def _batch_loader(
+    session: SparkSession,
     topic: Topic,
     checkpoint: str,
     project: Callable[[DataFrame], DataFrame],
@@ -87,6 +88,9 @@ def _batch_loader(
         # Rows sorted by type let readers of one type skip row groups.
         silver_table = f"silver.`{topic.name}`"
         append_load(project(bronze).sortWithinPartitions("type"), silver_table, load_id, root)
+        # A batch runs in a session of its own; let the caller's see the new files.
+        for table in (bronze_table(topic.name), silver_table):
+            session.catalog.refreshTable(table)
         ensure_layer(spark, "gold", root)
         results = run_models(spark, models, {topic.name: spark.table(silver_table).drop("load_id")}, root=root)
         if csv_dir and time.monotonic() - last_export > export_every:
@@ -111,7 +115,7 @@ def _start(
     **source_options: str | int,
 ) -> StreamingQuery:
     frames = read_frames(spark, landing, streaming=True, **source_options)
-    load = _batch_loader(topic, checkpoint, project, models, csv_dir, export_every, report, root)
+    load = _batch_loader(spark, topic, checkpoint, project, models, csv_dir, export_every, report, root)
     writer = frames.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.queryName(f"load {topic.name}").trigger(**trigger).start()
 
