@@ -63,8 +63,8 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.load_events(all_frames(spark, sf_dir), KEYS).select("event")
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.silver_recentchange(bronze(spark, sf_dir))
+def silver(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> DataFrame:
+    return V.silver_recentchange(bronze(spark, sf_dir), only=only)
 
 
 def unique(name: str) -> str:
@@ -99,7 +99,9 @@ def src_sse_frames(spark, sf_dir):
 def src_new_files_since(spark, sf_dir):
     path = scratch_dir(spark, "queue")
     write_part(spark, sf_dir, path, second=False)
-    mark = A.last_file_name(A.new_frames(spark, path))
+    topic = unique("change")
+    B.append_bronze(B.load_events(A.new_frames(spark, path), KEYS), topic, root=warehouse(spark))
+    mark = A.last_file_name(spark.table(B.bronze_table(topic)))
     write_part(spark, sf_dir, path, second=True)
     return A.new_frames(spark, path, mark).select("value")
 
@@ -161,13 +163,11 @@ def multi_topic_load(spark, sf_dir):
 
 
 def json_path_bigint(spark, sf_dir):
-    names = ("id", "revision_new", "revision_old", "length_new", "length_old")
-    return V.project_events(bronze(spark, sf_dir), [c for c in V.CHANGE_COLUMNS if c[0] in names])
+    return silver(spark, sf_dir, ("id", "revision_new", "revision_old", "length_new", "length_old"))
 
 
 def json_path_boolean(spark, sf_dir):
-    names = ("id", "bot", "minor", "patrolled")
-    return V.project_events(bronze(spark, sf_dir), [c for c in V.CHANGE_COLUMNS if c[0] in names])
+    return silver(spark, sf_dir, ("id", "bot", "minor", "patrolled"))
 
 
 def json_path_timestamp(spark, sf_dir):
@@ -277,11 +277,11 @@ def silver_log(spark, sf_dir):
 
 
 def gold_logs_per_domain_and_min(spark, sf_dir):
-    return G.gold_logs_per_domain_and_min(silver(spark, sf_dir))
+    return G.gold_logs_per_domain_and_min(silver(spark, sf_dir, G.LOGS_COLUMNS))
 
 
 def gold_human_vs_bot(spark, sf_dir):
-    return G.gold_human_vs_bot(silver(spark, sf_dir))
+    return G.gold_human_vs_bot(silver(spark, sf_dir, G.HUMAN_VS_BOT_COLUMNS))
 
 
 # Materialization

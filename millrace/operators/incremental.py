@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.operators.bronze import TABLE_OPTIONS, ensure_layer
 from millrace.operators.relational import keyed_anti_join
 from millrace.session import scratch_dir
@@ -84,3 +85,4 @@ def upsert_table(
     result = kept.unionByName(staged.select(kept.columns))
     # A rebalance gives each bucket few files and splits a bucket that is much larger.
     result.hint("rebalance", BUCKET).write.insertInto(table, overwrite=True)
+    storage.delete(spark, staged_path)

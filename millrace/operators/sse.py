@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS = 2**31 - 1
-LINE_END = r"\r\n|\r|\n"
-# Blank lines inside a frame that the file scan does not split at.
-INNER_BLANK_LINE = r"\r\n\r\n|\r\r"
+# Values of the `data` lines of a text: what follows the colon and at most one blank.
+_DATA_LINES = """
+transform(
+  filter(split({text}, '{line_end}'), line -> line = 'data' OR startswith(line, 'data:')),
+  line -> CASE WHEN startswith(line, 'data: ') THEN substr(line, 7) ELSE substr(line, 6) END)"""
+# Frames with carriage returns may hold more line ends, and blank lines that the file
+# scan does not split at; the others, nearly all, are split at line feeds only.
+_EVENTS = rf"""
+CASE WHEN contains(value, '\r')
+  THEN transform(split(value, '\r\n\r\n|\r\r'), text -> {_DATA_LINES.format(text="text", line_end=r"\r\n|\r|\n")})
+  ELSE array({_DATA_LINES.format(text="value", line_end=r"\n")}) END"""
+_PAYLOADS = rf"transform({_EVENTS}, found -> CASE WHEN size(found) > 0 THEN array_join(found, '\n') END)"
 
 
 def split_valid_utf8(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -17,28 +25,12 @@ def split_valid_utf8(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames.where(valid), frames.where(~valid)
 
 
-def _data_lines(text: Column, line_end: str) -> Column:
-    """The values of the ``data`` lines: what follows the colon and at most one blank."""
-    found = F.filter(F.split(text, line_end), lambda line: (line == "data") | F.startswith(line, F.lit("data:")))
-    return F.transform(
-        found,
-        lambda line: F.when(F.startswith(line, F.lit("data: ")), F.substring(line, 7, MAX_CHARS)).otherwise(
-            F.substring(line, 6, MAX_CHARS)
-        ),
-    )
-
-
 def parse_sse(frames: DataFrame) -> DataFrame:
     """One row per event with its payload in ``data``; other columns are kept.
 
     Comments and fields other than ``data`` are dropped, several ``data`` lines are
     joined by line feeds, and events without a ``data`` line yield no row.
     """
-    events = F.when(
-        F.contains("value", F.lit("\r")),
-        F.transform(F.split("value", INNER_BLANK_LINE), lambda text: _data_lines(text, LINE_END)),
-    ).otherwise(F.array(_data_lines(F.col("value"), "\n")))
-    payloads = F.transform(events, lambda found: F.when(F.size(found) > 0, F.array_join(found, "\n")))
     # The generator makes `data` a column of its own: later filters use it without
     # extracting it again.
-    return frames.select("*", F.explode(payloads).alias("data")).drop("value").where(F.col("data").isNotNull())
+    return frames.select("*", F.expr(f"explode({_PAYLOADS}) AS data")).drop("value").where(F.col("data").isNotNull())

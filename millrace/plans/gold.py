@@ -9,6 +9,10 @@ from millrace.functions.text import minute_text
 from millrace.operators.relational import sort_nulls_last
 from millrace.plans.silver import of_type
 
+# The silver columns that each report reads.
+LOGS_COLUMNS = ("type", "domain", "log_action", "dt")
+HUMAN_VS_BOT_COLUMNS = ("type", "bot", "dt")
+
 
 def count_by_minute(df: DataFrame, *keys: str) -> DataFrame:
     """``count_actions`` per minute of ``dt`` and the given keys; NULLs are groups too.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +59,21 @@ LOG_PARAM_PATHS = (
 )
 
 
-def _document_schema(columns: Sequence[tuple[str, str, str]]) -> str:
-    """Schema that reads every path as text (VARIANT for sub-documents)."""
+# JSON types that are read as such; other values are read as text and cast.
+READ_AS = {"bigint": "BIGINT", "boolean": "BOOLEAN", "variant": "VARIANT"}
+# Names that no feed uses: the parsed document, the same as text, and the misfit mark.
+QUICK, CAREFUL, MISFIT = "__quick", "__careful", "__misfit"
+
+
+def _document_schema(columns: Sequence[tuple[str, str, str]], read_as: Mapping[str, str], mark: str = "") -> str:
+    """The nested schema of all paths, each read as the type given for its kind or as text."""
     tree: dict = {}
     for _, path, kind in columns:
         *parents, leaf = path.split(".")
         node = tree
         for parent in parents:
             node = node.setdefault(parent, {})
-        node[leaf] = "VARIANT" if kind == "variant" else "STRING"
+        node[leaf] = read_as.get(kind, "STRING")
 
     def ddl(node: dict) -> str:
         return ", ".join(
@@ -75,12 +81,31 @@ def _document_schema(columns: Sequence[tuple[str, str, str]]) -> str:
             for name, child in node.items()
         )
 
-    return f"STRUCT<{ddl(tree)}>"
+    return f"STRUCT<{ddl(tree)}{f', `{mark}`: STRING' if mark else ''}>"
+
+
+def _at(document: str, path: str) -> Column:
+    return F.col(".".join([document, *[f"`{part}`" for part in path.split(".")]]))
 
 
 def _typed_column(path: str, kind: str, strict: bool) -> Column:
-    value = F.col("__document." + ".".join(f"`{part}`" for part in path.split(".")))
-    return value if kind == "variant" else J.typed(value, kind, strict)
+    if kind in ("string", "variant"):
+        return _at(QUICK, path)
+    if kind not in READ_AS:
+        return J.typed(_at(QUICK, path), kind, strict)
+    careful = J.typed(_at(CAREFUL, path), kind, strict)
+    return F.when(F.col(CAREFUL).isNull(), _at(QUICK, path)).otherwise(careful)
+
+
+def _parsed(bronze: DataFrame, columns: Sequence[tuple[str, str, str]], keep: Sequence[str]) -> DataFrame:
+    """Each event parsed once; only events with a value of another type once more, as text."""
+    marked = _document_schema(columns, READ_AS, MISFIT)
+    document = F.from_json("event", marked, {"columnNameOfCorruptRecord": MISFIT})
+    # The generator makes the document a column of its own: a filter on one of its values
+    # does not parse the event again.
+    parsed = bronze.select("event", *keep, F.explode(F.array(document)).alias(QUICK))
+    as_text = F.from_json("event", _document_schema(columns, {"variant": "VARIANT"}))
+    return parsed.select(*keep, QUICK, F.when(F.col(f"{QUICK}.{MISFIT}").isNotNull(), as_text).alias(CAREFUL))
 
 
 def project_events(
@@ -91,31 +116,35 @@ def project_events(
 ) -> DataFrame:
     """Typed columns ``(name, path, type)`` out of the JSON text in ``event``.
 
-    The text is parsed once per event for all columns. ``keep`` names bronze columns to
-    carry along. Values that do not fit are NULL, or an error with ``strict``.
+    The text is parsed once for all columns. Numbers and booleans are read as such; if a
+    value is of another JSON type, say a number in quotes, the event's values are cast
+    from text. ``keep`` names bronze columns to carry along. Values that do not fit are
+    NULL, or an error with ``strict``.
     """
-    document = F.from_json("event", _document_schema(columns)).alias("__document")
-    parsed = bronze.select(*keep, document)
+    parsed = _parsed(bronze, columns, keep)
     return parsed.select(*keep, *[_typed_column(path, kind, strict).alias(name) for name, path, kind in columns])
 
 
 def cast_rejects(bronze: DataFrame, columns: Sequence[tuple[str, str, str]] = CHANGE_COLUMNS) -> DataFrame:
     """One row: per typed column, how many values did not fit their type."""
     checked = [(name, path, kind) for name, path, kind in columns if kind not in ("string", "variant")]
-    parsed = bronze.select(F.from_json("event", _document_schema(checked)).alias("__document"))
-    return parsed.agg(
-        *[
-            F.count_if(
-                _typed_column(path, "string", False).isNotNull() & _typed_column(path, kind, False).isNull()
-            ).alias(name)
-            for name, path, kind in checked
-        ]
-    )
+    rejects = []
+    for name, path, kind in checked:
+        given = _at(CAREFUL if kind in READ_AS else QUICK, path)
+        rejects.append(F.count_if(given.isNotNull() & J.typed(given, kind).isNull()).alias(name))
+    return _parsed(bronze, checked, ()).agg(*rejects)
 
 
-def silver_recentchange(bronze: DataFrame, keep: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """All change events with typed columns; nothing is filtered or de-duplicated."""
-    return project_events(bronze, CHANGE_COLUMNS, keep, strict)
+def silver_recentchange(
+    bronze: DataFrame, keep: Sequence[str] = (), strict: bool = False, only: Sequence[str] = ()
+) -> DataFrame:
+    """All change events with typed columns; nothing is filtered or de-duplicated.
+
+    ``only`` names the columns to make when the result is not stored, so that no others
+    are parsed.
+    """
+    columns = [column for column in CHANGE_COLUMNS if not only or column[0] in only]
+    return project_events(bronze, columns, keep, strict)
 
 
 def of_type(silver: DataFrame, kind: str) -> DataFrame:

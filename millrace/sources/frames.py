@@ -39,6 +39,10 @@ def new_frames(spark: SparkSession, path: str, last_name: str | None = None) ->
     return frames if last_name is None else frames.where(F.col("_metadata.file_name") > last_name)
 
 
-def last_file_name(frames: DataFrame) -> str | None:
-    """The greatest file name, to be handed to the next ``new_frames``."""
-    return frames.agg(F.max("file_name")).first()[0]
+def last_file_name(loaded: DataFrame) -> str | None:
+    """The greatest file name, to be handed to the next ``new_frames``.
+
+    Meant for a bronze table, where it reads one small column. Files of which no event
+    was kept are not in it; they are scanned again and yield nothing again.
+    """
+    return loaded.agg(F.max("file_name")).first()[0]
