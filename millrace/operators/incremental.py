@@ -49,6 +49,7 @@ def upsert_table(
     buckets: int = 64,
     null_safe: bool = False,
     root: str | None = None,
+    merge_session: SparkSession | None = None,
 ) -> None:
     """Keyed refresh of a stored table that rewrites only the buckets the batch touches.
 
@@ -56,8 +57,11 @@ def upsert_table(
     replacement always share a partition. ``bucket`` is a SQL expression over the keys,
     kept with the table. For keys that grow with time give a range (``id div 10000000``),
     so that a batch touches few buckets; the default hashes the keys into ``buckets``.
+
+    A stream's batch gives its caller's session as ``merge_session``: only writing the
+    batch out runs in the stream's own session, which plans without adaptive execution.
     """
-    spark = batch.sparkSession
+    spark = merge_session or batch.sparkSession
     ensure_layer(spark, table.split(".")[0], root)
     if not spark.catalog.tableExists(table):
         names = ", ".join(f"`{key}`" for key in keys)

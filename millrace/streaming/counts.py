@@ -48,9 +48,9 @@ def write_minute_counts(
     session = counts.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch, table, ["minute", *keys], bucket=DAY_BUCKET, null_safe=True, root=root)
-        # A batch runs in a session of its own; let the caller's see the new files.
-        session.catalog.refreshTable(table)
+        upsert_table(
+            batch, table, ["minute", *keys], bucket=DAY_BUCKET, null_safe=True, root=root, merge_session=session
+        )
 
     writer = counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

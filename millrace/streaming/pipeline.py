@@ -77,22 +77,22 @@ def _batch_loader(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         nonlocal last_export
-        spark = batch.sparkSession
-        load_id = f"{_stream_id(spark, checkpoint)}-{batch_id:012d}"
+        load_id = f"{_stream_id(session, checkpoint)}-{batch_id:012d}"
         counts = load_frames(batch, topic, load_id, root)
         report(topic.name, counts)
         if counts["seen"] == 0:
             return
-        # Silver takes the load just written: the work depends on the batch alone.
-        bronze = spark.table(bronze_table(topic.name)).where(F.col("load_id") == load_id)
+        # From here on the work reads the load just written, so it depends on the batch
+        # alone, and it runs in the caller's session: a stream's own session plans without
+        # adaptive execution, and neither session sees files that the other one wrote
+        # until it is told to look.
+        session.catalog.refreshTable(bronze_table(topic.name))
+        bronze = session.table(bronze_table(topic.name)).where(F.col("load_id") == load_id)
         # Rows sorted by type let readers of one type skip row groups.
         silver_table = f"silver.`{topic.name}`"
         append_load(project(bronze).sortWithinPartitions("type"), silver_table, load_id, root)
-        # A batch runs in a session of its own; let the caller's see the new files.
-        for table in (bronze_table(topic.name), silver_table):
-            session.catalog.refreshTable(table)
-        ensure_layer(spark, "gold", root)
-        results = run_models(spark, models, {topic.name: spark.table(silver_table).drop("load_id")}, root=root)
+        ensure_layer(session, "gold", root)
+        results = run_models(session, models, {topic.name: session.table(silver_table).drop("load_id")}, root=root)
         if csv_dir and time.monotonic() - last_export > export_every:
             last_export = time.monotonic()
             export_csv({name: df for name, df in results.items() if name.startswith("gold.")}, csv_dir)
