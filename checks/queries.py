@@ -24,7 +24,7 @@ from millrace.sources import event_feed as feed
 from millrace.sources import frames as A
 from millrace.streaming import counts as N
 from millrace.streaming.landing import land, with_topic
-from millrace.streaming.pipeline import load_frames, run_continuous, run_once
+from millrace.streaming.pipeline import run_continuous, run_once
 
 KEYS = ["id"]
 # The feed arrives in two parts: what happened before this time, and the rest.
@@ -190,15 +190,17 @@ def json_subdocument(spark, sf_dir):
 
 
 def json_path_json(spark, sf_dir):
-    return silver(spark, sf_dir).select("id", *V.log_param_columns(F.col("log_params")))
+    return silver(spark, sf_dir, ("id", "log_params")).select("id", *V.log_param_columns(F.col("log_params")))
 
 
 def project_rename(spark, sf_dir):
-    return silver(spark, sf_dir).select("id", "title", "domain", F.col("length_new").alias("length"))
+    base = silver(spark, sf_dir, ("id", "title", "domain", "length_new"))
+    return base.select("id", "title", "domain", F.col("length_new").alias("length"))
 
 
 def arith_difference(spark, sf_dir):
-    return silver(spark, sf_dir).select(
+    base = silver(spark, sf_dir, ("id", "revision_new", "revision_old", "length_new", "length_old"))
+    return base.select(
         "id",
         X.difference(F.col("revision_new"), F.col("revision_old")).alias("revision_global_offset"),
         X.difference(F.col("length_new"), F.col("length_old")).alias("length_difference"),
@@ -206,22 +208,22 @@ def arith_difference(spark, sf_dir):
 
 
 def regexp_extract_link(spark, sf_dir):
-    return silver(spark, sf_dir).select("id", X.first_link(F.col("comment")).alias("object"))
+    return silver(spark, sf_dir, ("id", "comment")).select("id", X.first_link(F.col("comment")).alias("object"))
 
 
 def case_contains(spark, sf_dir):
-    return silver(spark, sf_dir).select("id", X.action_type(F.col("comment")).alias("action_type_en"))
+    return silver(spark, sf_dir, ("id", "comment")).select("id", X.action_type(F.col("comment")).alias("action_type_en"))
 
 
 def minute_format(spark, sf_dir):
-    return silver(spark, sf_dir).select("id", X.minute_text(F.col("dt")).alias("minute"))
+    return silver(spark, sf_dir, ("id", "dt")).select("id", X.minute_text(F.col("dt")).alias("minute"))
 
 
 # Filters, joins, aggregates, order, sets
 
 
 def filter_event_type(spark, sf_dir):
-    return V.of_type(silver(spark, sf_dir), "categorize").select("id", "type", "user")
+    return V.of_type(silver(spark, sf_dir, ("id", "type", "user")), "categorize")
 
 
 def keyed_anti_join(spark, sf_dir):
@@ -232,12 +234,12 @@ def keyed_anti_join(spark, sf_dir):
 
 
 def count_by_domain_action_minute(spark, sf_dir):
-    return G.count_by_domain_action_minute(V.silver_log(silver(spark, sf_dir)))
+    return G.count_by_domain_action_minute(V.of_type(silver(spark, sf_dir, G.LOGS_COLUMNS), "log"))
 
 
 def new_and_edit_actions(spark, sf_dir):
-    base = silver(spark, sf_dir)
-    return R.union_all(*[part.select("bot", "dt") for part in (V.silver_edit(base), V.silver_new(base))])
+    base = silver(spark, sf_dir, G.HUMAN_VS_BOT_COLUMNS)
+    return R.union_all(*[V.of_type(base, kind).select("bot", "dt") for kind in ("edit", "new")])
 
 
 def count_by_minute_bool(spark, sf_dir):
@@ -245,8 +247,9 @@ def count_by_minute_bool(spark, sf_dir):
 
 
 def sort_multi_key(spark, sf_dir):
-    base = silver(spark, sf_dir).select("log_action", X.minute_text(F.col("dt")).alias("minute"), "id")
-    return R.sort_nulls_last(base, "minute", "log_action", "id")
+    base = silver(spark, sf_dir, ("id", "log_action", "dt"))
+    rows = base.select("log_action", X.minute_text(F.col("dt")).alias("minute"), "id")
+    return R.sort_nulls_last(rows, "minute", "log_action", "id")
 
 
 def union_all(spark, sf_dir):

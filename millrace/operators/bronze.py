@@ -93,8 +93,13 @@ def explode_json_array(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.from_json(column, "array<variant>")).alias("event"))
 
 
-def relation(spark: SparkSession, name: str, models: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """An upstream relation by name: a model of this run, or a table of the catalog."""
+def relation(
+    spark: SparkSession, name: str, models: Mapping[str, DataFrame] | None = None, streaming: bool = False
+) -> DataFrame:
+    """An upstream relation by name: a model of this run, or a table of the catalog.
+
+    With ``streaming``, a stored table is read as a stream of the files added to it.
+    """
     if models and name in models:
         return models[name]
-    return spark.table(name)
+    return spark.readStream.table(name) if streaming else spark.table(name)

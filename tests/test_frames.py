@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from millrace.operators import sse as S
 from millrace.operators import quality as Q
 from millrace.sources import frames as A
@@ -146,4 +144,3 @@ def test_data_is_extracted_once(texts):
     plan = Q.require_keys(S.parse_sse(texts(["data: {}"], "value")), ["id"])
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("split(") == 3  # one for each branch of the parse, none in the filters
-    assert F is not None

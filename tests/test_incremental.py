@@ -103,3 +103,15 @@ def test_bronze_loads(spark, texts):
     assert first != second
     # The text is kept as it came.
     assert rows(spark.table(f"bronze.{topic}_raw").select("event")) == [('{"id": 1}',), ('{"id": 1}',), ('{"id":2}',)]
+
+
+def test_a_bronze_table_can_be_streamed(spark, texts, tmp_path):
+    topic, seen = f"t_{uuid.uuid4().hex}", []
+    table = f"bronze.{topic}_raw"
+    for event in ('{"id":1}', '{"id":2}'):
+        B.append_bronze(texts([event], "event"), topic)
+        stream = B.relation(spark, table, streaming=True)
+        writer = stream.writeStream.foreachBatch(lambda batch, _: seen.append([r.event for r in batch.collect()]))
+        writer = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        writer.start().awaitTermination()
+    assert seen == [['{"id":1}'], ['{"id":2}']]
