@@ -1,4 +1,11 @@
-"""Scans of queue files: frames are the texts between blank lines."""
+"""Scans of queue files: frames are the texts between blank lines.
+
+A text scan may cut a file at any byte. Where two frames are separated by exactly one
+blank line every cut is harmless; where they are separated by more, a cut inside the run
+of line feeds can give a frame to both sides. Outside producers may write such runs, so
+their ``.bin`` files are read in one piece each, by streaming through them. Files that
+``land`` writes (``.txt``) have no such runs and are always cut freely.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +14,23 @@ from pyspark.sql import functions as F
 
 FRAME_END = "\n\n"
 QUEUE_FILES = "*.{bin,txt}"
+# Hadoop's codec that passes a file through unchanged and, as codecs do, in one piece.
+# The second name of its setting is the one in the client jars that Spark ships.
+IN_ONE_PIECE = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".bin",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".bin",
+}
+# In batch, larger ``.bin`` files than this are cut nevertheless.
+CUT_ABOVE = 1 << 30
+AMBIGUOUS = "a file that was read in several pieces has several blank lines in a row; read it with cut_above=None: "
+
+
+def _scan(spark: SparkSession, path: str | list[str], streaming: bool, by_topic: bool, options: dict) -> DataFrame:
+    reader = spark.readStream if streaming else spark.read
+    schema = "value STRING, topic STRING" if by_topic else "value STRING"
+    reader = reader.format("text").schema(schema).option("lineSep", FRAME_END).option("pathGlobFilter", QUEUE_FILES)
+    return reader.options(**options).load(path)
 
 
 def read_frames(
@@ -14,20 +38,34 @@ def read_frames(
     path: str | list[str],
     streaming: bool = False,
     by_topic: bool = False,
+    cut_above: int | None = CUT_ABOVE,
     **options: str | int,
 ) -> DataFrame:
     """Frames of the queue files in a folder as ``value`` with their ``file_name``.
 
-    Files are split, so one large file is read by many tasks. With ``by_topic`` the
-    folder has a sub-folder ``topic=<name>`` per topic, as ``land`` writes them, and
-    the topic is a column. ``options`` go to the text source; for streams
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch.
+    With ``by_topic`` the folder has a sub-folder ``topic=<name>`` per topic, as ``land``
+    writes them, and the topic is a column. In batch, ``.bin`` files of more than
+    ``cut_above`` bytes are shared by many tasks. If a cut then meets frames that are
+    separated by several blank lines, the job fails rather than give a frame twice.
+    ``options`` go to the text source; for streams ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger`` bound a batch.
     """
-    reader = spark.readStream if streaming else spark.read
-    schema = "value STRING, topic STRING" if by_topic else "value STRING"
-    reader = reader.format("text").schema(schema).option("lineSep", FRAME_END).option("pathGlobFilter", QUEUE_FILES)
-    frames = reader.options(**options).load(path)
-    return frames.select("*", F.col("_metadata.file_name").alias("file_name"))
+    frames = _scan(spark, path, streaming, by_topic, {**IN_ONE_PIECE, **options})
+    if cut_above is None or streaming:
+        return _named(frames)
+    large = F.endswith("_metadata.file_name", F.lit(".bin")) & (F.col("_metadata.file_size") > cut_above)
+    # The conditions are on the files, so each scan takes only its own from the listing.
+    cut = _scan(spark, path, False, by_topic, options).where(large)
+    return _named(frames.where(~large)).unionByName(_named(cut))
+
+
+def _named(frames: DataFrame) -> DataFrame:
+    """Frames with their file name; an error where a cut may have doubled one."""
+    in_pieces = F.col("_metadata.file_block_length") < F.col("_metadata.file_size")
+    problem = F.raise_error(F.concat(F.lit(AMBIGUOUS), F.col("_metadata.file_path"))).cast("string")
+    value = F.when(F.startswith("value", F.lit("\n")) & in_pieces, problem).otherwise(F.col("value"))
+    others = [name for name in frames.columns if name != "value"]
+    return frames.select(value.alias("value"), *others, F.col("_metadata.file_name").alias("file_name"))
 
 
 def new_frames(spark: SparkSession, path: str, last_name: str | None = None) -> DataFrame:
@@ -36,7 +74,7 @@ def new_frames(spark: SparkSession, path: str, last_name: str | None = None) ->
     The name filter removes files from the scan before anything is read.
     """
     frames = read_frames(spark, path)
-    return frames if last_name is None else frames.where(F.col("_metadata.file_name") > last_name)
+    return frames if last_name is None else frames.where(F.col("file_name") > last_name)
 
 
 def last_file_name(loaded: DataFrame) -> str | None:

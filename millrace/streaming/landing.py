@@ -21,8 +21,11 @@ def land(
     A streaming input starts a query (over what is there now with ``once``); a batch
     input is appended and returns None. Read it back with ``read_frames(by_topic=True)``.
     A folder holds what one streaming query landed, or what batches landed, not both.
+    Line feeds around a frame are dropped, so exactly one blank line separates frames.
     """
-    rows = frames.select("value", "topic")
+    padded = F.startswith("value", F.lit("\n")) | F.endswith("value", F.lit("\n"))
+    value = F.when(padded, F.btrim("value", F.lit("\n"))).otherwise(F.col("value"))
+    rows = frames.select(value.alias("value"), "topic")
     if not frames.isStreaming:
         rows.write.mode("append").partitionBy("topic").option("lineSep", FRAME_END).text(path)
         return None

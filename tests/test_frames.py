@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from millrace.operators import sse as S
 from millrace.operators import quality as Q
 from millrace.sources import frames as A
+from millrace.streaming.landing import land, with_topic
 
 
 def payloads(frame: str) -> list[str]:
@@ -82,19 +84,62 @@ def test_scan_of_queue_files(spark, tmp_path):
     assert sorted(r.data for r in S.parse_sse(frames).collect()) == ["a", "b", "c\nd", "e"]
 
 
-def test_splits_of_a_file_keep_every_frame(spark, tmp_path):
-    content = b"".join(b"id: %d\ndata: %s\n\n" % (i, b"x" * (i % 90)) for i in range(3000))
-    write(tmp_path, "1.bin", content)
-    whole = A.read_frames(spark, str(tmp_path)).select("value")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
-    try:
-        cut = A.read_frames(spark, str(tmp_path)).select("value")
-        assert cut.rdd.getNumPartitions() > 100
-        assert cut.count() == 3000
-        assert cut.exceptAll(whole).count() == 0
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+@pytest.fixture
+def split_size(spark):
+    """Sets how many bytes of a file one task reads."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+
+    def set_size(size):
+        for name in names:
+            spark.conf.set(name, str(size))
+
+    yield set_size
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name,cut_above", [("1.txt", None), ("1.bin", 10)])
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 997])
+def test_cuts_of_a_file_keep_every_frame(spark, tmp_path, split_size, name, cut_above, size):
+    count = 3000 if size > 100 else 60
+    write(tmp_path, name, b"".join(b"id: %d\ndata: %s\n\n" % (i, b"x" * (i % 90)) for i in range(count)))
+    whole = A.read_frames(spark, str(tmp_path)).select("value").collect()
+    split_size(size)
+    cut = A.read_frames(spark, str(tmp_path), cut_above=cut_above).select("value")
+    assert cut.rdd.getNumPartitions() > 100
+    assert sorted(cut.collect()) == sorted(whole) and len(whole) == count
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 97])
+def test_runs_of_blank_lines(spark, tmp_path, split_size, size):
+    """A cut in a run of line feeds must not double a frame: exact in one piece, else refused."""
+    rng = random.Random(size)
+    runs = ["\n\n", "\n\n\n", "\n\n\n\n", "\n\n\n\n\n"]
+    content = "".join(f"data: {i}{rng.choice(runs)}" for i in range(200))
+    write(tmp_path, "1.bin", content.encode())
+    split_size(size)
+
+    def numbers(frames):
+        return sorted(int(r.data) for r in S.parse_sse(frames).collect())
+
+    assert numbers(A.read_frames(spark, str(tmp_path))) == list(range(200))
+    streamed = []
+    stream = S.parse_sse(A.read_frames(spark, str(tmp_path), streaming=True)).writeStream
+    stream = stream.foreachBatch(lambda batch, _: streamed.extend(int(r.data) for r in batch.collect()))
+    stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(streamed) == list(range(200))
+    with pytest.raises(PySparkException, match="several blank lines"):
+        numbers(A.read_frames(spark, str(tmp_path), cut_above=10))
+
+
+def test_landed_files_can_be_cut(spark, tmp_path, split_size):
+    write(tmp_path / "q", "1.bin", "".join(f"data: {i}\n\n\n" for i in range(100)).encode())
+    land(with_topic(A.read_frames(spark, str(tmp_path / "q")), "t"), str(tmp_path / "landed"))
+    split_size(5)
+    landed = A.read_frames(spark, str(tmp_path / "landed"), by_topic=True)
+    assert landed.rdd.getNumPartitions() > 50
+    assert sorted(int(r.data) for r in S.parse_sse(landed).collect()) == list(range(100))
 
 
 def test_new_files_by_name(spark, tmp_path):
