@@ -46,12 +46,14 @@ def read_frames(
     With ``by_topic`` the folder has a sub-folder ``topic=<name>`` per topic, as ``land``
     writes them, and the topic is a column. In batch, ``.bin`` files of more than
     ``cut_above`` bytes are shared by many tasks. If a cut then meets frames that are
-    separated by several blank lines, the job fails rather than give a frame twice.
+    separated by several blank lines, the job fails rather than give a frame twice. A
+    stream reads each ``.bin`` file in one piece, unless ``cut_above`` is 0.
     ``options`` go to the text source; for streams ``maxFilesPerTrigger`` or
     ``maxBytesPerTrigger`` bound a batch.
     """
-    frames = _scan(spark, path, streaming, by_topic, {**IN_ONE_PIECE, **options})
-    if cut_above is None or streaming:
+    pieces = {} if cut_above == 0 else IN_ONE_PIECE
+    frames = _scan(spark, path, streaming, by_topic, {**pieces, **options})
+    if streaming or not cut_above:
         return _named(frames)
     large = F.endswith("_metadata.file_name", F.lit(".bin")) & (F.col("_metadata.file_size") > cut_above)
     # The conditions are on the files, so each scan takes only its own from the listing.

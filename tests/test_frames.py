@@ -99,7 +99,7 @@ def split_size(spark):
         spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("name,cut_above", [("1.txt", None), ("1.bin", 10)])
+@pytest.mark.parametrize("name,cut_above", [("1.txt", None), ("1.bin", 10), ("1.bin", 0)])
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 997])
 def test_cuts_of_a_file_keep_every_frame(spark, tmp_path, split_size, name, cut_above, size):
     count = 3000 if size > 100 else 60
