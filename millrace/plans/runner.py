@@ -20,7 +20,8 @@ class Model:
 
     ``build`` is a function of the needed DataFrames, in the order of ``needs``, or SQL
     text that names them in braces. ``materialized`` is ``view``, ``table`` or
-    ``incremental``; the last is refreshed by ``unique_key``.
+    ``incremental``; the last is refreshed by ``unique_key``, and ``bucket`` says how its
+    rows are laid out (see ``upsert_table``).
     """
 
     name: str
@@ -29,6 +30,7 @@ class Model:
     needs: tuple[str, ...] = ()
     materialized: str = "view"
     unique_key: tuple[str, ...] = ()
+    bucket: str | None = None
 
     @property
     def full_name(self) -> str:
@@ -100,7 +102,7 @@ def _refresh(
         _store_table(df, model.full_name)
         return spark.table(model.full_name)
     if model.materialized == "incremental":
-        upsert_table(df, model.full_name, model.unique_key, root=root)
+        upsert_table(df, model.full_name, model.unique_key, model.bucket, root=root)
         return spark.table(model.full_name).drop(BUCKET)
     raise ValueError(f"unknown materialization {model.materialized!r}")
 

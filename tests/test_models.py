@@ -208,7 +208,7 @@ def test_models_run_after_what_they_need(spark, silver):
 
 
 def test_incremental_model(spark, texts):
-    model = Model("by_id", "silver", lambda df: df, ("batch",), "incremental", ("id",))
+    model = Model("by_id", "silver", lambda df: df, ("batch",), "incremental", ("id",), "id div 2")
     for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
         batch = spark.createDataFrame(rows, "id BIGINT, v STRING")
         result = run_models(spark, [model], {"batch": batch})["silver.by_id"]
