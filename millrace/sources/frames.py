@@ -23,7 +23,10 @@ IN_ONE_PIECE = {
 }
 # In batch, larger ``.bin`` files than this are cut nevertheless.
 CUT_ABOVE = 1 << 30
-AMBIGUOUS = "a file that was read in several pieces has several blank lines in a row; read it with cut_above=None: "
+AMBIGUOUS = (
+    "a file that was read in several pieces has several blank lines in a row; "
+    "read it in one piece, as a .bin file and with cut_above=None: "
+)
 
 
 def _scan(spark: SparkSession, path: str | list[str], streaming: bool, by_topic: bool, options: dict) -> DataFrame:
