@@ -7,6 +7,7 @@ input, whatever their names, never meet the operator's own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import millrace
 from millrace.session import scratch_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,7 +25,16 @@ LOWER = UPPER.lower()
 SLICE_BYTES = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is installed or sent along with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(millrace.__file__).parent.parent))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

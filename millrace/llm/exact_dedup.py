@@ -57,12 +57,15 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Column | No
     in_order = rows.repartitionByRange("head", "hash", "doc_id").sortWithinPartitions("head", "hash", "text", "doc_id")
     runs = stored(in_order.select("doc_id", "text").mapInArrow(_runs, RUN_SCHEMA), "runs")
     best = F.min("doc_id") if keep == "smallest" else F.max("doc_id")
-    groups = runs.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return runs.join(groups, "digest").select(
+    groups = runs.groupBy("digest").agg(best.alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below deals out both sides itself and can split a large group.
+    rows = runs.join(stored(groups, "groups"), "digest", "left")
+    keep_id = F.when(F.col("n") > 1, F.col("keep")).otherwise(F.col("doc_id"))
+    return rows.select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

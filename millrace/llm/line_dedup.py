@@ -145,6 +145,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_fi
         .agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "content", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
     )
+    repeated = stored(repeated, "repeated-lines")  # so that the join deals out both sides itself and can split a common line
     drop = F.col("first").isNotNull()
     if keep_first:
         drop &= ~F.struct("doc_id", "content", "pos").eqNullSafe(F.col("first"))

@@ -10,8 +10,12 @@ from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.mixing import mix
+from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.token_files import token_digests
 
 # Parameters of the queries.
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 MIX_SEED = 20
 MIX_SIZE = 1.0
 
@@ -26,14 +30,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), size=MIX_SIZE, seed=MIX_SEED)
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
