@@ -11,6 +11,8 @@ from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.quality import fit, quality_scores
+from millrace.llm.secret_scan import scan_secrets
 from millrace.llm.token_files import token_digests
 
 # Parameters of the queries.
@@ -20,6 +22,10 @@ MIX_SEED = 20
 MIX_SIZE = 1.0
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bitmaps = keep_bitmaps(docs, min_docs=10, min_chars=1, keep_first=False)
@@ -49,12 +55,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
