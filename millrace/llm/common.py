@@ -38,9 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+def stored(frame: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there."""
-    path = scratch_dir(frame.sparkSession, label)
+    path = path or scratch_dir(frame.sparkSession, label)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

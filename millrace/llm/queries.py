@@ -5,23 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.llm.decontam import contamination
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality import fit, quality_scores
 from millrace.llm.secret_scan import scan_secrets
+from millrace.llm.sharding import kd_shards
 from millrace.llm.token_files import token_digests
 
 # Parameters of the queries.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+SHARDS = 40
+WINDOW = 10
 MIX_SEED = 20
 MIX_SIZE = 1.0
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,6 +57,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW).drop("content")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -61,10 +76,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
@@ -102,6 +119,27 @@ SELECT documents.*, copy_no, n_copies, md5('{MIX_SEED}/order|' || doc_id || '|'
 FROM documents JOIN copies USING (doc_id)
 """
 
+OP6_SQL = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT item_id, least(len(w), {WINDOW}) AS n, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS s, w FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM item_windows),
+lengths AS (SELECT DISTINCT n FROM windows),
+doc_places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM doc_words, lengths WHERE len(w) >= n),
+doc_windows AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM doc_places),
+matches AS (SELECT doc_id, item_id, s, n FROM doc_windows JOIN windows USING (n, phrase)),
+hits AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS pos FROM matches),
+n_hits AS (SELECT doc_id, count(*) AS n_hit FROM hits GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+          FROM matches GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -111,5 +149,6 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
