@@ -11,6 +11,7 @@ from millrace.llm.common import table
 from millrace.llm.decontam import contamination
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
+from millrace.llm.lm_scores import lm_scores
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality import fit, quality_scores
@@ -65,6 +66,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), order=2, leave_out=True).drop("content")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
 }
