@@ -1,33 +1,49 @@
 """The same answers computed by DuckDB from the plain tables.
 
 The SQL builds no feed: it states what each query has to return for a row of `events`,
-defects included. Rows whose document is cut or has no id are not loaded, and rows that
-are delivered twice count twice.
+defects included. Rows whose document is malformed or has no id are not loaded, and rows
+that are delivered twice count twice. The rules are stated here anew, so that a slip in
+the feed shows.
 """
 
 from __future__ import annotations
 
-from millrace.sources.event_feed import CUT_EVERY, FEED_TYPES, KEYLESS_EVERY, TWICE_EVERY, UNDECODABLE_EVERY
-
-KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEED_TYPES.items()) + " END"
+KIND = (
+    "CASE event_type WHEN 'click' THEN 'edit' WHEN 'signup' THEN 'new' WHEN 'view' THEN 'categorize' "
+    "WHEN 'error' THEN 'log' WHEN 'purchase' THEN 'external' END"
+)
 ACTION = "CASE event_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'move' ELSE 'delete' END"
 LINK = "'[[:Category:C' || user_id || ']]'"
 COMMENT = (
     f"CASE event_id % 4 WHEN 0 THEN {LINK} || ' added to category' "
-    f"WHEN 1 THEN {LINK} || ' removed from category' WHEN 2 THEN 'Added nothing' END"
+    f"WHEN 1 THEN {LINK} || ' removed from category' WHEN 2 THEN 'Added nothing, it''s all' END"
 )
 LOG_PARAMS = (
-    "'{\"count\":{\"files\":' || (event_id % 9) || '},\"duration\":\"infinity\",\"target\":\"T' || user_id || '\"}'"
+    "CASE event_id % 17 WHEN 1 THEN '[]' WHEN 2 THEN 'null' WHEN 3 THEN NULL ELSE "
+    "'{\"count\":{\"files\":' || (event_id % 9) || '},\"duration\":\"infinity\",\"target\":\"T' || user_id || '\"}' END"
+)
+# Parameters can only be looked up where they are an object.
+HAS_PARAMS = "type = 'log' AND event_id % 17 NOT IN (1, 2, 3)"
+TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+DT_TEXT = (
+    f"CASE event_id % 5 WHEN 2 THEN {TIME.format('dt + INTERVAL 2 HOUR')} || '+02:00' "
+    f"WHEN 3 THEN {TIME.format('dt')} ELSE {TIME.format('dt')} || 'Z' END"
 )
+ID_TEXT = """
+    CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 107 = 0 THEN '"id":null,'
+      WHEN event_id % 103 = 0 THEN '"id":' || event_id || '.0000000001,'
+      WHEN event_id % 7 = 3 THEN '"id":"' || event_id || '",'
+      WHEN event_id % 11 = 5 THEN '"id":' || event_id || '.0,' ELSE '"id":' || event_id || ',' END"""
+TITLE = "CASE WHEN event_id % 13 = 0 THEN 'Pägé \"日本\" \\ ' ELSE 'Page ' END || user_id"
 
 # The values of every document, before defects.
 VALUES = f"""
 values_of AS (
   SELECT event_id, ts, event_type,
-    event_id AS id,
+    CASE WHEN event_id % 107 <> 0 AND event_id % 103 <> 0 THEN event_id END AS id,
     CAST(event_id % 16 AS VARCHAR) AS namespace,
     {KIND} AS type,
-    'Page ' || user_id AS title,
+    {TITLE} AS title,
     {COMMENT} AS comment,
     'u' || user_id AS "user",
     user_id % 3 = 0 AS bot,
@@ -49,33 +65,35 @@ values_of AS (
 # Every document's text, as the feed writes it before it cuts some.
 TEXTS = f"""
 texts AS (
-  SELECT *, '{{'
-    || CASE WHEN event_id % {KEYLESS_EVERY} <> 0 THEN '"id":' || event_id || ',' ELSE '' END
-    || '"namespace":' || namespace || ',"type":"' || type || '","title":"' || title || '"'
+  SELECT *, '{{' || {ID_TEXT}
+    || '"namespace":' || namespace || ',"type":"' || type || '","title":"'
+    || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '"'
     || coalesce(',"comment":"' || comment || '"', '')
     || ',"user":"' || "user" || '","bot":' || CAST(bot AS VARCHAR) || ',"minor":' || CAST(minor AS VARCHAR)
     || ',"revision":{{"new":' || revision_new || coalesce(',"old":' || revision_old, '') || '}}'
     || ',"length":{{"new":' || length_new || coalesce(',"old":' || length_old, '') || '}}'
-    || ',"meta":{{"uri":"' || uri || '","domain":"' || domain || '","dt":"'
-    || strftime(dt, '%Y-%m-%dT%H:%M:%S') || 'Z"}}'
+    || ',"meta":{{"uri":"' || uri || '","domain":"' || domain || '","dt":"' || {DT_TEXT} || '"}}'
     || coalesce(',"patrolled":' || CAST(patrolled AS VARCHAR), '')
     || coalesce(',"log_type":"' || log_type || '","log_action":"' || log_action || '"', '')
-    || CASE WHEN event_type = 'error' THEN ',"log_params":{{"duration":"infinity","target":"T' || user_id
-       || '","count":{{"files":' || (event_id % 9) || '}}}}' ELSE '' END
+    || CASE WHEN event_type <> 'error' OR event_id % 17 = 3 THEN ''
+       WHEN event_id % 17 = 1 THEN ',"log_params":[]' WHEN event_id % 17 = 2 THEN ',"log_params":null'
+       ELSE ',"log_params":{{"duration":"infinity","target":"T' || user_id || '","count":{{"files":' || (event_id % 9) || '}}}}' END
     || '}}' AS whole
   FROM values_of
 ), sent AS (
-  SELECT *, CASE WHEN event_id % {CUT_EVERY} = 0 THEN left(whole, length(whole) - 1) ELSE whole END AS data
+  SELECT *, CASE WHEN event_id % 89 = 0 THEN left(whole, length(whole) - 1)
+    WHEN event_id % 83 = 0 THEN replace(whole, '"', '''')
+    WHEN event_id % 79 = 0 THEN replace(whole, '"user":"', '"user":"' || chr(9)) ELSE whole END AS data
   FROM texts
 ), delivered AS (
-  SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE event_id % {TWICE_EVERY} = 0
+  SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE event_id % 50 = 0
 )"""
-WHOLE, KEYED = f"event_id % {CUT_EVERY} <> 0", f"event_id % {KEYLESS_EVERY} <> 0"
+WHOLE, KEYED = "event_id % 89 <> 0 AND event_id % 83 <> 0 AND event_id % 79 <> 0", "event_id % 97 <> 0"
 LOADED = f"""
 loaded AS (
   SELECT * FROM values_of WHERE {WHOLE} AND {KEYED}
   UNION ALL
-  SELECT * FROM values_of WHERE {WHOLE} AND {KEYED} AND event_id % {TWICE_EVERY} = 0
+  SELECT * FROM values_of WHERE {WHOLE} AND {KEYED} AND event_id % 50 = 0
 )"""
 FIRST_PART, SECOND_PART = "ts < TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-16'"
 FRAME = "'event: message' || chr(10) || 'id: ' || event_id || chr(10) || 'data: ' || data"
@@ -107,18 +125,18 @@ TOPIC_LOADED = f"""{WHOLE} AND CASE event_type
     WHEN 'click' THEN {KEYED}
     WHEN 'signup' THEN {KEYED} AND patrolled IS NOT NULL
     WHEN 'view' THEN {KEYED} AND comment IS NOT NULL
-    WHEN 'error' THEN {KEYED}
+    WHEN 'error' THEN {KEYED} AND event_id % 17 <> 3
     ELSE true END"""
-LOG_PARAM_COLUMNS = """
+LOG_PARAM_COLUMNS = f"""
   CAST(NULL AS VARCHAR) AS img_timestamp,
-  CASE WHEN type = 'log' THEN '"infinity"' END AS duration,
+  CASE WHEN {HAS_PARAMS} THEN '"infinity"' END AS duration,
   CAST(NULL AS VARCHAR) AS flags, CAST(NULL AS VARCHAR) AS sitewide,
-  CASE WHEN type = 'log' THEN '"T' || user_id || '"' END AS target,
+  CASE WHEN {HAS_PARAMS} THEN '"T' || user_id || '"' END AS target,
   CAST(NULL AS VARCHAR) AS noredir, CAST(NULL AS VARCHAR) AS ofield, CAST(NULL AS VARCHAR) AS nfield,
   CAST(NULL AS VARCHAR) AS olduser, CAST(NULL AS VARCHAR) AS newuser, CAST(NULL AS VARCHAR) AS movepages,
   CAST(NULL AS VARCHAR) AS suppressredirects, CAST(NULL AS VARCHAR) AS edits, CAST(NULL AS VARCHAR) AS derived,
   CAST(NULL AS VARCHAR) AS interwiki, CAST(NULL AS VARCHAR) AS oldtitle,
-  CASE WHEN type = 'log' THEN CAST(event_id % 9 AS VARCHAR) END AS files,
+  CASE WHEN {HAS_PARAMS} THEN CAST(event_id % 9 AS VARCHAR) END AS files,
   CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS cascade, CAST(NULL AS VARCHAR) AS expiry,
   CAST(NULL AS VARCHAR) AS dest, CAST(NULL AS VARCHAR) AS mergepoint"""
 OBJECT = f"CASE event_id % 4 WHEN 0 THEN {LINK} WHEN 1 THEN {LINK} WHEN 2 THEN '' END AS object"
@@ -130,12 +148,20 @@ BOT_COUNTS = f"""
 SELECT {MINUTE} AS minute, bot, count(*) AS count_actions
 FROM loaded WHERE type IN ('edit', 'new') GROUP BY ALL"""
 
+BOTH_REPORTS = f"""
+SELECT 'logs' AS report, minute, domain, log_action, CAST(NULL AS BOOLEAN) AS bot, count_actions FROM ({LOG_COUNTS})
+UNION ALL SELECT 'bots', minute, NULL, NULL, bot, count_actions FROM ({BOT_COUNTS})"""
+ALL_COLUMNS = (
+    'id, namespace, type, title, comment, "user", bot, minor, revision_new, revision_old, length_new, length_old, '
+    "uri, domain, dt, patrolled, log_type, log_action, log_params"
+)
+
 ORACLE: dict[str, str] = {
     "src_sse_frames": _sent(f"SELECT {FRAME} AS value FROM delivered"),
     "src_new_files_since": _sent(f"SELECT {FRAME} AS value FROM delivered WHERE {SECOND_PART}"),
     "src_relation": _sent(f"SELECT data AS event FROM delivered WHERE {WHOLE} AND {KEYED}"),
     "sse_parse": _sent("SELECT data FROM delivered"),
-    "utf8_quarantine": _sent(f"SELECT event_id, event_id % {UNDECODABLE_EVERY} <> 0 AS decodable FROM delivered"),
+    "utf8_quarantine": _sent(f"SELECT event_id, event_id % 101 <> 0 AS decodable FROM delivered"),
     "json_valid_filter": _sent(f"SELECT data FROM delivered WHERE {WHOLE}"),
     "pk_presence_filter": _sent(f"SELECT data FROM delivered WHERE {WHOLE} AND {KEYED} AND comment IS NOT NULL"),
     "load_quality_counts": _sent(QUALITY),
@@ -179,8 +205,7 @@ ORACLE: dict[str, str] = {
         f"UNION ALL SELECT {MINUTE} AS minute, bot FROM loaded WHERE type = 'new'"
     ),
     "silver_recentchange": _loaded(
-        'SELECT id, namespace, type, title, comment, "user", bot, minor, revision_new, revision_old, length_new, '
-        "length_old, uri, domain, dt, patrolled, log_type, log_action, log_params FROM loaded"
+        f"SELECT {ALL_COLUMNS} FROM loaded"
     ),
     "silver_new": _loaded(
         'SELECT id, namespace, title, comment, "user", bot, minor, length_new AS length, uri, domain, dt, patrolled '
@@ -209,18 +234,30 @@ ORACLE: dict[str, str] = {
         SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.o_orderkey = o.o_orderkey)
         UNION ALL SELECT * FROM batch""",
     "incremental_append": _loaded(
-        'SELECT id, type, "user", bot, revision_new, domain, dt, '
-        f"CASE WHEN {FIRST_PART} THEN 'first' ELSE 'second' END AS load_id FROM loaded"
+        f"SELECT {ALL_COLUMNS}, CASE WHEN {FIRST_PART} THEN 'first' ELSE 'second' END AS load_id FROM loaded"
     ),
-    "run_models": _loaded("SELECT log_action, count(*) AS count_actions FROM loaded WHERE type = 'log' GROUP BY ALL"),
+    "run_models": _loaded(f"""
+        SELECT type AS model,
+               count(*) AS n, CAST(NULL AS BIGINT) AS total
+        FROM loaded WHERE type IN ('edit', 'new', 'log', 'categorize') GROUP BY ALL
+        UNION ALL SELECT 'logs_per_domain_and_min', count(*), CAST(sum(count_actions) AS BIGINT) FROM ({LOG_COUNTS})
+        UNION ALL SELECT 'human_vs_bot_new_and_edit_actions', count(*), CAST(sum(count_actions) AS BIGINT) FROM ({BOT_COUNTS})
+        UNION ALL SELECT 'log_actions', count(DISTINCT log_action), count(*) FROM loaded WHERE type = 'log'"""),
     "user_sql_model": _loaded(
         'SELECT "user", count(*) AS edits, CAST(sum(length_new - length_old) AS BIGINT) AS growth, max(dt) AS last_dt '
         "FROM loaded WHERE type = 'edit' GROUP BY ALL"
     ),
     "land_raw_frames": _sent(f"SELECT 'recentchange' AS topic, {FRAME} AS value FROM delivered"),
-    "gold_csv_export": _loaded(LOG_COUNTS),
-    "stream_once": _loaded(BOT_COUNTS),
-    "stream_continuous": _loaded("SELECT id, type, domain, dt FROM loaded"),
+    "gold_csv_export": _loaded(BOTH_REPORTS),
+    "stream_once": _loaded(BOTH_REPORTS),
+    "stream_continuous": _loaded(BOTH_REPORTS),
+    "multi_topic_cycle": _loaded("""
+        SELECT domain, count(*) AS events, count(log_action) AS log_events FROM loaded GROUP BY domain
+        UNION ALL SELECT 'bronze', count(*) FILTER (event_type <> 'error'), count(*) FILTER (event_type = 'error') FROM loaded"""),
+    "load_all": _sent(f"SELECT event_type AS topic, data AS event FROM delivered WHERE {TOPIC_LOADED}"),
+    "cast_rejects": _loaded("""
+        SELECT count(*) FILTER (event_id % 103 = 0 AND event_id % 107 <> 0) AS id, 0 AS bot, 0 AS minor, 0 AS revision_new,
+          0 AS revision_old, 0 AS length_new, 0 AS length_old, 0 AS dt, 0 AS patrolled FROM loaded"""),
     "stream_checkpoint": _loaded(
         f"SELECT CASE WHEN {FIRST_PART} THEN 0 ELSE 1 END AS batch, count(*) AS events FROM loaded GROUP BY ALL"
     ),

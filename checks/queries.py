@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import feed
 from millrace.functions import json as J
 from millrace.functions import text as X
 from millrace.operators import bronze as B
@@ -17,20 +18,22 @@ from millrace.operators import relational as R
 from millrace.operators import sse as S
 from millrace.plans import gold as G
 from millrace.plans import silver as V
-from millrace.plans.runner import CHANGE_MODELS, Model, run_models, sql_model
+from millrace.operators.layout import without_load
+from millrace.plans.runner import Model, change_models, run_models, sql_model
 from millrace.session import configure, scratch_dir, shared_dir
 from millrace.sinks.csv_export import CSV_OPTIONS, export_csv
-from millrace.sources import event_feed as feed
 from millrace.sources import frames as A
 from millrace.streaming import counts as N
 from millrace.streaming.landing import land, with_topic
-from millrace.streaming.pipeline import run_continuous, run_once
+from millrace.streaming.pipeline import Feed, run_continuous, run_once
 
 KEYS = ["id"]
 # The feed arrives in two parts: what happened before this time, and the rest.
 SECOND_START = "timestamp_ntz'2024-01-16 00:00:00'"
 FIRST_PART, SECOND_PART = f"ts < {SECOND_START}", f"ts >= {SECOND_START}"
 FIRST_STAMP, SECOND_STAMP = 1700000000, 1700000060
+# A file that comes with the second part under a name before all others.
+LATE_PART, LATE_STAMP = f"ts >= {SECOND_START} AND event_id % 10 = 0", 1600000000
 # The keys of each topic when every event type is a topic of its own.
 TOPICS = (
     B.Topic("click", ("id",)),
@@ -45,14 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the table comes in fewer pieces, as small test files do."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def all_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.frames(spread(table(spark, sf_dir, "events")))
+    return feed.frames(table(spark, sf_dir, "events"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +78,13 @@ def write_part(spark: SparkSession, sf_dir: str, path: str, second: bool) -> Non
     feed.write_queue(part, path, SECOND_STAMP if second else FIRST_STAMP)
 
 
+def write_late(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The second part in two files, of which one has a smaller name than the files before."""
+    frames = all_frames(spark, sf_dir)
+    feed.write_queue(frames.where(LATE_PART), path, LATE_STAMP)
+    feed.write_queue(frames.where(f"{SECOND_PART} AND NOT ({LATE_PART})"), path, SECOND_STAMP)
+
+
 def queue(spark: SparkSession, sf_dir: str) -> str:
     """A fresh folder with the whole feed as queue files."""
     path = scratch_dir(spark, "queue")
@@ -101,7 +105,7 @@ def src_new_files_since(spark, sf_dir):
     write_part(spark, sf_dir, path, second=False)
     topic = unique("change")
     B.append_bronze(B.load_events(A.new_frames(spark, path), KEYS), topic, root=warehouse(spark))
-    mark = A.last_file_name(spark.table(B.bronze_table(topic)))
+    mark = B.last_file_name(spark, topic)
     write_part(spark, sf_dir, path, second=True)
     return A.new_frames(spark, path, mark).select("value")
 
@@ -159,6 +163,11 @@ def multi_topic_load(spark, sf_dir):
     return B.topic_totals(frames, TOPICS)
 
 
+def load_all(spark, sf_dir):
+    frames = all_frames(spark, sf_dir).withColumn("topic", F.col("event_type"))
+    return B.load_all(frames, TOPICS).select("topic", "event")
+
+
 # Scalar functions
 
 
@@ -178,8 +187,11 @@ def json_path_timestamp(spark, sf_dir):
 
 
 def json_extract_string(spark, sf_dir):
-    columns = [c for c in V.CHANGE_COLUMNS if c[2] == "string"]
-    return bronze(spark, sf_dir).select(*[J.text_at(F.col("event"), path).alias(name) for name, path, _ in columns])
+    return silver(spark, sf_dir, tuple(name for name, _, kind in V.CHANGE_COLUMNS if kind == "string"))
+
+
+def cast_rejects(spark, sf_dir):
+    return V.cast_rejects(bronze(spark, sf_dir))
 
 
 def json_subdocument(spark, sf_dir):
@@ -298,7 +310,7 @@ def incremental_delete_insert(spark, sf_dir):
     # The added rows come twice in the batch, and both copies stay.
     batch = R.union_all(changed, added, added)
     for rows in (orders, batch):
-        I.upsert_table(rows, name, ["o_orderkey"], bucket="o_orderkey div 1000000", root=root)
+        I.upsert_table(rows, name, ["o_orderkey"], root=root)
     return spark.table(name).drop(I.BUCKET)
 
 
@@ -308,27 +320,44 @@ def incremental_append(spark, sf_dir):
     for load_id, part in (("first", FIRST_PART), ("second", SECOND_PART)):
         rows = V.silver_recentchange(B.load_events(frames.where(part), KEYS))
         I.append_load(rows, name, load_id, root)
-    return spark.table(name).select("id", "type", "user", "bot", "revision_new", "domain", "dt", "load_id")
+    return spark.table(name).withColumn("log_params", F.to_json("log_params")).drop("load_day")
 
 
 def model_run(spark, sf_dir, extra=()):
-    topic = unique("change")
-    B.append_bronze(bronze(spark, sf_dir), topic, root=warehouse(spark))
-    base = Model("recentchange", "silver", V.silver_recentchange, ("recentchange_raw",))
+    """Bronze and silver stored, and the models of the changes over them; their names begin with the topic."""
+    topic, root = unique("change"), warehouse(spark)
+    B.append_bronze(bronze(spark, sf_dir), topic, root=root)
     raw = B.relation(spark, f"bronze.{topic}_raw")
-    return run_models(spark, [*extra, *CHANGE_MODELS, base], {"recentchange_raw": raw}, root=warehouse(spark))
+    I.append_load(V.silver_recentchange(raw), f"silver.{topic}", "first", root)
+    extra = [model(topic) for model in extra]
+    inputs, stored = {topic: without_load(spark.table(f"silver.{topic}"))}, {topic: f"silver.{topic}"}
+    return topic, run_models(spark, [*extra, *change_models(topic)], inputs, root=root, stored=stored)
+
+
+def log_actions_model(topic):
+    text = f"SELECT log_action, sum(count_actions) AS count_actions FROM {{{topic}_logs_per_domain_and_min}} GROUP BY log_action"
+    return Model(f"{topic}_log_actions", "gold", text, materialized="table")
 
 
 def run_all_models(spark, sf_dir):
-    busiest = Model(
-        unique("log_actions"),
-        "gold",
-        "SELECT log_action, sum(count_actions) AS count_actions "
-        "FROM {recentchange_logs_per_domain_and_min} GROUP BY log_action",
-        ("recentchange_logs_per_domain_and_min",),
-        materialized="table",
-    )
-    return model_run(spark, sf_dir, [busiest])[busiest.full_name]
+    """Rows of each relation, read from the catalog by its name, and the table's own sum."""
+    topic, results = model_run(spark, sf_dir, [log_actions_model])
+    counts = []
+    for name in results:
+        relation = B.relation(spark, name)
+        total = F.sum("count_actions") if "count_actions" in relation.columns else F.lit(None)
+        model = F.lit(name.split(".")[1].removeprefix(f"{topic}_")).alias("model")
+        counts.append(relation.agg(F.count("*").alias("n"), total.cast("bigint").alias("total")).select(model, "n", "total"))
+    return R.union_all(*counts)
+
+
+def both_reports(spark, folder, topic):
+    """Both gold reports as they are in the exported files."""
+    logs, bots = f"{folder}/{topic}_logs_per_domain_and_min.csv", f"{folder}/{topic}_human_vs_bot_new_and_edit_actions.csv"
+    logs = spark.read.schema("domain STRING, log_action STRING, minute STRING, count_actions BIGINT").options(**CSV_OPTIONS).csv(logs)
+    bots = spark.read.schema("minute STRING, bot BOOLEAN, count_actions BIGINT").options(**CSV_OPTIONS).csv(bots)
+    both = logs.withColumn("report", F.lit("logs")).unionByName(bots.withColumn("report", F.lit("bots")), allowMissingColumns=True)
+    return both.select("report", "minute", "domain", "log_action", "bot", "count_actions")
 
 
 def user_sql_model(spark, sf_dir):
@@ -350,46 +379,60 @@ def land_raw_frames(spark, sf_dir):
 
 
 def gold_csv_export(spark, sf_dir):
-    results = {name: df for name, df in model_run(spark, sf_dir).items() if name.startswith("gold.")}
-    paths = export_csv(results, scratch_dir(spark, "export"))
-    reader = spark.read.schema("domain STRING, log_action STRING, minute STRING, count_actions BIGINT")
-    return reader.options(**CSV_OPTIONS).csv(paths["gold.recentchange_logs_per_domain_and_min"])
+    topic, results = model_run(spark, sf_dir)
+    folder = scratch_dir(spark, "export")
+    export_csv({name: df for name, df in results.items() if name.startswith("gold.")}, folder)
+    return both_reports(spark, folder, topic)
 
 
 # Streams
 
 
 def stream_once(spark, sf_dir):
-    topic = B.Topic(unique("change"))
-    run_once(
-        spark, queue(spark, sf_dir), topic, scratch_dir(spark, "checkpoint"), models=(), root=warehouse(spark)
-    )
-    return G.gold_human_vs_bot(spark.table(f"silver.`{topic.name}`"))
+    topic, folder = unique("change"), scratch_dir(spark, "export")
+    feeds = Feed(B.Topic(topic), queue(spark, sf_dir), sort_by=("type",))
+    run_once(spark, feeds, scratch_dir(spark, "checkpoint"), models=change_models(topic), csv_dir=folder, root=warehouse(spark))
+    return both_reports(spark, folder, topic)
 
 
 def stream_continuous(spark, sf_dir):
-    topic = B.Topic(unique("change"))
-    query = run_continuous(
-        spark,
-        queue(spark, sf_dir),
-        topic,
-        scratch_dir(spark, "checkpoint"),
-        every="1 second",
-        models=(),
-        root=warehouse(spark),
-    )
+    topic, folder, path = unique("change"), scratch_dir(spark, "export"), scratch_dir(spark, "queue")
+    write_part(spark, sf_dir, path, second=False)
+    settings = {"models": change_models(topic), "csv_dir": folder, "export_every": 0, "root": warehouse(spark)}
+    running = run_continuous(spark, Feed(B.Topic(topic), path), scratch_dir(spark, "checkpoint"), every=0.1, **settings)
     try:
-        query.processAllAvailable()
+        write_late(spark, sf_dir, path)
+        running.wait()
     finally:
-        query.stop()
-    return spark.table(f"silver.`{topic.name}`").select("id", "type", "domain", "dt")
+        running.stop()
+    return both_reports(spark, folder, topic)
+
+
+def multi_topic_cycle(spark, sf_dir):
+    """Two topics loaded side by side, then one model over both and over their bronze."""
+    topics, feeds = (unique("log"), unique("other")), []
+    frames = all_frames(spark, sf_dir)
+    for topic, rows in zip(topics, (frames.where("event_type = 'error'"), frames.where("event_type <> 'error'")), strict=True):
+        path = scratch_dir(spark, "queue")
+        feed.write_queue(rows, path, FIRST_STAMP)
+        feeds.append(Feed(B.Topic(topic), path))
+    logs, others = topics
+    text = (
+        f"SELECT domain, count(*) AS events, count(log_action) AS log_events FROM (SELECT domain, log_action FROM {{{logs}}} "
+        f"UNION ALL SELECT domain, log_action FROM {{{others}}}) GROUP BY domain "
+        f"UNION ALL SELECT 'bronze', count(*), (SELECT count(*) FROM {{{logs}_raw}}) FROM {{{others}_raw}}"
+    )
+    model = Model(unique("domains"), "gold", text)
+    pipeline = run_once(spark, feeds, scratch_dir(spark, "checkpoint"), models=[model], root=warehouse(spark))
+    return pipeline.results[model.full_name]
 
 
 def stream_checkpoint(spark, sf_dir):
     topic, path, checkpoint = B.Topic(unique("change")), scratch_dir(spark, "queue"), scratch_dir(spark, "checkpoint")
-    for second in (False, True):
-        write_part(spark, sf_dir, path, second)
-        run_once(spark, path, topic, checkpoint, models=(), root=warehouse(spark))
+    write_part(spark, sf_dir, path, second=False)
+    run_once(spark, Feed(topic, path), checkpoint, root=warehouse(spark))
+    write_late(spark, sf_dir, path)
+    run_once(spark, Feed(topic, path), checkpoint, root=warehouse(spark))
     loads = spark.table(B.bronze_table(topic.name)).groupBy("load_id").agg(F.count("*").alias("events"))
     return loads.select(F.substring_index("load_id", "-", -1).cast("int").alias("batch"), "events")
 
@@ -420,10 +463,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         json_array_explode,
         bronze_append,
         multi_topic_load,
+        load_all,
+        multi_topic_cycle,
         json_path_bigint,
         json_path_boolean,
         json_path_timestamp,
         json_extract_string,
+        cast_rejects,
         json_subdocument,
         json_path_json,
         project_rename,

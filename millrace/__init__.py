@@ -5,17 +5,19 @@ from millrace.operators.bronze import (
     Topic,
     append_bronze,
     explode_json_array,
+    last_file_name,
     load_all,
     load_events,
     relation,
     topic_totals,
 )
 from millrace.operators.incremental import append_load, upsert_table
+from millrace.operators.layout import compact_days
 from millrace.operators.quality import quality_counts, require_keys, valid_json
 from millrace.operators.relational import keyed_anti_join, sort_nulls_last, union_all, upsert
 from millrace.operators.sse import parse_sse, split_valid_utf8
 from millrace.plans.gold import gold_human_vs_bot, gold_logs_per_domain_and_min
-from millrace.plans.runner import CHANGE_MODELS, Model, ModelRunError, run_models, sql_model
+from millrace.plans.runner import CHANGE_MODELS, Model, ModelRunError, change_models, run_models, sql_model
 from millrace.plans.silver import (
     cast_rejects,
     project_events,
@@ -27,20 +29,24 @@ from millrace.plans.silver import (
 )
 from millrace.session import build_session, configure
 from millrace.sinks.csv_export import export_csv, export_layer
-from millrace.sources.frames import last_file_name, new_frames, read_frames
+from millrace.sources.frames import new_frames, read_frames
 from millrace.streaming.counts import stream_minute_counts, write_minute_counts
 from millrace.streaming.landing import land, with_topic
-from millrace.streaming.pipeline import load_frames, run_continuous, run_once
+from millrace.streaming.pipeline import Feed, Pipeline, load_frames, run_continuous, run_once
 
 __all__ = [
     "CHANGE_MODELS",
+    "Feed",
     "Model",
     "ModelRunError",
+    "Pipeline",
     "Topic",
     "append_bronze",
     "append_load",
     "build_session",
     "cast_rejects",
+    "change_models",
+    "compact_days",
     "configure",
     "explode_json_array",
     "export_csv",

@@ -3,7 +3,8 @@
 Text is parsed by Spark's JSON expressions only. Two rules hold throughout:
 
 * A document is valid when the whole text is one JSON document. Spark's parsers
-  stop at the end of the first value, so text after it has to be ruled out here.
+  stop at the end of the first value, and the one that lists keys also takes single
+  quotes and raw control characters, so both have to be ruled out here.
 * Paths are dotted names (``meta.uri``). A missing path is NULL, and a value that
   does not fit its type is NULL (or an error with ``strict=True``).
 """
@@ -21,6 +22,20 @@ from pyspark.sql import functions as F
 END_MARK = uuid.uuid4().hex
 
 
+# What Spark's key parser reads and JSON forbids begins with one of these.
+SUSPECT = r"['\x00-\x1F]"
+STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
+
+
+def _strict(data: Column) -> Column:
+    """False for single-quoted names or strings and raw control characters in them.
+
+    Only a text with a suspect character is parsed once more, as the value of one member.
+    """
+    member = F.concat(F.lit('{"d":'), data, F.lit("}"))
+    return F.when(data.rlike(SUSPECT), F.from_json(member, "MAP<STRING, STRING>", STRICT).isNotNull()).otherwise(True)
+
+
 def is_json_document(data: Column) -> Column:
     """True when the whole text is exactly one JSON document of any kind.
 
@@ -29,7 +44,8 @@ def is_json_document(data: Column) -> Column:
     """
     wrapped = F.concat(F.lit('{"d":'), data, F.lit(f',"{END_MARK}":0}}'))
     found = F.json_object_keys(wrapped)
-    return F.coalesce(found == F.array(F.lit("d"), F.lit(END_MARK)), F.lit(False))
+    whole = F.coalesce(found == F.array(F.lit("d"), F.lit(END_MARK)), F.lit(False))
+    return F.when(whole, _strict(data)).otherwise(False)
 
 
 def _marked(data: Column) -> Column:
@@ -57,6 +73,7 @@ def _has_all(data: Column, keys: Column) -> Column:
     wanted = F.array_append(keys, F.lit(END_MARK))
     at_once = F.size(F.array_except(wanted, F.json_object_keys(_marked(data)))) == 0
     apart = is_json_document(data) & (F.size(missing_keys(data, keys)) == 0)
+    at_once = F.when(at_once, _strict(data)).otherwise(False)
     return F.coalesce(F.when(F.endswith(F.rtrim(data), F.lit("}")), at_once).otherwise(apart), F.lit(False))
 
 
@@ -94,21 +111,54 @@ def json_at(document: Column, path: str) -> Column:
     return F.to_json(F.try_variant_get(document, f"$.{path}", "variant"))
 
 
+# Sign, digits before the point, digits behind it without closing zeros, exponent.
+NUMBER = r"^([+-]?)0*(\d+)(?:\.(\d*?)0*)?(?:[eE]([+-]?\d{1,4}))?$"
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def _whole_number(text: Column) -> Column:
+    """The integer that a number with a point or an exponent stands for; NULL if it is none."""
+    part = lambda k: F.regexp_extract(text, NUMBER, k)
+    shift = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3))
+    found = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), shift.alias("shift"))
+
+    def value(number: Column) -> Column:
+        digits, shift = number["digits"], number["shift"]
+        size = F.length(digits)
+        # Without the digits that the exponent moves behind the point, which must be zeros.
+        whole = F.when(shift >= 0, F.concat(digits, F.repeat(F.lit("0"), F.least(shift, F.lit(20)))))
+        whole = whole.when(F.substring(digits, F.greatest(size + shift, F.lit(0)) + 1, size).rlike("^0*$"), F.left(digits, size + shift))
+        return F.concat(number["sign"], F.when(digits.rlike("^0+$"), F.lit("0")).otherwise(whole)).try_cast("bigint")
+
+    # A lambda names the parts, so that the pattern isn't matched again for each use.
+    return F.element_at(F.transform(F.array(found), value), 1)
+
+
+def _utc_time(text: Column) -> Column:
+    """A time as TIMESTAMP_NTZ in UTC; one without an offset is taken to be in UTC.
+
+    Nothing here depends on the session's time zone: instants go by their microseconds.
+    """
+    with_zone = F.coalesce(F.concat(text, F.lit("Z")).try_cast("timestamp"), text.try_cast("timestamp"))
+    seconds = (F.unix_micros(with_zone).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    instant = F.expr(EPOCH) + F.make_dt_interval(zero, zero, zero, seconds)
+    return F.when(text.rlike(r"^\s*[+-]?\d{1,6}(-\d{1,2}){0,2}\s*$"), text.try_cast("timestamp_ntz")).otherwise(instant)
+
+
 def typed(text: Column, kind: str, strict: bool = False) -> Column:
     """Cast the text of a JSON value; what does not fit is NULL or, if strict, an error.
 
     Whole numbers written with a fraction or an exponent (``1.0``, ``1e3``) are
-    integers; other fractions are not. Times with an offset are converted to UTC.
+    integers; other fractions are not, however small. Times with an offset are converted
+    to UTC.
     """
     if kind == "string":
         return text
     if kind == "bigint":
-        decimal = text.try_cast("decimal(38,9)")
-        value = F.coalesce(
-            text.try_cast("bigint"), F.when(decimal == F.floor(decimal), decimal.try_cast("bigint"))
-        )
+        value = F.coalesce(text.try_cast("bigint"), F.when(text.rlike("[.eE]"), _whole_number(F.trim(text))))
     elif kind == "timestamp_ntz":
-        value = text.try_cast("timestamp").cast("timestamp_ntz")
+        value = _utc_time(text)
     else:
         value = text.try_cast(kind)
     if not strict:

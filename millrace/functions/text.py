@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The link pattern, the words looked for and the minute layout.
+# The link pattern, the words looked for and the separator of dates in a minute's text.
 LINK_PATTERN = r"(\[\[[^\[]*\]\])"
 ADD_WORD, REMOVE_WORD = "added", "remove"
-MINUTE_FORMAT = "yyyy/MM/dd HH:mm"
+DATE_SEPARATOR = "/"
 
 
 def first_link(comment: Column) -> Column:
@@ -28,6 +28,11 @@ def difference(new: Column, old: Column) -> Column:
     return F.try_subtract(new, old)
 
 
+def minute_start(dt: Column) -> Column:
+    """The start of the minute of a time without zone; no session setting matters."""
+    return dt - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.extract(F.lit("SECOND"), dt))
+
+
 def minute_text(dt: Column) -> Column:
-    """The minute of a time as text."""
-    return F.date_format(dt, MINUTE_FORMAT)
+    """The minute of a time without zone as text, ``yyyy/MM/dd HH:mm``."""
+    return F.translate(F.substring(dt.cast("string"), 1, 16), "-", DATE_SEPARATOR)

@@ -1,4 +1,4 @@
-"""The append-only raw layer: one JSON text column per event, by load."""
+"""The append-only raw layer: one JSON text column per event, by day and load."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
+
+from millrace.operators.layout import LOAD_COLUMNS, TABLE_OPTIONS, ensure_layer, load_place, property_of, set_property
 from millrace.operators.quality import quality_flags, require_keys
 from millrace.operators.sse import parse_sse, split_valid_utf8
 
 BRONZE_COLUMNS = "event STRING, file_name STRING"
-TABLE_OPTIONS = "compression 'zstd', partitionOverwriteMode 'dynamic'"
+LAST_FILE = "millrace.last_file"
 
 
 @dataclass(frozen=True)
@@ -25,13 +28,7 @@ class Topic:
 
 
 def bronze_table(topic: str) -> str:
-    return f"bronze.`{topic}_raw`"
-
-
-def ensure_layer(spark: SparkSession, layer: str, root: str | None = None) -> None:
-    """Create the layer's database if absent, below ``root`` if given."""
-    place = f" LOCATION '{root}/{layer}'" if root else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{place}")
+    return storage.quoted(f"bronze.{topic}_raw")
 
 
 def load_events(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,26 +65,39 @@ def topic_totals(frames: DataFrame, topics: Sequence[Topic]) -> DataFrame:
 def append_bronze(events: DataFrame, topic: str, load_id: str | None = None, root: str | None = None) -> str:
     """Write events as one load of ``bronze.<topic>_raw``, creating it if absent.
 
-    A load is a partition of its own. Writing a load id again replaces that load, so a
-    repeated attempt does not add rows twice. Returns the load id.
+    Writing a load id again replaces that load, so a repeated attempt does not add rows
+    twice. The greatest file name of all loads is kept with the table for the next
+    ``last_file_name``. Returns the load id.
     """
     spark = events.sparkSession
     load_id = load_id or uuid.uuid4().hex
     ensure_layer(spark, "bronze", root)
     table = bronze_table(topic)
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({BRONZE_COLUMNS}, load_id STRING) "
-        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_id)"
+        f"CREATE TABLE IF NOT EXISTS {table} ({BRONZE_COLUMNS}, {LOAD_COLUMNS}) "
+        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_day, load_id)"
     )
     if "file_name" not in events.columns:
         events = events.withColumn("file_name", F.lit(None).cast("string"))
+    names = Observation()
     spark.sql(
-        f"INSERT OVERWRITE {table} PARTITION (load_id = '{load_id}') SELECT event, file_name FROM {{events}}",
-        events=events,
+        f"INSERT OVERWRITE {table} PARTITION ({load_place(spark, table, load_id)}) SELECT event, file_name FROM {{events}}",
+        events=events.observe(names, F.max("file_name").alias("last")),
     )
+    seen = [name for name in (names.get["last"], property_of(spark, table, LAST_FILE)) if name]
+    if seen:
+        set_property(spark, table, LAST_FILE, max(seen))
     return load_id
 
 
+def last_file_name(spark: SparkSession, topic: str) -> str | None:
+    """The greatest file name loaded so far, for ``new_frames``; nothing is scanned for it.
+
+    Files of which no event was kept don't count; they are scanned again and yield nothing again.
+    """
+    return property_of(spark, bronze_table(topic), LAST_FILE)
+
+
 def explode_json_array(df: DataFrame, column: str) -> DataFrame:
     """One row per element of the JSON array text in ``column``, as ``event`` VARIANT."""
     return df.select(F.explode(F.from_json(column, "array<variant>")).alias("event"))
@@ -102,4 +112,5 @@ def relation(
     """
     if models and name in models:
         return models[name]
+    name = storage.quoted(name)
     return spark.readStream.table(name) if streaming else spark.table(name)

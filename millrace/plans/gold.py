@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import minute_text
+from millrace.functions.text import minute_start, minute_text
 from millrace.operators.relational import sort_nulls_last
 from millrace.plans.silver import of_type
 
@@ -20,7 +20,7 @@ def count_by_minute(df: DataFrame, *keys: str) -> DataFrame:
     Groups are formed on the truncated time and get their text afterwards, so the text
     is made once per group and not once per event.
     """
-    grouped = df.groupBy(F.date_trunc("minute", "dt").alias("__minute"), *keys)
+    grouped = df.groupBy(minute_start(F.col("dt")).alias("__minute"), *keys)
     counted = grouped.agg(F.count("*").alias("count_actions"))
     return counted.select(*keys, minute_text(F.col("__minute")).alias("minute"), "count_actions")
 

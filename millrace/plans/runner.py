@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.bronze import ensure_layer
+from millrace import storage
+from millrace.functions.text import ADD_WORD, LINK_PATTERN, REMOVE_WORD
 from millrace.operators.incremental import BUCKET, upsert_table
-from millrace.plans import gold, silver
+from millrace.operators.layout import ensure_layer
+from millrace.plans.silver import LOG_PARAM_PATHS
 
 
 @dataclass(frozen=True)
@@ -19,7 +22,7 @@ class Model:
     """A relation of a layer.
 
     ``build`` is a function of the needed DataFrames, in the order of ``needs``, or SQL
-    text that names them in braces. ``materialized`` is ``view``, ``table`` or
+    text that names them in braces, from which ``needs`` follows. ``materialized`` is ``view``, ``table`` or
     ``incremental``; the last is refreshed by ``unique_key``, and ``bucket`` says how its
     rows are laid out (see ``upsert_table``).
     """
@@ -32,6 +35,11 @@ class Model:
     unique_key: tuple[str, ...] = ()
     bucket: str | None = None
 
+    def __post_init__(self):
+        if isinstance(self.build, str) and not self.needs:
+            names = (name for _, name, _, _ in Formatter().parse(self.build) if name)
+            object.__setattr__(self, "needs", tuple(dict.fromkeys(names)))
+
     @property
     def full_name(self) -> str:
         return f"{self.layer}.{self.name}"
@@ -45,17 +53,58 @@ class ModelRunError(RuntimeError):
         super().__init__("\n".join(f"{name}: {text}" for name, text in self.messages.items()))
 
 
-CHANGE_MODELS = (
-    Model("recentchange_new", "silver", silver.silver_new, ("recentchange",)),
-    Model("recentchange_edit", "silver", silver.silver_edit, ("recentchange",)),
-    Model("recentchange_categorize", "silver", silver.silver_categorize, ("recentchange",)),
-    Model("recentchange_log", "silver", silver.silver_log, ("recentchange",)),
-    Model("recentchange_logs_per_domain_and_min", "gold", gold.gold_logs_per_domain_and_min, ("recentchange",)),
-    Model(
-        "recentchange_human_vs_bot_new_and_edit_actions", "gold", gold.gold_human_vs_bot, ("recentchange",)
-    ),
+# The change models as SQL, so that their views can be stored; plans.silver and plans.gold have them as functions.
+_COMMON = "id, namespace, title, comment"
+_WHERE = "uri, domain, dt"
+_MINUTE = "translate(substr(cast(dt AS STRING), 1, 16), '-', '/')"
+_LOG_PARAMS = ", ".join(
+    f"to_json(try_variant_get(log_params, '$.{path}', 'variant')) AS {path.split('.')[-1]}" for path in LOG_PARAM_PATHS
 )
 
+def change_models(topic: str = "recentchange") -> tuple[Model, ...]:
+    """The views by event type and both reports of a topic with change events."""
+    return (
+        Model(
+            f"{topic}_new",
+            "silver",
+            f"SELECT {_COMMON}, user, bot, minor, length_new AS length, {_WHERE}, patrolled FROM {{{topic}}} WHERE type = 'new'",
+        ),
+        Model(
+            f"{topic}_edit",
+            "silver",
+            f"SELECT {_COMMON}, user, bot, minor, try_subtract(revision_new, revision_old) AS revision_global_offset, "
+            f"try_subtract(length_new, length_old) AS length_difference, {_WHERE}, patrolled FROM {{{topic}}} WHERE type = 'edit'",
+        ),
+        Model(
+            f"{topic}_categorize",
+            "silver",
+            f"SELECT {_COMMON}, regexp_extract(comment, r'{LINK_PATTERN}', 0) AS object, CASE WHEN contains(comment, '{ADD_WORD}') "
+            f"THEN 'add' WHEN contains(comment, '{REMOVE_WORD}') THEN 'remove' END AS action_type_en, user, bot, minor, {_WHERE} "
+            f"FROM {{{topic}}} WHERE type = 'categorize'",
+        ),
+        Model(
+            f"{topic}_log",
+            "silver",
+            f"SELECT {_COMMON}, user, bot, minor, {_WHERE}, log_type, log_action, {_LOG_PARAMS} FROM {{{topic}}} WHERE type = 'log'",
+        ),
+        Model(
+            f"{topic}_logs_per_domain_and_min",
+            "gold",
+            f"SELECT domain, log_action, {_MINUTE} AS minute, count(*) AS count_actions FROM {{{topic}_log}} "
+            "GROUP BY domain, log_action, minute ORDER BY minute NULLS LAST, domain NULLS LAST, log_action NULLS LAST",
+        ),
+        Model(
+            f"{topic}_human_vs_bot_new_and_edit_actions",
+            "gold",
+            f"SELECT {_MINUTE} AS minute, bot, count(*) AS count_actions FROM "
+            f"(SELECT dt, bot FROM {{{topic}_new}} UNION ALL SELECT dt, bot FROM {{{topic}_edit}}) "
+            "GROUP BY minute, bot ORDER BY minute NULLS LAST, bot NULLS LAST",
+        ),
+    )
+
+
+CHANGE_MODELS = change_models()
+
 
 def sql_model(spark: SparkSession, text: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """A SELECT over upstream names written in braces: ``SELECT ... FROM {recentchange}``."""
@@ -71,7 +120,7 @@ def _store_table(df: DataFrame, full_name: str) -> None:
     spark = df.sparkSession
     layer, name = full_name.split(".")
     home = spark.catalog.getDatabase(layer).locationUri.rstrip("/") + f"/{name}"
-    place = None
+    full_name, place = storage.quoted(full_name), None
     if spark.catalog.tableExists(full_name):
         details = spark.sql(f"DESCRIBE TABLE EXTENDED {full_name}").where(F.col("col_name") == "Location")
         place = details.first()["data_type"].rstrip("/")
@@ -79,7 +128,7 @@ def _store_table(df: DataFrame, full_name: str) -> None:
     df.write.mode("overwrite").parquet(target)
     stored = spark.read.parquet(target).schema
     if place and spark.table(full_name).schema == stored:
-        spark.sql(f"ALTER TABLE {full_name} SET LOCATION '{target}'")
+        spark.sql(f"ALTER TABLE {full_name} SET LOCATION {storage.literal(target)}")
     else:
         spark.sql(f"DROP TABLE IF EXISTS {full_name}")
         spark.catalog.createTable(full_name, path=target, source="parquet", schema=stored)
@@ -87,8 +136,14 @@ def _store_table(df: DataFrame, full_name: str) -> None:
 
 
 def _refresh(
-    spark: SparkSession, model: Model, inputs: Mapping[str, DataFrame], root: str | None
-) -> DataFrame:
+    spark: SparkSession, model: Model, inputs: Mapping[str, DataFrame], stored: Mapping[str, str], root: str | None
+) -> tuple[DataFrame, str | None]:
+    """The model's relation, and its name in the catalog if it is stored there."""
+    full_name = storage.quoted(model.full_name)
+    ensure_layer(spark, model.layer, root)
+    if model.materialized == "view" and isinstance(model.build, str) and all(need in stored for need in model.needs):
+        spark.sql(f"CREATE OR REPLACE VIEW {full_name} AS {model.build.format(**stored)}")
+        return spark.table(full_name), full_name
     needed = {name: inputs[name] for name in model.needs}
     if isinstance(model.build, str):
         df = sql_model(spark, model.build, needed)
@@ -96,14 +151,13 @@ def _refresh(
         df = model.build(*needed.values())
     if model.materialized == "view":
         df.createOrReplaceTempView(f"`{model.full_name}`")
-        return df
-    ensure_layer(spark, model.layer, root)
+        return df, None
     if model.materialized == "table":
         _store_table(df, model.full_name)
-        return spark.table(model.full_name)
+        return spark.table(full_name), full_name
     if model.materialized == "incremental":
-        upsert_table(df, model.full_name, model.unique_key, model.bucket, root=root)
-        return spark.table(model.full_name).drop(BUCKET)
+        upsert_table(df, full_name, model.unique_key, model.bucket, root=root)
+        return spark.table(full_name).drop(BUCKET), None
     raise ValueError(f"unknown materialization {model.materialized!r}")
 
 
@@ -114,19 +168,24 @@ def run_models(
     fail_fast: bool = True,
     loaded: int | None = None,
     root: str | None = None,
+    stored: Mapping[str, str] | None = None,
+    fresh: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Refresh models after what they need; returns them by ``layer.name``.
 
-    Views stay lazy and are inlined by Catalyst; they are also temporary views under
-    their quoted full name. Nothing runs when ``loaded`` is 0. On failure the run stops,
-    or with ``fail_fast=False`` goes on with models that do not need a failed one, and
-    raises ``ModelRunError`` at the end.
+    ``stored`` names the inputs that are tables or views of the catalog. A view in SQL
+    whose needs are all stored becomes a view of the catalog, for every session; other
+    views stay lazy and are temporary views under their quoted full name. ``fresh`` has the
+    rows that are new since the last run, for incremental models that need such an input.
+    Nothing runs when ``loaded`` is 0. On failure the run stops, or with
+    ``fail_fast=False`` goes on with models that do not need a failed one, and raises
+    ``ModelRunError`` at the end.
     """
     if loaded == 0:
         return {}
     by_name = {model.name: model for model in models}
     order = TopologicalSorter({m.name: [n for n in m.needs if n in by_name] for m in models}).static_order()
-    available = dict(inputs)
+    available, catalog = dict(inputs), dict(stored or {})
     results: dict[str, DataFrame] = {}
     messages: dict[str, str] = {}
     for name in order:
@@ -135,10 +194,16 @@ def run_models(
         try:
             if absent:
                 raise LookupError(f"needs {', '.join(absent)}")
-            available[name] = results[model.full_name] = _refresh(spark, model, available, root)
+            given = {**available, **(fresh or {})} if model.materialized == "incremental" else available
+            result, place = _refresh(spark, model, given, catalog, root)
+            available[name] = results[model.full_name] = result
+            catalog.pop(name, None)
+            if place:
+                catalog[name] = place
         except Exception as error:  # a model is user code: report it by name
             messages[model.full_name] = str(error)
             available.pop(name, None)
+            catalog.pop(name, None)
             if fail_fast:
                 break
     if messages:

@@ -66,14 +66,17 @@ QUICK, CAREFUL, MISFIT = "__quick", "__careful", "__misfit"
 
 
 def _document_schema(columns: Sequence[tuple[str, str, str]], read_as: Mapping[str, str], mark: str = "") -> str:
-    """The nested schema of all paths, each read as the type given for its kind or as text."""
+    """The nested schema of all paths, each read as the type given for its kind or as text.
+
+    Where one path goes on below another, the upper one is left to ``_at``.
+    """
     tree: dict = {}
-    for _, path, kind in columns:
+    for _, path, kind in sorted(columns, key=lambda column: column[1].count("."), reverse=True):
         *parents, leaf = path.split(".")
         node = tree
         for parent in parents:
             node = node.setdefault(parent, {})
-        node[leaf] = read_as.get(kind, "STRING")
+        node.setdefault(leaf, read_as.get(kind, "STRING"))
 
     def ddl(node: dict) -> str:
         return ", ".join(
@@ -84,6 +87,10 @@ def _document_schema(columns: Sequence[tuple[str, str, str]], read_as: Mapping[s
     return f"STRUCT<{ddl(tree)}{f', `{mark}`: STRING' if mark else ''}>"
 
 
+def _has_parts(path: str, columns: Sequence[tuple[str, str, str]]) -> bool:
+    return any(other.startswith(f"{path}.") for _, other, _ in columns)
+
+
 def _at(document: str, path: str) -> Column:
     return F.col(".".join([document, *[f"`{part}`" for part in path.split(".")]]))
 
@@ -97,15 +104,23 @@ def _typed_column(path: str, kind: str, strict: bool) -> Column:
     return F.when(F.col(CAREFUL).isNull(), _at(QUICK, path)).otherwise(careful)
 
 
+def _whole_value(path: str, kind: str) -> Column:
+    """A value that is asked for together with parts of it: read on its own."""
+    event = F.col("event")
+    return J.variant_at(event, path) if kind == "variant" else J.typed(J.text_at(event, path), kind)
+
+
 def _parsed(bronze: DataFrame, columns: Sequence[tuple[str, str, str]], keep: Sequence[str]) -> DataFrame:
     """Each event parsed once; only events with a value of another type once more, as text."""
     marked = _document_schema(columns, READ_AS, MISFIT)
     document = F.from_json("event", marked, {"columnNameOfCorruptRecord": MISFIT})
     # The generator makes the document a column of its own: a filter on one of its values
     # does not parse the event again.
-    parsed = bronze.select("event", *keep, F.explode(F.array(document)).alias(QUICK))
+    whole = [_whole_value(path, kind).alias(f"__whole_{name}") for name, path, kind in columns if _has_parts(path, columns)]
+    parsed = bronze.select("event", *keep, *whole, F.explode(F.array(document)).alias(QUICK))
     as_text = F.from_json("event", _document_schema(columns, {"variant": "VARIANT"}))
-    return parsed.select(*keep, QUICK, F.when(F.col(f"{QUICK}.{MISFIT}").isNotNull(), as_text).alias(CAREFUL))
+    wholes = [name for name in parsed.columns if name.startswith("__whole_")]
+    return parsed.select(*keep, *wholes, QUICK, F.when(F.col(f"{QUICK}.{MISFIT}").isNotNull(), as_text).alias(CAREFUL))
 
 
 def project_events(
@@ -122,12 +137,16 @@ def project_events(
     NULL, or an error with ``strict``.
     """
     parsed = _parsed(bronze, columns, keep)
-    return parsed.select(*keep, *[_typed_column(path, kind, strict).alias(name) for name, path, kind in columns])
+    values = [
+        (F.col(f"__whole_{name}") if _has_parts(path, columns) else _typed_column(path, kind, strict)).alias(name)
+        for name, path, kind in columns
+    ]
+    return parsed.select(*keep, *values)
 
 
 def cast_rejects(bronze: DataFrame, columns: Sequence[tuple[str, str, str]] = CHANGE_COLUMNS) -> DataFrame:
     """One row: per typed column, how many values did not fit their type."""
-    checked = [(name, path, kind) for name, path, kind in columns if kind not in ("string", "variant")]
+    checked = [c for c in columns if c[2] not in ("string", "variant") and not _has_parts(c[1], columns)]
     rejects = []
     for name, path, kind in checked:
         given = _at(CAREFUL if kind in READ_AS else QUICK, path)

@@ -16,6 +16,13 @@ RESULT_SETTINGS = {
 }
 
 
+# Where the state of running counts is kept: on disk, with changes only in the checkpoint.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to a running session."""
     for name, value in RESULT_SETTINGS.items():
@@ -30,6 +37,8 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")
+    for name, value in STATE_SETTINGS.items():
+        builder = builder.config(name, value)
     for name, value in RESULT_SETTINGS.items():
         builder = builder.config(name, value)
     for name, value in conf.items():

@@ -18,9 +18,6 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-# A relation up to this many rows becomes one file; a larger one a folder of files.
-MAX_SINGLE_FILE_ROWS = 2_000_000
-POSITION = "__position"
 
 
 def csv_text(df: DataFrame) -> DataFrame:
@@ -36,49 +33,61 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def export_csv(
-    models: Mapping[str, DataFrame], path: str, max_single_file_rows: int = MAX_SINGLE_FILE_ROWS
-) -> dict[str, str]:
+def export_csv(models: Mapping[str, DataFrame], path: str, single_file: bool = True) -> dict[str, str]:
     """Write each relation to ``<path>/<name>.csv``; returns the paths by name.
 
-    The relation is computed once, in parallel, into the scratch folder together with
-    each row's position in its sort order. Its row count then decides: up to
-    ``max_single_file_rows`` one task writes one file, beyond that ``<name>.csv`` is a
-    folder whose files, in name order, hold the rows in order. The result appears under
-    its name by a rename. No relations, no files.
+    A relation is computed in parallel, and its sorted partitions are written in order.
+    With ``single_file`` they are then copied one after another into one file, whatever
+    their size, through a small buffer; without, ``<name>.csv`` is always a folder whose files, in name order, hold the
+    rows in order, each with a header. Relations of equal name in two layers are told apart
+    by their layer. A report appears under its name by a rename: the one before is moved
+    aside first, comes back if the rename fails, and goes last. No relations, no files.
     """
+    names = [full_name.split(".")[-1] for full_name in models]
     written = {}
     for full_name, df in models.items():
         name = full_name.split(".")[-1]
-        written[full_name] = _export(df, f"{path.rstrip('/')}/{name}.csv", max_single_file_rows)
+        name = full_name if names.count(name) > 1 else name
+        written[full_name] = _export(df, f"{path.rstrip('/')}/{name}.csv", single_file)
     return written
 
 
-def _export(df: DataFrame, target: str, max_single_file_rows: int) -> str:
+def _export(df: DataFrame, target: str, single_file: bool) -> str:
     spark = df.sparkSession
-    stage = scratch_dir(spark, "csv")
-    csv_text(df).withColumn(POSITION, F.monotonically_increasing_id()).write.parquet(f"{stage}/rows")
-    rows = spark.read.parquet(f"{stage}/rows")
-    ordered = rows.orderBy(POSITION)
-    single = rows.count() <= max_single_file_rows
-    if single:
-        ordered = ordered.coalesce(1)
     # Written next to the target, so that the rename stays within one file system.
     folder, _, file_name = target.rpartition("/")
-    hidden = f"{folder}/.{stage.rpartition('/')[2]}-{file_name}"
-    ordered.drop(POSITION).write.options(**CSV_OPTIONS).csv(hidden)
-    source = f"{hidden}/{storage.part_files(spark, hidden)[0]}" if single else hidden
-    storage.delete(spark, target)
-    storage.rename(spark, source, target)
-    if single:
+    mark = scratch_dir(spark, "csv").rpartition("/")[2]
+    hidden, older = f"{folder}/.{mark}-{file_name}", f"{folder}/.{mark}-older-{file_name}"
+    try:
+        if single_file:
+            parts = f"{hidden}/parts"
+            csv_text(df).write.options(**CSV_OPTIONS | {"header": "false"}).csv(parts)
+            source = f"{hidden}/{file_name}"
+            header = ";".join(_quoted(name) for name in df.columns) + "\n"
+            storage.concatenate(spark, [f"{parts}/{name}" for name in storage.part_files(spark, parts)], source, header)
+        else:
+            csv_text(df).write.options(**CSV_OPTIONS).csv(source := f"{hidden}/parts")
+        if storage.exists(spark, target):
+            storage.rename(spark, target, older)
+        try:
+            storage.rename(spark, source, target)
+        except Exception:
+            if storage.exists(spark, older):
+                storage.rename(spark, older, target)
+            raise
+    finally:
         storage.delete(spark, hidden)
-    storage.delete(spark, stage)
+        storage.delete(spark, older)
     return target
 
 
-def export_layer(spark: SparkSession, path: str, layer: str = "gold") -> dict[str, str]:
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if any(c in name for c in ';"\n\r') else name
+
+
+def export_layer(spark: SparkSession, path: str, layer: str = "gold", single_file: bool = True) -> dict[str, str]:
     """Export every stored table or view of a catalog database; no database, no files."""
     if not spark.catalog.databaseExists(layer):
         return {}
-    names = [f"{layer}.{table.name}" for table in spark.catalog.listTables(layer) if not table.isTemporary]
-    return export_csv({name: spark.table(name) for name in names}, path)
+    names = [table.name for table in spark.catalog.listTables(layer) if not table.isTemporary]
+    return export_csv({f"{layer}.{name}": spark.table(storage.quoted(f"{layer}.{name}")) for name in names}, path, single_file)

@@ -3,8 +3,9 @@
 A text scan may cut a file at any byte. Where two frames are separated by exactly one
 blank line every cut is harmless; where they are separated by more, a cut inside the run
 of line feeds can give a frame to both sides. Outside producers may write such runs, so
-their ``.bin`` files are read in one piece each, by streaming through them. Files that
-``land`` writes (``.txt``) have no such runs and are always cut freely.
+their ``.bin`` files are read in one piece each, by streaming through them, unless the
+caller says that they are ``splittable``. Files that ``land`` writes (``.txt``) have no
+such runs and are always cut freely. No size of a file decides anything.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ IN_ONE_PIECE = {
     "io.compress.passthrough.extension": ".bin",
     "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".bin",
 }
-# In batch, larger ``.bin`` files than this are cut nevertheless.
-CUT_ABOVE = 1 << 30
 AMBIGUOUS = (
     "a file that was read in several pieces has several blank lines in a row; "
-    "read it in one piece, as a .bin file and with cut_above=None: "
+    "read it in one piece, as a .bin file and without splittable=True: "
 )
 
 
@@ -41,27 +40,20 @@ def read_frames(
     path: str | list[str],
     streaming: bool = False,
     by_topic: bool = False,
-    cut_above: int | None = CUT_ABOVE,
+    splittable: bool = False,
     **options: str | int,
 ) -> DataFrame:
     """Frames of the queue files in a folder as ``value`` with their ``file_name``.
 
     With ``by_topic`` the folder has a sub-folder ``topic=<name>`` per topic, as ``land``
-    writes them, and the topic is a column. In batch, ``.bin`` files of more than
-    ``cut_above`` bytes are shared by many tasks. If a cut then meets frames that are
-    separated by several blank lines, the job fails rather than give a frame twice. A
-    stream reads each ``.bin`` file in one piece, unless ``cut_above`` is 0.
+    writes them, and the topic is a column. With ``splittable``, in batch as in a stream,
+    a ``.bin`` file is shared by many tasks; if a cut then meets frames that are separated
+    by several blank lines, the job fails rather than give a frame twice.
     ``options`` go to the text source; for streams ``maxFilesPerTrigger`` or
     ``maxBytesPerTrigger`` bound a batch.
     """
-    pieces = {} if cut_above == 0 else IN_ONE_PIECE
-    frames = _scan(spark, path, streaming, by_topic, {**pieces, **options})
-    if streaming or not cut_above:
-        return _named(frames)
-    large = F.endswith("_metadata.file_name", F.lit(".bin")) & (F.col("_metadata.file_size") > cut_above)
-    # The conditions are on the files, so each scan takes only its own from the listing.
-    cut = _scan(spark, path, False, by_topic, options).where(large)
-    return _named(frames.where(~large)).unionByName(_named(cut))
+    pieces = {} if splittable else IN_ONE_PIECE
+    return _named(_scan(spark, path, streaming, by_topic, {**pieces, **options}))
 
 
 def _named(frames: DataFrame) -> DataFrame:
@@ -73,19 +65,10 @@ def _named(frames: DataFrame) -> DataFrame:
     return frames.select(value.alias("value"), *others, F.col("_metadata.file_name").alias("file_name"))
 
 
-def new_frames(spark: SparkSession, path: str, last_name: str | None = None) -> DataFrame:
+def new_frames(spark: SparkSession, path: str, last_name: str | None = None, splittable: bool = False) -> DataFrame:
     """Frames of the files whose name is greater than the last loaded one.
 
     The name filter removes files from the scan before anything is read.
     """
-    frames = read_frames(spark, path)
+    frames = read_frames(spark, path, splittable=splittable)
     return frames if last_name is None else frames.where(F.col("file_name") > last_name)
-
-
-def last_file_name(loaded: DataFrame) -> str | None:
-    """The greatest file name, to be handed to the next ``new_frames``.
-
-    Meant for a bronze table, where it reads one small column. Files of which no event
-    was kept are not in it; they are scanned again and yield nothing again.
-    """
-    return loaded.agg(F.max("file_name")).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions.text import minute_text
+from millrace.functions.text import minute_start, minute_text
 from millrace.operators.incremental import upsert_table
 from millrace.plans.gold import count_by_minute
 
@@ -25,11 +25,12 @@ def stream_minute_counts(events: DataFrame, keys: Sequence[str], watermark: str
     time, are left out.
     """
     if watermark:
-        # Watermarks need a time with a zone.
-        events = events.withColumn("dt", F.col("dt").cast("timestamp")).withWatermark("dt", watermark)
-        minute = F.window("dt", "1 minute").alias("__window")
-        counted = events.groupBy(minute, *keys).agg(F.count("*").alias("count_actions"))
-        return counted.select(*keys, minute_text(F.col("__window.start")).alias("minute"), "count_actions")
+        # Watermarks need a time with a zone; the time itself goes along and makes the text.
+        events = events.withColumn("__time", F.to_timestamp(F.concat(F.col("dt").cast("string"), F.lit("Z"))))
+        events = events.withWatermark("__time", watermark)
+        minute = F.window("__time", "1 minute").alias("__window")
+        counted = events.groupBy(minute, minute_start(F.col("dt")).alias("__minute"), *keys).agg(F.count("*").alias("count_actions"))
+        return counted.select(*keys, minute_text(F.col("__minute")).alias("minute"), "count_actions")
     return count_by_minute(events, *keys)
 
 

@@ -1,28 +1,55 @@
-"""Frames to bronze to silver to models, once or continuously."""
+"""Frames of several topics to bronze to silver, models and reports: once or at an interval.
+
+A cycle loads what has arrived for each topic, runs the models once over all topics if
+anything was loaded, and exports the reports when that is due, new data or not.
+"""
 
 from __future__ import annotations
 
 import json
 import logging
+import threading
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.bronze import Topic, append_bronze, bronze_table, ensure_layer
+from millrace import storage
+from millrace.operators.bronze import Topic, append_bronze, bronze_table
 from millrace.operators.incremental import append_load
+from millrace.operators.layout import compact_days, ensure_layer, without_load
 from millrace.operators.quality import quality_flags, quality_measures
 from millrace.operators.sse import parse_sse, split_valid_utf8
-from millrace.plans.runner import CHANGE_MODELS, Model, run_models
+from millrace.plans.runner import Model, run_models
 from millrace.plans.silver import silver_recentchange
-from millrace.sinks.csv_export import export_csv
+from millrace.session import configure
+from millrace.sinks.csv_export import export_csv, export_layer
 from millrace.sources.frames import read_frames
 
 logger = logging.getLogger(__name__)
 
 
+@dataclass(frozen=True)
+class Feed:
+    """A topic, the folder where its frames land, and how its events are typed.
+
+    ``sort_by`` names silver columns by which the rows of a load are sorted in its files,
+    so that readers of one value skip the rest.
+    """
+
+    topic: Topic
+    landing: str
+    project: Callable[[DataFrame], DataFrame] = silver_recentchange
+    sort_by: tuple[str, ...] = ()
+
+    @property
+    def silver_table(self) -> str:
+        return storage.quoted(f"silver.{self.topic.name}")
+
+
 def log_counts(topic: str, counts: dict) -> None:
     """Report the counts of a load; a warning if anything was left out."""
     bad = counts["missing_key_parts"] + counts["incomplete"] + counts["undecodable"]
@@ -62,75 +89,165 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def _batch_loader(
-    session: SparkSession,
-    topic: Topic,
-    checkpoint: str,
-    project: Callable[[DataFrame], DataFrame],
-    models: Sequence[Model],
-    csv_dir: str | None,
-    export_every: float,
-    report: Callable[[str, dict], None],
-    root: str | None,
-) -> Callable[[DataFrame, int], None]:
-    last_export = time.monotonic()
-
-    def load(batch: DataFrame, batch_id: int) -> None:
-        nonlocal last_export
-        load_id = f"{_stream_id(session, checkpoint)}-{batch_id:012d}"
-        counts = load_frames(batch, topic, load_id, root)
-        report(topic.name, counts)
-        if counts["seen"] == 0:
+class Pipeline:
+    """Cycles over some feeds; see ``run_once`` and ``run_continuous``."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        feeds: Feed | Sequence[Feed],
+        checkpoint: str,
+        models: Sequence[Model] = (),
+        csv_dir: str | None = None,
+        export_every: float = 60.0,
+        report: Callable[[str, dict], None] = log_counts,
+        root: str | None = None,
+        splittable: bool = False,
+        **source_options: str | int,
+    ):
+        self.spark = configure(spark)
+        self.feeds = [feeds] if isinstance(feeds, Feed) else list(feeds)
+        self.checkpoint, self.models, self.root = checkpoint.rstrip("/"), models, root
+        self.csv_dir, self.export_every, self.report = csv_dir, export_every, report
+        self.source_options = {"splittable": splittable, **source_options}
+        self.last_export: float | None = None
+        self.results: dict[str, DataFrame] = {}
+        # Loads that the models haven't seen, by topic.
+        self.pending: dict[str, list[str]] = {}
+        self.first = True
+
+    def _loader(self, feed: Feed, checkpoint: str) -> Callable[[DataFrame, int], None]:
+        session, name = self.spark, feed.topic.name
+
+        def load(batch: DataFrame, batch_id: int) -> None:
+            load_id = f"{_stream_id(session, checkpoint)}-{batch_id:012d}"
+            counts = load_frames(batch, feed.topic, load_id, self.root)
+            self.report(name, counts)
+            if counts["seen"] == 0:
+                return
+            # From here on the work reads the load just written, so it depends on the batch
+            # alone, and it runs in the caller's session: a stream's own session plans without
+            # adaptive execution, and neither session sees files that the other one wrote
+            # until it is told to look.
+            session.catalog.refreshTable(bronze_table(name))
+            bronze = session.table(bronze_table(name)).where(F.col("load_id") == load_id)
+            rows = feed.project(without_load(bronze))
+            append_load(rows.sortWithinPartitions(*feed.sort_by) if feed.sort_by else rows, feed.silver_table, load_id, self.root)
+            self.pending.setdefault(name, []).append(load_id)
+
+        return load
+
+    def _start(self, feed: Feed) -> StreamingQuery:
+        checkpoint = f"{self.checkpoint}/{feed.topic.name}"
+        frames = read_frames(self.spark, feed.landing, streaming=True, **self.source_options)
+        writer = frames.writeStream.foreachBatch(self._loader(feed, checkpoint)).option("checkpointLocation", checkpoint)
+        return writer.queryName(f"load {feed.topic.name}").trigger(availableNow=True).start()
+
+    def load(self) -> None:
+        """Load what has arrived for every topic; the topics' streams run side by side."""
+        queries = [self._start(feed) for feed in self.feeds]
+        for query in queries:
+            query.awaitTermination()
+
+    def transform(self) -> None:
+        """Run all models once, if anything was loaded since they last ran, or this is the first cycle.
+
+        Incremental models get the rows of the new loads only. When a model fails, the loads
+        stay pending for the next cycle of this pipeline.
+        """
+        known = [feed for feed in self.feeds if self.spark.catalog.tableExists(feed.silver_table)]
+        if not known or not (self.pending or self.first):
             return
-        # From here on the work reads the load just written, so it depends on the batch
-        # alone, and it runs in the caller's session: a stream's own session plans without
-        # adaptive execution, and neither session sees files that the other one wrote
-        # until it is told to look.
-        session.catalog.refreshTable(bronze_table(topic.name))
-        bronze = session.table(bronze_table(topic.name)).where(F.col("load_id") == load_id)
-        # Rows sorted by type let readers of one type skip row groups.
-        silver_table = f"silver.`{topic.name}`"
-        append_load(project(bronze).sortWithinPartitions("type"), silver_table, load_id, root)
-        ensure_layer(session, "gold", root)
-        results = run_models(session, models, {topic.name: session.table(silver_table).drop("load_id")}, root=root)
-        if csv_dir and time.monotonic() - last_export > export_every:
-            last_export = time.monotonic()
-            export_csv({name: df for name, df in results.items() if name.startswith("gold.")}, csv_dir)
-
-    return load
-
-
-def _start(
-    spark: SparkSession,
-    landing: str,
-    topic: Topic,
-    checkpoint: str,
-    trigger: dict,
-    project: Callable[[DataFrame], DataFrame] = silver_recentchange,
-    models: Sequence[Model] = CHANGE_MODELS,
-    csv_dir: str | None = None,
-    export_every: float = 60.0,
-    report: Callable[[str, dict], None] = log_counts,
-    root: str | None = None,
-    **source_options: str | int,
-) -> StreamingQuery:
-    frames = read_frames(spark, landing, streaming=True, **source_options)
-    load = _batch_loader(spark, topic, checkpoint, project, models, csv_dir, export_every, report, root)
-    writer = frames.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-    return writer.queryName(f"load {topic.name}").trigger(**trigger).start()
-
-
-def run_once(spark: SparkSession, landing: str, topic: Topic, checkpoint: str, **settings) -> None:
-    """Load and transform the files that are there and not loaded yet, then return.
-
-    The checkpoint remembers loaded files. A large backlog is worked off in several
-    batches if ``maxBytesPerTrigger`` or ``maxFilesPerTrigger`` is given.
+        inputs, stored, fresh = {}, {}, {}
+        for feed in known:
+            name = feed.topic.name
+            self.spark.catalog.refreshTable(feed.silver_table)
+            table, raw = self.spark.table(feed.silver_table), self.spark.table(bronze_table(name))
+            inputs |= {name: without_load(table), f"{name}_raw": without_load(raw)}
+            stored |= {name: feed.silver_table, f"{name}_raw": bronze_table(name)}
+            fresh[name] = without_load(table.where(F.col("load_id").isin(self.pending.get(name, []))))
+        for layer in ("silver", "gold"):
+            ensure_layer(self.spark, layer, self.root)
+        self.results = run_models(self.spark, self.models, inputs, root=self.root, stored=stored, fresh=fresh)
+        self.pending, self.first = {}, False
+
+    def export(self) -> dict[str, str]:
+        """Write every report: what the gold layer stores, and this pipeline's other gold relations."""
+        if not self.csv_dir:
+            return {}
+        self.last_export = time.monotonic()
+        mine = {name: df for name, df in self.results.items() if name.startswith("gold.")}
+        if mine:
+            return export_csv(mine, self.csv_dir)
+        return export_layer(self.spark, self.csv_dir, "gold")
+
+    def cycle(self) -> None:
+        self.load()
+        self.transform()
+        if self.last_export is None or time.monotonic() - self.last_export >= self.export_every:
+            self.export()
+
+    def compact(self, before) -> None:
+        """Merge the loads of closed days of all topics, in bronze and silver."""
+        for feed in self.feeds:
+            for table in (bronze_table(feed.topic.name), feed.silver_table):
+                if self.spark.catalog.tableExists(table):
+                    compact_days(self.spark, table, before)
+
+
+class RunningPipeline:
+    """Cycles in a thread of the driver; an error ends them and comes out of ``wait`` and ``stop``."""
+
+    def __init__(self, pipeline: Pipeline, every: float):
+        self.pipeline, self.every, self.cycles = pipeline, every, 0
+        self._stop, self._error = threading.Event(), None
+        self._thread = threading.Thread(target=self._run, daemon=True)
+        self._thread.start()
+
+    def _run(self) -> None:
+        try:
+            while not self._stop.is_set():
+                self.pipeline.cycle()
+                self.cycles += 1
+                self._stop.wait(self.every)
+        except Exception as error:
+            self._error = error
+
+    def _raise(self) -> None:
+        if self._error:
+            raise self._error
+
+    def wait(self, cycles: int = 1, timeout: float | None = None) -> bool:
+        """Wait until so many more cycles that begin from now on are done."""
+        goal, end = self.cycles + cycles + 1, time.monotonic() + (timeout or float("inf"))
+        while self.cycles < goal and self._thread.is_alive() and time.monotonic() < end:
+            time.sleep(0.1)
+        self._raise()
+        return self.cycles >= goal
+
+    def stop(self) -> None:
+        """End after the cycle in work."""
+        self._stop.set()
+        self._thread.join()
+        self._raise()
+
+
+def run_once(spark: SparkSession, feeds: Feed | Sequence[Feed], checkpoint: str, **settings) -> Pipeline:
+    """Load and transform what is there and not loaded yet, export the reports, then return.
+
+    ``settings`` are those of ``Pipeline``. The checkpoint remembers loaded files. A large
+    backlog is worked off in several batches if ``maxBytesPerTrigger`` or
+    ``maxFilesPerTrigger`` is given.
     """
-    _start(spark, landing, topic, checkpoint, {"availableNow": True}, **settings).awaitTermination()
+    pipeline = Pipeline(spark, feeds, checkpoint, **settings)
+    pipeline.load()
+    pipeline.transform()
+    pipeline.export()
+    return pipeline
 
 
 def run_continuous(
-    spark: SparkSession, landing: str, topic: Topic, checkpoint: str, every: str = "60 seconds", **settings
-) -> StreamingQuery:
-    """Load and transform at an interval, and export gold when ``export_every`` seconds passed."""
-    return _start(spark, landing, topic, checkpoint, {"processingTime": every}, **settings)
+    spark: SparkSession, feeds: Feed | Sequence[Feed], checkpoint: str, every: float = 60.0, **settings
+) -> RunningPipeline:
+    """Cycle again ``every`` seconds after the last one; reports are due every ``export_every`` seconds, idle or not."""
+    return RunningPipeline(Pipeline(spark, feeds, checkpoint, **settings), every)

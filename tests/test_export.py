@@ -46,9 +46,31 @@ def test_export_replaces_and_leaves_nothing_else(spark, tmp_path):
     assert (tmp_path / "csv" / "two.csv").read_text() == "id\n"
 
 
-def test_large_relations_become_a_folder_in_order(spark, tmp_path):
+def test_one_file_holds_all_partitions_in_order(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     df = spark.range(1000).select((999 - F.col("id")).alias("n")).orderBy("n")
-    path = export_csv({"big": df}, str(tmp_path), max_single_file_rows=100)["big"]
+    export_csv({"big": df}, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [int(line) for line in (tmp_path / "big.csv").read_text().splitlines()[1:]] == list(range(1000))
+
+
+def test_a_failed_export_leaves_the_report(spark, tmp_path):
+    export_csv({"one": spark.range(2)}, str(tmp_path))
+    broken = spark.range(3).select(F.raise_error(F.lit("broken report")).cast("int").alias("id"))
+    with pytest.raises(Exception, match="broken report"):
+        export_csv({"one": broken}, str(tmp_path))
+    assert (tmp_path / "one.csv").read_text() == "id\n0\n1\n"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["one.csv"]
+
+
+def test_equal_names_in_two_layers(spark, tmp_path):
+    paths = export_csv({"gold.n": spark.range(1), "silver.n": spark.range(2)}, str(tmp_path))
+    assert paths == {"gold.n": f"{tmp_path}/gold.n.csv", "silver.n": f"{tmp_path}/silver.n.csv"}
+
+
+def test_folders_on_request_in_order(spark, tmp_path):
+    df = spark.range(1000).select((999 - F.col("id")).alias("n")).orderBy("n")
+    path = export_csv({"big": df}, str(tmp_path), single_file=False)["big"]
     parts = sorted((tmp_path / "big.csv").glob("part-*"))
     assert path.endswith("big.csv")
     numbers = [int(line) for part in parts for line in part.read_text().splitlines()[1:]]

@@ -1,3 +1,4 @@
+import datetime
 import uuid
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import bronze as B
 from millrace.operators import incremental as I
 from millrace.operators import relational as R
+from millrace.operators.layout import compact_days
 
 
 @pytest.fixture
@@ -72,12 +74,30 @@ def test_stored_upsert_leaves_other_buckets_alone(spark, table):
     assert spark.table(table).where("v = 'b'").count() == 1 and spark.table(table).count() == 100
 
 
-def test_many_touched_buckets_take_the_join(spark, table, monkeypatch):
-    monkeypatch.setattr(I, "MAX_NAMED_BUCKETS", 3)
-    I.upsert_table(keyed(spark, [(i, "a") for i in range(100)]), table, ["id"], bucket="id div 10")
-    I.upsert_table(keyed(spark, [(i, "b") for i in range(0, 100, 7)]), table, ["id"])
-    counts = {r.v: r["count"] for r in spark.table(table).groupBy("v").count().collect()}
-    assert counts == {"a": 85, "b": 15}
+def test_a_small_batch_of_random_keys_leaves_most_files_alone(spark, table):
+    """The default layout: the number of buckets follows the size of the first batch."""
+    rows = spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    before_bytes, I.BUCKET_BYTES = I.BUCKET_BYTES, 4000
+    try:
+        I.upsert_table(rows, table, ["id"])
+    finally:
+        I.BUCKET_BYTES = before_bytes
+    before = set(spark.table(table).inputFiles())
+    I.upsert_table(spark.range(0, 20000, 1000).select("id", F.lit("new").alias("v")), table, ["id"])
+    after = set(spark.table(table).inputFiles())
+    assert len(before) > 200 and len(before & after) > 0.85 * len(before)
+    assert spark.table(table).count() == 20000 and spark.table(table).where("v = 'new'").count() == 20
+
+
+def test_the_staged_batch_goes_when_a_write_fails(spark, table):
+    from millrace.session import shared_dir
+    from pathlib import Path
+
+    I.upsert_table(keyed(spark, [(1, "a")]), table, ["id"])
+    with pytest.raises(Exception):
+        I.upsert_table(spark.range(2).select("id", F.lit(1).alias("other")), table, ["id"])
+    left = list(Path(shared_dir(spark)).glob("millrace/upsert-*"))
+    assert left == []
 
 
 def test_a_variant_column_is_stored(spark, table):
@@ -91,7 +111,40 @@ def test_loads_replace_themselves(spark, table):
     I.append_load(keyed(spark, [(1, "a")]), table, "l1")
     I.append_load(keyed(spark, [(2, "b"), (2, "b")]), table, "l2")
     I.append_load(keyed(spark, [(2, "b"), (2, "b")]), table, "l2")
-    assert rows(spark.table(table)) == [(1, "a", "l1"), (2, "b", "l2"), (2, "b", "l2")]
+    assert rows(spark.table(table).drop("load_day")) == [(1, "a", "l1"), (2, "b", "l2"), (2, "b", "l2")]
+
+
+def test_columns_go_by_name(spark, table):
+    I.append_load(spark.sql("SELECT 1 AS a, 2 AS b"), table, "l1")
+    I.append_load(spark.sql("SELECT 4 AS b, 3 AS a"), table, "l2")
+    assert rows(spark.table(table).select("a", "b")) == [(1, 2), (3, 4)]
+    for batch in ("SELECT 1 AS a", "SELECT 1 AS a, 2 AS b, 3 AS c", "SELECT 1 AS a, 2 AS c"):
+        with pytest.raises(ValueError, match="has the columns"):
+            I.append_load(spark.sql(batch), table, "l3")
+
+
+def test_closed_days_become_one_partition(spark, table):
+    for n in range(4):
+        I.append_load(keyed(spark, [(n, "x"), (n, "y")]), table, f"l'{n}")
+    tomorrow = datetime.datetime.now(datetime.timezone.utc).date() + datetime.timedelta(days=1)
+    assert compact_days(spark, table, tomorrow - datetime.timedelta(days=1)) == []
+    assert len(compact_days(spark, table, tomorrow)) == 1
+    assert spark.sql(f"SHOW PARTITIONS {table}").count() == 1
+    expected = sorted((n, v) for n in range(4) for v in "xy")
+    assert rows(spark.table(table).select("id", "v")) == expected
+    # A late load of that day is merged in, and a repeated run changes nothing.
+    I.append_load(keyed(spark, [(9, "z")]), table, "late")
+    for _ in range(2):
+        compact_days(spark, table, tomorrow)
+    assert rows(spark.table(table).select("id", "v")) == [*expected, (9, "z")]
+
+
+def test_the_last_file_name_is_kept_with_the_table(spark):
+    topic = f"t_{uuid.uuid4().hex}"
+    assert B.last_file_name(spark, topic) is None
+    for names in (["3.bin", "5.bin"], ["4.bin"], []):
+        B.append_bronze(spark.createDataFrame([("{}", n) for n in names], "event STRING, file_name STRING"), topic)
+    assert B.last_file_name(spark, topic) == "5.bin"
 
 
 def test_bronze_loads(spark, texts):

@@ -9,7 +9,7 @@ from millrace.operators import bronze as B
 from millrace.operators import relational as R
 from millrace.plans import gold as G
 from millrace.plans import silver as V
-from millrace.plans.runner import CHANGE_MODELS, Model, ModelRunError, run_models, sql_model
+from millrace.plans.runner import CHANGE_MODELS, Model, ModelRunError, change_models, run_models, sql_model
 
 
 def change(**fields):
@@ -83,6 +83,15 @@ def test_one_misfit_does_not_hide_the_other_columns(silver, texts):
         V.silver_recentchange(texts(events, "event"), strict=True).collect()
 
 
+def test_a_value_and_parts_of_it(texts):
+    event = '{"meta":{"dt":"2024-03-31T02:30:00Z","n":"4"},"id":1}'
+    for order in (1, -1):
+        columns = [("m", "meta", "variant"), ("dt", "meta.dt", "timestamp_ntz"), ("n", "meta.n", "bigint"), ("t", "meta", "string")][::order]
+        row = V.project_events(texts([event], "event"), columns).withColumn("m", F.to_json("m")).first()
+        assert row.m == row.t == '{"dt":"2024-03-31T02:30:00Z","n":"4"}'
+        assert (row.n, row.dt) == (4, datetime.datetime(2024, 3, 31, 2, 30))
+
+
 def test_views_by_type(silver):
     base = silver(
         change(type="new", length={"new": 9}),
@@ -207,6 +216,31 @@ def test_models_run_after_what_they_need(spark, silver):
     assert spark.table("gold.totals").columns == ["m"]
 
 
+def test_sql_models_equal_the_functions_and_are_stored(spark, silver):
+    base = silver(
+        change(type="new", bot=True, length={"new": 9}),
+        change(type="edit", revision={"new": 12, "old": 10}, length={"new": 1, "old": 4}, comment="it's"),
+        change(type="categorize", comment="[[:C]] added to [[D]]"),
+        change(type="categorize", comment="removed"),
+        change(type="log", log_action="b", log_params={"duration": "x", "count": {"files": 2}}),
+        change(type="log", dt=None),
+    )
+    base.write.mode("overwrite").saveAsTable("default.stored_changes")
+    models = change_models("stored")
+    results = run_models(spark, models, {"stored": spark.table("stored_changes")}, stored={"stored": "default.stored_changes"})
+    functions = [V.silver_new, V.silver_edit, V.silver_categorize, V.silver_log, G.gold_logs_per_domain_and_min, G.gold_human_vs_bot]
+    other = spark.newSession()
+    for model, function in zip(models, functions, strict=True):
+        expected = [tuple(r) for r in function(base).collect()]
+        found = other.table(model.full_name)
+        assert found.columns == results[model.full_name].columns == function(base).columns
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_needs_follow_from_the_text():
+    assert Model("m", "gold", "SELECT * FROM {a} JOIN {b} USING (x) WHERE y IN (SELECT y FROM {a})").needs == ("a", "b")
+
+
 def test_incremental_model(spark, texts):
     model = Model("by_id", "silver", lambda df: df, ("batch",), "incremental", ("id",), "id div 2")
     for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):

@@ -1,4 +1,5 @@
 import json
+import time
 import uuid
 
 import pytest
@@ -8,10 +9,12 @@ from millrace.operators import bronze as B
 from millrace.operators import incremental as I
 from millrace.plans import gold as G
 from millrace.plans import silver as V
+from millrace.plans.runner import Model, ModelRunError, change_models
+from millrace.sinks.csv_export import export_layer
 from millrace.sources import frames as A
 from millrace.streaming import counts as N
 from millrace.streaming.landing import land, with_topic
-from millrace.streaming.pipeline import load_frames, run_continuous, run_once
+from millrace.streaming.pipeline import Feed, Pipeline, load_frames, run_continuous, run_once
 
 
 def frame(event_id, kind="edit", minute=0, **fields):
@@ -54,10 +57,8 @@ def test_stream_equals_batch_for_any_split_into_files(spark, tmp_path, topic, cu
     counts = []
     run_once(
         spark,
-        str(tmp_path / "q"),
-        topic,
+        Feed(topic, str(tmp_path / "q"), sort_by=("type",)),
         str(tmp_path / "c"),
-        models=(),
         report=lambda name, found: counts.append(found),
         maxFilesPerTrigger=1,
     )
@@ -71,28 +72,25 @@ def test_stream_equals_batch_for_any_split_into_files(spark, tmp_path, topic, cu
 
 def test_restart_loads_new_files_only(spark, tmp_path, topic):
     put(tmp_path / "q", "2.bin", FRAMES[:10])
-    run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=())
-    run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=())
+    run_once(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"))
+    run_once(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"))
     # A file with a smaller name that comes late is new too.
     put(tmp_path / "q", "1.bin", FRAMES[10:])
-    run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=())
+    run_once(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"))
     loads = silver_table(spark, topic).groupBy("load_id").count().orderBy("load_id").collect()
     assert [r["count"] for r in loads] == [10, 14]
 
 
 def test_a_batch_that_failed_is_loaded_once(spark, tmp_path, topic):
-    """The transform fails after bronze and silver were written; the next run repeats the batch."""
+    """Typing fails after bronze was written; the next run repeats the batch."""
     put(tmp_path / "q", "1.bin", FRAMES)
 
-    def broken(silver):
-        raise ValueError("model is broken")
+    def broken(bronze):
+        raise ValueError("typing is broken")
 
-    from millrace.plans.runner import Model
-
-    model = Model("broken", "gold", broken, (topic.name,))
-    with pytest.raises(Exception, match="model is broken"):
-        run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=[model])
-    run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=())
+    with pytest.raises(Exception, match="typing is broken"):
+        run_once(spark, Feed(topic, str(tmp_path / "q"), broken), str(tmp_path / "c"))
+    run_once(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"))
     assert silver_table(spark, topic).count() == 24
     assert spark.table(B.bronze_table(topic.name)).count() == 24
 
@@ -101,7 +99,7 @@ def test_two_streams_into_one_table_do_not_replace_each_other(spark, tmp_path, t
     put(tmp_path / "q1", "1.bin", FRAMES[:5])
     put(tmp_path / "q2", "1.bin", FRAMES[5:])
     for n in (1, 2):
-        run_once(spark, str(tmp_path / f"q{n}"), topic, str(tmp_path / f"c{n}"), models=())
+        run_once(spark, Feed(topic, str(tmp_path / f"q{n}")), str(tmp_path / f"c{n}"))
     assert silver_table(spark, topic).count() == 24
 
 
@@ -121,36 +119,97 @@ def test_undecodable_frames_are_counted_while_loading(spark, tmp_path, topic):
 
 def test_a_load_of_bad_events_only(spark, tmp_path, topic):
     put(tmp_path / "q", "1.bin", DEFECTS)
-    run_once(spark, str(tmp_path / "q"), topic, str(tmp_path / "c"), models=())
+    run_once(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"))
     assert spark.table(B.bronze_table(topic.name)).count() == 0
 
 
-def test_continuous_load_with_export(spark, tmp_path):
-    topic = B.Topic("recentchange")
+def test_models_run_again_when_they_failed(spark, tmp_path, topic):
+    put(tmp_path / "q", "1.bin", FRAMES[:4])
+    works = []
+
+    def model(silver):
+        if not works:
+            raise ValueError("model is broken")
+        return silver
+
+    models = [Model(f"all_{topic.name}", "gold", model, (topic.name,), "incremental", ("id",))]
+    pipeline = Pipeline(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"), models=models)
+    with pytest.raises(ModelRunError, match="model is broken"):
+        pipeline.cycle()
+    works.append(True)
+    put(tmp_path / "q", "2.bin", FRAMES[4:9])
+    pipeline.cycle()
+    assert pipeline.results[models[0].full_name].count() == 9
+
+
+def test_incremental_models_get_the_new_load_only(spark, tmp_path, topic):
+    sizes = []
+
+    def model(silver):
+        sizes.append(silver.count())
+        return silver
+
+    models = [Model(f"all_{topic.name}", "gold", model, (topic.name,), "incremental", ("id",))]
+    pipeline = Pipeline(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"), models=models)
+    for n, part in enumerate((FRAMES[:10], FRAMES[10:13], [])):
+        put(tmp_path / "q", f"{n}.bin", part) if part else None
+        pipeline.cycle()
+    assert sizes == [10, 3]
+    assert pipeline.results[models[0].full_name].count() == 13
+
+
+def test_any_topic_needs_no_type(spark, tmp_path, topic):
+    put(tmp_path / "q", "1.bin", ['data: {"id":1,"order":{"paid":true}}\n\n'])
+    columns = [("id", "id", "bigint"), ("paid", "order.paid", "boolean")]
+    run_once(spark, Feed(topic, str(tmp_path / "q"), lambda bronze: V.project_events(bronze, columns)), str(tmp_path / "c"))
+    assert rows(silver_table(spark, topic).select("id", "paid")) == [(1, True)]
+
+
+def test_one_cycle_over_two_topics(spark, tmp_path):
+    topics = [B.Topic(f"t{uuid.uuid4().hex}") for _ in range(2)]
+    for topic, part in zip(topics, (FRAMES[:5], FRAMES[5:12]), strict=True):
+        put(tmp_path / topic.name, "1.bin", part)
+    text = f"SELECT count(*) AS n FROM (SELECT id FROM {{{topics[0].name}}} UNION ALL SELECT id FROM {{{topics[1].name}}})"
+    name = f"both_{uuid.uuid4().hex}"
+    feeds = [Feed(topic, str(tmp_path / topic.name)) for topic in topics]
+    run_once(spark, feeds, str(tmp_path / "c"), models=[Model(name, "gold", text)], csv_dir=str(tmp_path / "csv"))
+    assert (tmp_path / "csv" / f"{name}.csv").read_text() == "n\n12\n"
+    assert spark.newSession().table(f"gold.{name}").first().n == 12
+    assert export_layer(spark, str(tmp_path / "layer"), "gold")[f"gold.{name}"].endswith(f"{name}.csv")
+
+
+def test_continuous_load_with_export(spark, tmp_path, topic):
     put(tmp_path / "q", "1.bin", FRAMES[:12])
-    query = run_continuous(
-        spark,
-        str(tmp_path / "q"),
-        topic,
-        str(tmp_path / "c"),
-        every="100 milliseconds",
-        csv_dir=str(tmp_path / "csv"),
-        export_every=0,
-    )
+    settings = {"models": change_models(topic.name), "csv_dir": str(tmp_path / "csv"), "export_every": 0}
+    running = run_continuous(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"), every=0.1, **settings)
+    name = f"{topic.name}_human_vs_bot_new_and_edit_actions.csv"
     try:
-        query.processAllAvailable()
-        name = "recentchange_human_vs_bot_new_and_edit_actions.csv"
+        running.wait()
         first = (tmp_path / "csv" / name).read_text()
         put(tmp_path / "q", "2.bin", FRAMES[12:])
-        query.processAllAvailable()
+        running.wait()
         second = (tmp_path / "csv" / name).read_text()
     finally:
-        query.stop()
+        running.stop()
     total = lambda text: sum(int(line.split(";")[2]) for line in text.splitlines()[1:])
     assert first.startswith("minute;bot;count_actions\n2024/01/01 00:00;")
     assert (total(first), total(second)) == (8, 16)
 
 
+def test_an_idle_pipeline_exports_when_it_is_due(spark, tmp_path, topic):
+    put(tmp_path / "q", "1.bin", FRAMES)
+    name = f"{topic.name}_logs_per_domain_and_min.csv"
+    settings = {"models": change_models(topic.name), "csv_dir": str(tmp_path / "csv")}
+    pipeline = Pipeline(spark, Feed(topic, str(tmp_path / "q")), str(tmp_path / "c"), export_every=2, **settings)
+    pipeline.cycle()
+    (tmp_path / "csv" / name).unlink()
+    pipeline.cycle()
+    assert not (tmp_path / "csv" / name).exists()
+    time.sleep(2)
+    pipeline.cycle()
+    assert (tmp_path / "csv" / name).exists()
+
+
 def test_late_events_correct_old_minutes(spark, tmp_path):
     table, keys = f"gold.t{uuid.uuid4().hex}", ["domain", "log_action"]
     late = [frame(100, "log", 0, log_action=None), frame(101, "log", 0, log_action=None)]
