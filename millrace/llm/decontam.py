@@ -1,10 +1,11 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 The index holds a posting (document, position) for every document word that the benchmark
-uses. For each window of benchmark words its rarest term in the corpus is looked up; every
-posting of that term fixes where the item would have to lie in the document. The postings
-of the item's other words, moved by their offsets, are intersected with those places, and
-runs of consecutive matches as long as a window are occurrences.
+uses. For each window of benchmark words its two rarest terms in the corpus are looked up; every
+posting of the rarest fixes where the item would have to lie in the document, and the postings of
+the other, moved by their offsets, are intersected with those places. Few remain that are no
+occurrences; there the words of the document and of the item are compared one by one, and runs of
+equal words as long as a window are hits.
 """
 
 from __future__ import annotations
@@ -53,55 +54,75 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def rarest_terms(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """item, at, term: for every window of an item one place, that of the window's rarest term.
+    """item, at, term, next_at, next_term: the rarest and second rarest place of every window of an item.
 
     ``items`` has the words of all items with their terms. An item of fewer words than a
-    window is one window.
+    window is one window; of a window of one word both places are the same.
     """
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
     rows = items.join(frequency, "term", "left").withColumn("postings", F.coalesce("postings", F.lit(0)))
     ahead = Window.partitionBy("item").orderBy("at").rowsBetween(Window.currentRow, window - 1)
-    rows = rows.withColumn("rarest", F.min(F.struct("postings", "at", "term")).over(ahead))
+    rows = rows.withColumn("rarest", F.array_sort(F.collect_list(F.struct("postings", "at", "term")).over(ahead)))
     starts = rows.where(F.col("at") <= F.greatest(F.col("n") - window, F.lit(0)))
+    one, other = F.col("rarest")[0], F.coalesce(F.get("rarest", F.lit(1)), F.col("rarest")[0])
     # A term without postings is in no document, and so is the window.
-    return starts.where("rarest.postings > 0").select("item", F.col("rarest.at").alias("at"), F.col("rarest.term").alias("term")).distinct()
+    starts = starts.select("item", one.alias("one"), other.alias("other")).where("one.postings > 0")
+    return starts.select("item", "one.at", "one.term", F.col("other.at").alias("next_at"), F.col("other.term").alias("next_term")).distinct()
+
+
+def _places(postings: DataFrame, rarest: DataFrame) -> DataFrame:
+    """doc_id, content, item, shift: where an item's first word would lie, by both rare terms of a window."""
+    terms = rarest.count()
+    asked = postings.join(bounded_broadcast(rarest, terms, 64), "term")
+    asked = asked.select(
+        "doc_id",
+        "content",
+        "item",
+        (F.col("pos") - F.col("at")).alias("shift"),
+        (F.col("pos") - F.col("at") + F.col("next_at")).alias("pos"),
+        F.col("next_term").alias("term"),
+    )
+    others = rarest.select(F.col("next_term").alias("term")).distinct()
+    others = postings.join(bounded_broadcast(others, terms, 16), "term", "left_semi").select("doc_id", "content", "pos", "term")
+    both = asked.join(others, _same(asked, others, "doc_id", "content", "pos", "term"))
+    return both.select(*(asked[c] for c in ("doc_id", "content", "item", "shift"))).distinct()
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The postings of the ends of all documents, and all hits: doc_id, content, item_id, pos.
+    """The postings of the ends of all documents, and all hits: doc_id, content, item_id, places.
 
-    A hit is a document word inside an occurrence of ``window`` consecutive item words, or of
-    a whole shorter item. Positions count from the document's first word, or from 1 if
-    something precedes it.
+    ``places`` are the positions of document words inside occurrences of ``window``
+    consecutive item words, or of a whole shorter item. Positions count from the document's
+    first word, or from 1 if something precedes it.
     """
     words = stored(item_words(items), "item-words")
     vocabulary = words.select("word").distinct().select("word", F.xxhash64("word").alias("term"))
     vocabulary = vocabulary.union(vocabulary.sparkSession.range(1).select(F.lit(END), F.lit(0).cast("long")))
-    sizes = words.agg(F.count_distinct("word"), F.max(F.octet_length("word"))).first()
+    sizes = words.agg(F.count_distinct("word"), F.max(F.octet_length("word")), F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
     vocabulary = bounded_broadcast(vocabulary, sizes[0] + 1, 64 + (sizes[1] or 0))
     index = stored(build_index(docs, vocabulary), "postings")
-    words = words.withColumn("term", F.xxhash64("word"))
-
     postings = index.where("term <> 0")
-    rarest = stored(rarest_terms(words, postings, window), "rarest-terms")
-    rarest = bounded_broadcast(rarest, rarest.count(), 64)
-    # Where an item's first word would lie; equal places that several windows ask for are one.
-    places = postings.join(rarest, "term").select("doc_id", "content", "item", (F.col("pos") - F.col("at")).alias("shift"))
-    places = stored(places.distinct(), "places")
-    asked = places.join(words.select("item", "at", "term"), "item")
-    asked = asked.select("doc_id", "content", "item", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
-    here = ["doc_id", "content", "pos", "term"]
-    keyed = postings.join(places.select("doc_id", "content").distinct(), _same(postings, places, "doc_id", "content"), "left_semi")
-    found = asked.join(keyed, _same(asked, keyed, *here)).select(*(asked[c] for c in ("doc_id", "content", "item", "shift", "at", "pos")))
-    # Rows that repeat a document have the same postings twice.
-    found = found.distinct()
-    place = ["doc_id", "content", "item", "shift"]
-    run = F.col("at") - F.row_number().over(Window.partitionBy(*place).orderBy("at"))
-    found = found.withColumn("run", run)
-    found = found.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy(*place, "run")))
-    names = words.select("item", "item_id", "n").distinct()
-    hits = found.join(names, "item").where(F.col("length") >= F.least(F.col("n"), F.lit(window)))
-    return index.where("term = 0"), hits.select("doc_id", "content", "item_id", "pos")
+    words = words.withColumn("term", F.xxhash64("word"))
+    places = stored(_places(postings, stored(rarest_terms(words, postings, window), "rarest-terms")), "places")
+
+    # The texts in question, split once each, then one row per place; the words stay where they are.
+    chosen = places.select(F.col("doc_id").alias("id"), F.col("content").alias("hash")).distinct()
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    texts = texts.withColumn("content", F.xxhash64("text"))
+    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"]) & (F.col("content") == F.col("hash")), "left_semi")
+    texts = texts.select("doc_id", "content", F.transform(words_of(F.col("text")), lowered).alias("words"))
+    of_item = words.groupBy("item", "item_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("item_words"))
+    of_item = bounded_broadcast(of_item, 1, 64 * (sizes[2] or 0) + (sizes[3] or 0))
+    asked = places.join(of_item, "item").withColumnsRenamed({"doc_id": "id", "content": "hash"})
+    both = asked.join(texts, texts["doc_id"].eqNullSafe(asked["id"]) & (F.col("content") == F.col("hash")))
+    equal = F.transform("item_words", lambda word, at: F.get("words", F.col("shift") + at).eqNullSafe(word))
+    size = F.least(F.col("n"), F.lit(window))
+    both = both.select("doc_id", "content", "item_id", "n", "shift", size.alias("size"), equal.alias("equal"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda s: F.forall(F.slice("equal", s + 1, F.col("size")), lambda x: x))
+    both = both.withColumn("starts", starts).where(F.size("starts") > 0)
+    inside = F.transform("starts", lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("size") - 1))
+    hits = both.select("doc_id", "content", "item_id", F.array_distinct(F.flatten(inside)).alias("places"))
+    return index.where("term = 0"), hits
 
 
 def _same(left: DataFrame, right: DataFrame, *names: str) -> Column:
@@ -121,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """
     ends, hits = occurrences(docs, items, window)
     per_doc = hits.groupBy("doc_id", "content").agg(
-        F.count_distinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")
     )
     rows = ends.join(per_doc, _same(ends, per_doc, "doc_id", "content"), "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
