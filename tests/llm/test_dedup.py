@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import drop_copies, exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
-from millrace.llm.near_dedup import band_keys, components, drop_near_duplicates, near_duplicates, sketch
+from millrace.llm.near_dedup import band_keys, components, drop_near_duplicates, merged, near_duplicates, sketch
 from tests.llm import cases
 
 
@@ -164,6 +164,9 @@ def test_components_of_paths_stars_and_pairs(spark):
     edges = spark.createDataFrame([*path, *star, (3, 2), (5, 5)], "u BIGINT, v BIGINT")
     got = dict(map(tuple, components(edges).collect()))
     assert got == {k: 100 for k in range(100, 181)} | {k: 7 for k in [7, *range(1000, 1300)]} | {2: 2, 3: 2}
+    more = spark.createDataFrame([(1200, 150), (3, 1), (8000, 9000)], "u BIGINT, v BIGINT")
+    got = dict(map(tuple, merged(components(edges), more).collect()))
+    assert got == {k: 7 for k in [7, *range(100, 181), *range(1000, 1300)]} | {1: 1, 2: 1, 3: 1, 8000: 8000, 9000: 8000}
 
 
 def test_sketches_fill_every_coordinate_and_estimate_similarity():
