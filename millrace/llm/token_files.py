@@ -10,6 +10,8 @@ alone and all words of one selector at once.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +31,18 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 BLOCK_IDS = 1024
+# Each length of a stretch as a sum of two shorter ones.
+STRETCHES = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (8, 2), 12: (8, 4), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
 
 FILE_SCHEMA = "doc_id BIGINT, part INT, n_tokens BIGINT, words BINARY, block_words ARRAY<INT>"
 
 
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each value needs, one at least; over 60 for those that don't fit a word."""
+    small = np.searchsorted(1 << np.arange(1, 60, dtype=np.uint64), ids, side="right") + 1
+    return np.where(ids >> np.uint64(60) > 0, 64, small)
+
+
 def encode(ids: np.ndarray, offsets: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pack documents, which lie one after another in ``ids`` and end at the offsets after the first.
 
@@ -48,16 +58,21 @@ def encode(ids: np.ndarray, offsets: np.ndarray, block_ids: int = BLOCK_IDS) ->
     block_start = np.repeat(offsets[:-1], blocks_of) + within * block_ids
     block_end = np.minimum(block_start + block_ids, np.repeat(offsets[1:], blocks_of))
     room = np.repeat(block_end, block_end - block_start) - np.arange(n)
-    # The selector that takes most ids of those that follow, from each place on.
-    selector = np.full(n, len(COUNTS) - 1)
-    chosen = np.zeros(n, bool)
-    places = np.arange(n)
-    for k, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True)):
-        too_big = np.where((ids >> np.uint64(bits)) > 0, places, n)
-        next_big = np.minimum.accumulate(too_big[::-1])[::-1] if n else too_big
-        fits = ~chosen & (room >= count) & (next_big - places >= count)
-        selector[fits], chosen = k, chosen | fits
-    escaped = ~chosen
+    # Per id the first selector with enough bits; one past the last if none has.
+    least = np.searchsorted(BITS, _bit_lengths(ids)).astype(np.uint8)
+    # The same for the ids of a stretch of each length; longer stretches from shorter ones.
+    needs = {1: least}
+    for count, (one, other) in STRETCHES.items():
+        longer, overlap = needs[one].copy(), max(n - one, 0)
+        np.maximum(longer[:overlap], needs[other][one : one + overlap], out=longer[:overlap])
+        needs[count] = longer
+    # The selector that takes most ids of those that follow, from each place on: the last one set.
+    selector = np.full(n, len(COUNTS) - 1, np.uint8)
+    room = np.minimum(room, 60).astype(np.uint8)
+    for k in range(len(COUNTS) - 1, -1, -1):
+        count = int(COUNTS[k])
+        selector[(needs[count] <= k) & (room >= count)] = k
+    escaped = least == len(COUNTS)
     step = COUNTS[selector]
     # Words begin where the greedy choice from each block's first id leads.
     word_at = []
@@ -83,8 +98,8 @@ def encode(ids: np.ndarray, offsets: np.ndarray, block_ids: int = BLOCK_IDS) ->
     return words, block_word, first_block, doc_word
 
 
-def decode(words: np.ndarray) -> np.ndarray:
-    """All ids of the words of whole blocks."""
+def decode_counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the words of whole blocks, and how many of them end up to each word."""
     words = np.asarray(words, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
@@ -103,7 +118,22 @@ def decode(words: np.ndarray) -> np.ndarray:
             values = (words[mine][:, None] >> shifts) & np.uint64((1 << int(bits)) - 1)
             ids[begins[mine][:, None] + np.arange(count)] = values
     ids[begins[raw]] = words[raw]
-    return ids
+    return ids, ends
+
+
+def decode(words: np.ndarray) -> np.ndarray:
+    """All ids of the words of whole blocks."""
+    return decode_counted(words)[0]
+
+
+def _documents(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of documents, some hundreds together, and the offsets of the documents in them."""
+    for first in range(0, len(column), 512):
+        packed = [x.as_buffer() for x in column.slice(first, 512)]
+        words = np.frombuffer(b"".join(packed), "<u8")
+        ids, ends = decode_counted(words)
+        ends = np.concatenate([[0], ends])
+        yield ids, ends[np.cumsum([0] + [len(x) // 8 for x in packed])]
 
 
 @lru_cache(maxsize=2)
@@ -115,44 +145,60 @@ def _tokenizer(path: str):
 
 # Letters that are letters in every version of Unicode, before a full stop or comma that ends a word.
 _CLOSED_WORD = "([A-Za-z\u00df-\u00f6\u00f8-\u00ff])([.,]) "
-_MARK = "<|startoftext|>"  # a special token of the vocabulary; set between words, it parts their ids
+# Words of such letters, digits and ASCII signs only, and how this vocabulary splits them into pieces.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else the next free one."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = {chr(b): letter for b, letter in _byte_letters().items()}
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins what a space or a line feed parts.
+    """Ids of texts by the word-level vocabulary, which never joins what a space or a line feed parts.
 
-    This holds for a tokenizer that drops white space and lower-cases. Equal words then have
-    equal ids, so each distinct word of a slice is encoded once, and the first words met are
-    remembered, up to a bound on their number.
+    It drops white space and lower-cases, so equal words have equal ids: each distinct word of
+    a slice is encoded once, and the first words met are remembered, up to a bound on their
+    number. Plain words go to the vocabulary's merges piece by piece; any other goes through
+    the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self.tokenizer, self.remembered = _tokenizer(path), remembered
-        self.mark, self.known = self.tokenizer.token_to_id(_MARK), {}
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word. Words that might hold a special token go through alone."""
-        out: list = [None] * len(words)
-        plain = [k for k, word in enumerate(words) if "<|" not in word]
-        for k in set(range(len(words))).difference(plain):
-            out[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint16)
-        for first in range(0, len(plain), 512):
-            part = plain[first : first + 512]
-            text = _MARK.join(words[k] for k in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-            marks = np.flatnonzero(ids == self.mark)
-            begins, ends = np.concatenate([[0], marks + 1]).tolist(), [*marks.tolist(), len(ids)]
-            for k, begin, end in zip(part, begins, ends, strict=True):
-                out[k] = ids[begin:end]
-        return out
-
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        found = [self.known.get(word) for word in words]
-        new = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(new, self._encode([words[k] for k in new]), strict=True):
-            found[k] = ids = ids.tobytes()
-            if len(self.known) < self.remembered and len(words[k]) <= 40:
-                self.known[words[k]] = ids
+        self.merges, self.known, self.pieces = self.tokenizer.model.tokenize, {}, {}
+        self.bytes = str.maketrans(_BYTES)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            ids = struct.pack(f"<{len(found)}H", *[x.id for x in found]) if (found := self.merges(text)) else b""
+            if len(self.pieces) < self.remembered and len(piece) <= 40:
+                self.pieces[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        found = []
+        for word in words:
+            ids = self.known.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if len(self.known) < self.remembered and len(word) <= 40:
+                    self.known[word] = ids
+            found.append(ids)
         return found
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,38 +226,34 @@ class WordIds:
 
 
 def _encoded(tokenizer: str, end_id: int):
+    """Texts in order in; rows of a file out, with the number of the task as that of the file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids = WordIds(tokenizer)
+        word_ids, number = WordIds(tokenizer), TaskContext.get().partitionId()
         for batch in batches:
             for first, end, _, _ in byte_slices(batch.column("text")):
                 part = batch.slice(first, end - first)
                 ids, offsets = word_ids(part.column("text"), end_id)
                 words, block_word, first_block, doc_word = encode(ids, offsets)
+                packed = words.astype("<u8").tobytes()
                 rows = []
                 for k in range(part.num_rows):
                     blocks = block_word[first_block[k] : first_block[k + 1]] - doc_word[k]
-                    rows.append((words[doc_word[k] : doc_word[k + 1]].astype("<u8").tobytes(), blocks.astype(np.int32)))
+                    rows.append((packed[8 * doc_word[k] : 8 * doc_word[k + 1]], blocks.astype(np.int32)))
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
+                        pa.array(np.full(part.num_rows, number, np.int32)),
                         pa.array(np.diff(offsets)),
                         pa.array([x for x, _ in rows], pa.binary()),
                         pa.array([x for _, x in rows], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_tokens", "words", "block_words"],
+                    names=["doc_id", "part", "n_tokens", "words", "block_words"],
                 )
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for batch in batches:
-        columns = [batch.column(name) for name in ("doc_id", "n_tokens", "words", "block_words")]
-        columns.insert(1, pa.array(np.full(batch.num_rows, part, np.int32)))
-        yield pa.record_batch(columns, names=["doc_id", "part", "n_tokens", "words", "block_words"])
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode whole texts and write them in ascending order of doc_id; ``part`` numbers the files.
 
@@ -219,29 +261,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     doc_id follow each other. An empty table gives files without rows.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    schema = "doc_id BIGINT, n_tokens BIGINT, words BINARY, block_words ARRAY<INT>"
-    encoded = rows.mapInArrow(_encoded(tokenizer, end_id), schema).withColumn("tie", F.xxhash64("words"))
-    in_order = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    in_order.mapInArrow(_numbered, FILE_SCHEMA).write.parquet(path)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    in_order = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    in_order.mapInArrow(_encoded(tokenizer, end_id), FILE_SCHEMA).write.parquet(path)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, sums = [], []
-        for words in batch.column("words"):
-            ids = decode(np.frombuffer(words.as_buffer(), "<u8"))
-            sizes.append(len(ids))
-            sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+        for ids, offsets in _documents(batch.column("words")):
+            data = ids.astype("<u4")
+            sizes += np.diff(offsets).tolist()
+            sums += [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         columns = [batch.column("doc_id"), batch.column("part"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
         yield pa.record_batch(columns, names=["doc_id", "part", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, all from the decoded files."""
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path).select("doc_id", "part", "words")
-    rows = rows.mapInArrow(_digests, "doc_id BIGINT, part INT, n_tokens BIGINT, ids_crc32 BIGINT")
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    rows = files.select("doc_id", "part", "words").mapInArrow(_digests, "doc_id BIGINT, part INT, n_tokens BIGINT, ids_crc32 BIGINT")
     # Parts are files, so their number, and the rows of one, are bounded by how the files were written.
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
