@@ -4,7 +4,8 @@ A candidate is a long run of key characters with a digit, close after a sensitiv
 novelty is the number of bytes that zstandard needs more for the surrounding text with the
 candidate than without, when primed with a dictionary of identifiers. A random key can't be
 compressed; a name, a path or a placeholder can, because its parts are in the dictionary or
-near by. Candidates that stay as long as they were are reported as well.
+near by. Other places of the same candidate are taken out of the surrounding text, so that a
+key is as new where it is repeated. Candidates that stay as long as they were are reported as well.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api key", "credential", "private key", "auth", "bearer")
 SENSITIVE_WORD = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 REACH = 48  # code points between a sensitive word's end and a candidate's start
 AROUND = 256  # code points of text on each side that a candidate is measured against
 NOVEL_SHARE = 0.8  # of the candidate's length, in marginal bytes
@@ -54,6 +56,27 @@ SCHEMA = (
 )
 
 
+def _same(span: str) -> set[str]:
+    """What counts as another place of a span: itself, and its long parts, as it may stand after other names or signs."""
+    parts = (span.strip("+/_=-"), *span.split("="), *re.split("[+/=]", span))
+    return {span, *(part for part in parts if len(part) >= LEAST_CANDIDATE)}
+
+
+def _without(text: str, lo: int, hi: int, low: int, high: int, parts: Iterable[str]) -> str:
+    """text[lo:hi] without the places of the parts within text[low:high], also those that lo or hi cuts."""
+    places = []
+    for part in parts:
+        at = text.find(part, max(low, lo - len(part) + 1), min(high, hi + len(part) - 1))
+        while at >= 0:
+            places.append((at, at + len(part)))
+            at = text.find(part, at + len(part), min(high, hi + len(part) - 1))
+    kept = []
+    for start, end in sorted(places):
+        kept.append(text[lo : min(start, hi)])
+        lo = max(lo, end)
+    return "".join(kept) + text[lo:hi]
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its text, primed with a dictionary."""
 
@@ -63,7 +86,9 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(dict_data=primed, level=level, write_content_size=False, write_checksum=False)
 
     def __call__(self, text: str, start: int, end: int) -> int:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        same = _same(text[start:end])
+        before = _without(text, max(0, start - AROUND), start, 0, start, same)
+        after = _without(text, end, min(len(text), end + AROUND), end, len(text), same)
         size = lambda x: len(self.compressor.compress(x.encode("utf-8", "replace")))
         return size(before + after + text[start:end]) - size(before + after)
 

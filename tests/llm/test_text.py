@@ -68,6 +68,19 @@ def test_incompressible_strings_near_sensitive_words_are_added(spark):
     assert int(got[1004].marginal_bytes) >= 0.8 * len(KEY)
 
 
+def test_a_key_that_stands_twice_is_found_at_both_places(spark):
+    texts = [
+        f"GET /a\nAuthorization: Bearer {KEY}\nok\nGET /b\nAuthorization: Bearer {KEY}\nok",
+        f"auth header {KEY} " + "some words of a text " * 11 + f"and a little more: auth header {KEY} end",  # cut by the border
+        f"the auth was v={KEY} and then {KEY} and bearer x/{KEY} at last",
+    ]
+    got = {r.doc_id: r for r in scan_secrets(cases.documents(spark, [cases.row(k, text) for k, text in enumerate(texts)])).collect()}
+    for k, text in enumerate(texts):
+        ends = {m.end() for m in re.finditer(KEY, text)}
+        assert {int(span.split(":")[2]) for span in got[k].spans.split(",")} == ends
+        assert got[k].n_novel == len(ends)
+
+
 def labelled():
     pick = random.Random(5)
     data, labels = [], []
