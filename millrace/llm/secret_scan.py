@@ -1,8 +1,9 @@
 """Secrets in whole texts: fixed patterns, and novelty by compression.
 
-A candidate is a long run of key characters with a digit, close after a sensitive word. Its
+A candidate is a long run of key characters, close after a sensitive word. Each is measured: its
 novelty is the number of bytes that zstandard needs more for the surrounding text with the
-candidate than without, when primed with a dictionary of identifiers. A random key can't be
+candidate than without, when primed with a dictionary of identifiers and of the document's own
+identifiers, whole and split at changes of case. A random key can't be
 compressed; a name, a path or a placeholder can, because its parts are in the dictionary or
 near by. Other places of the same candidate are taken out of the surrounding text, so that a
 key is as new where it is repeated. Candidates that stay as long as they were are reported as well.
@@ -35,6 +36,10 @@ SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api
 SENSITIVE_WORD = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
+RUN = re.compile("[A-Za-z0-9+/_=-]+")
+WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+IDENTIFIER = re.compile("[A-Za-z][0-9_/]|[0-9_/][A-Za-z]|[a-z][A-Z]")
+LEAST_WORD = 4
 REACH = 48  # code points between a sensitive word's end and a candidate's start
 AROUND = 256  # code points of text on each side that a candidate is measured against
 NOVEL_SHARE = 0.8  # of the candidate's length, in marginal bytes
@@ -77,14 +82,48 @@ def _without(text: str, lo: int, hi: int, low: int, high: int, parts: Iterable[s
     return "".join(kept) + text[lo:hi]
 
 
+def names_and_parts(runs: Iterable[str]) -> list[str]:
+    """The runs that are short enough to be no candidate, and the words that names are made of, in both cases, each once."""
+    out = {}
+    for run in runs:
+        if len(run) < LEAST_CANDIDATE:
+            out[run] = None
+        for word in WORD.findall(run):
+            if LEAST_WORD <= len(word) < LEAST_CANDIDATE:
+                out |= dict.fromkeys((word, word.lower(), word.capitalize()))
+    return list(out)
+
+
+def own_names(text: str, spans: Iterable[tuple[int, int]]) -> list[str]:
+    """Identifiers of a text (not its plain words) without what the spans hold, at any of their places."""
+    spans = sorted(spans)
+    held, k, runs = set().union(*(_same(text[start:end]) for start, end in spans)), 0, {}
+    for m in RUN.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        touched = k < len(spans) and spans[k][0] < m.end()
+        if touched or (m.end() - m.start() >= LEAST_CANDIDATE and not held.isdisjoint((*_same(m[0]), *re.split("[+/=_-]", m[0])))):
+            continue
+        if IDENTIFIER.search(m[0]):
+            runs[m[0]] = None
+    return names_and_parts(runs)
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its text, primed with a dictionary."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.identifiers, self.level = identifiers, level
+        primed = "\n".join((*names_and_parts(identifiers.split()), identifiers))
+        primed = zstandard.ZstdCompressionDict(primed.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level)
         self.compressor = zstandard.ZstdCompressor(dict_data=primed, level=level, write_content_size=False, write_checksum=False)
 
+    def within(self, text: str, spans: Iterable[tuple[int, int]]) -> Novelty:
+        """The same with the text's own names in the dictionary, for measuring the spans."""
+        own = own_names(text, spans)
+        return Novelty("\n".join((self.identifiers, *own)), self.level) if own else self
+
     def __call__(self, text: str, start: int, end: int) -> int:
         same = _same(text[start:end])
         before = _without(text, max(0, start - AROUND), start, 0, start, same)
@@ -104,8 +143,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible candidates in sensitive context that touch none of the known spans."""
+def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the long runs in sensitive context that touch none of the known spans."""
     lowered = text.lower()
     if not any(word in lowered for word in SENSITIVE):
         return []
@@ -118,12 +157,19 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty)
     ends: dict[int, int] = {}
     for start, end in found.items():
         ends[end] = min(start, ends.get(end, start))
-    out = []
-    for end, start in ends.items():
-        touched = any(a < end and start < b for a, _, b in known)
-        if not touched and any(c.isdigit() for c in text[start:end]) and novelty(text, start, end) >= NOVEL_SHARE * (end - start):
-            out.append((start, 3, end))
-    return out
+    return [(start, end) for end, start in ends.items() if not any(a < end and start < b for a, _, b in known)]
+
+
+def measured_spans(text: str, novelty: Novelty) -> list[tuple[int, int, int, int]]:
+    """(start, index of the kind, end, marginal bytes) of the fixed patterns' matches and the incompressible candidates, sorted."""
+    base = base_spans(text)
+    found = candidates(text, base)
+    if not (base or found):
+        return []
+    within = novelty.within(text, [*((start, end) for start, _, end in base), *found])
+    spans = [(start, kind, end, within(text, start, end)) for start, kind, end in base]
+    novel = ((start, 3, end, within(text, start, end)) for start, end in found)
+    return sorted([*spans, *(x for x in novel if x[3] >= NOVEL_SHARE * (x[2] - x[0]))])
 
 
 def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
@@ -136,13 +182,11 @@ def _scan(identifiers: str):
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                text = text.as_py()
-                base = base_spans(text)
-                novel = novel_spans(text, base, novelty)
-                spans = sorted(base + novel)
+                found = measured_spans(text.as_py(), novelty)
+                spans = [x[:3] for x in found]
                 counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
-                digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                marginal = ",".join(str(novelty(text, start, end)) for start, _, end in spans)
+                digest = hashlib.sha256(_joined(x for x in spans if x[1] < 3).encode()).hexdigest()
+                marginal = ",".join(str(x[3]) for x in found)
                 rows.append((*counts[:3], digest, _joined(spans), counts[3], marginal))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]

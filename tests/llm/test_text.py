@@ -81,6 +81,18 @@ def test_a_key_that_stands_twice_is_found_at_both_places(spark):
         assert got[k].n_novel == len(ends)
 
 
+def test_candidates_without_a_digit_are_measured_too(spark):
+    key, name, far = "qZpLxVtRkWmBsYdHgJfN", "zephyrLedgerEntriesModule", "plain words between " * 20
+    texts = [
+        f"the auth header of this call was {key} and nothing else",
+        f"the auth header of this call was {key} and then bearer {key} again",
+        f"auth goes through {name} here. {far} zephyrLedger, ledger_entries and EntriesModule; zephyrModule",
+        "auth goes through requestAuthorizationHeaderName and passwordResetRequest here",
+    ]
+    got = {r.doc_id: r for r in scan_secrets(cases.documents(spark, [cases.row(k, text) for k, text in enumerate(texts)])).collect()}
+    assert [got[k].n_novel for k in range(4)] == [1, 2, 0, 0]
+
+
 def labelled():
     pick = random.Random(5)
     data, labels = [], []
