@@ -67,7 +67,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"), order=2, leave_out=True).drop("content")
+    return lm_scores(table(spark, sf_dir, "documents"), order=3, leave_out=True).drop("content")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

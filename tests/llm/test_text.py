@@ -12,6 +12,7 @@ import pytest
 from millrace.llm.decontam import contamination, drop_contaminated, near_phrases
 from millrace.llm.lm_scores import lm_scores, pack_sorted, unpack_sorted
 from millrace.llm.quality import drop_rejected, fit, quality_scores
+from millrace.llm.queries import QUERIES
 from millrace.llm.secret_scan import scan_secrets
 from tests.llm import cases
 
@@ -236,6 +237,13 @@ def test_scores_agree_with_brute_force(spark, order, leave_out):
     assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
 
 
+def test_registered_scores_see_more_than_one_word_of_context(spark, tmp_path):
+    data = [cases.row(1, "a b c a b c"), cases.row(2, "x b c y a b"), cases.row(3, "a b c"), cases.row(4, "c a b x b c")]
+    cases.documents(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op8_lm_scores"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_seen, round(r.log_score, 4)) for r in got) == scores_by_hand(data, 3, True)
+
+
 def test_no_documents_no_scores(spark):
     assert lm_scores(cases.empty(spark)).count() == 0
 
