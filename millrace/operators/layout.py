@@ -33,7 +33,7 @@ def set_property(spark: SparkSession, table: str, name: str, value: str) -> None
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({storage.literal(name)} = {storage.literal(value)})")
 
 
-def _partitions(spark: SparkSession, table: str, only: str = "") -> list[tuple[str, str]]:
+def partitions_of(spark: SparkSession, table: str, only: str = "") -> list[tuple[str, str]]:
     """(day, load) of the partitions, from the catalog alone."""
     rows = spark.sql(f"SHOW PARTITIONS {table} {only}").collect()
     return [tuple(unquote(part.split("=", 1)[1]) for part in row[0].split("/")) for row in rows]
@@ -41,7 +41,7 @@ def _partitions(spark: SparkSession, table: str, only: str = "") -> list[tuple[s
 
 def load_place(spark: SparkSession, table: str, load_id: str) -> str:
     """The partition of a load: where it was written before, or else today's."""
-    found = _partitions(spark, table, f"PARTITION (load_id = {storage.literal(load_id)})")
+    found = partitions_of(spark, table, f"PARTITION (load_id = {storage.literal(load_id)})")
     day = found[0][0] if found else datetime.datetime.now(datetime.timezone.utc).date().isoformat()
     return f"load_day = DATE {storage.literal(day)}, load_id = {storage.literal(load_id)}"
 
@@ -56,7 +56,7 @@ def compact_days(spark: SparkSession, table: str, before: datetime.date) -> list
     """
     unfinished = property_of(spark, table, COMPACTING)
     by_day: dict[str, list[str]] = {}
-    for day, load in _partitions(spark, table):
+    for day, load in partitions_of(spark, table):
         by_day.setdefault(day, []).append(load)
     done = []
     for day, loads in sorted(by_day.items()):

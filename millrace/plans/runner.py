@@ -169,14 +169,16 @@ def run_models(
     loaded: int | None = None,
     root: str | None = None,
     stored: Mapping[str, str] | None = None,
-    fresh: Mapping[str, DataFrame] | None = None,
+    fresh: Mapping[str, DataFrame] | Callable[[Model], Mapping[str, DataFrame]] | None = None,
+    refreshed: Callable[[Model], None] | None = None,
 ) -> dict[str, DataFrame]:
     """Refresh models after what they need; returns them by ``layer.name``.
 
     ``stored`` names the inputs that are tables or views of the catalog. A view in SQL
     whose needs are all stored becomes a view of the catalog, for every session; other
     views stay lazy and are temporary views under their quoted full name. ``fresh`` has the
-    rows that are new since the last run, for incremental models that need such an input.
+    rows that are new since the last run, for incremental models that need such an input, or
+    is a function that gives them for a model; ``refreshed`` is told each incremental model that has taken them in.
     Nothing runs when ``loaded`` is 0. On failure the run stops, or with
     ``fail_fast=False`` goes on with models that do not need a failed one, and raises
     ``ModelRunError`` at the end.
@@ -194,8 +196,11 @@ def run_models(
         try:
             if absent:
                 raise LookupError(f"needs {', '.join(absent)}")
-            given = {**available, **(fresh or {})} if model.materialized == "incremental" else available
-            result, place = _refresh(spark, model, given, catalog, root)
+            incremental = model.materialized == "incremental"
+            new = (fresh(model) if callable(fresh) else fresh or {}) if incremental else {}
+            result, place = _refresh(spark, model, {**available, **new}, catalog, root)
+            if incremental and refreshed:
+                refreshed(model)
             available[name] = results[model.full_name] = result
             catalog.pop(name, None)
             if place:

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace import storage
 from millrace.operators.bronze import Topic, append_bronze, bronze_table
 from millrace.operators.incremental import append_load
-from millrace.operators.layout import compact_days, ensure_layer, without_load
+from millrace.operators.layout import COMPACTED, compact_days, ensure_layer, partitions_of, without_load
 from millrace.operators.quality import quality_flags, quality_measures
 from millrace.operators.sse import parse_sse, split_valid_utf8
 from millrace.plans.runner import Model, run_models
@@ -28,6 +28,7 @@ from millrace.plans.silver import silver_recentchange
 from millrace.session import configure
 from millrace.sinks.csv_export import export_csv, export_layer
 from millrace.sources.frames import read_frames
+from millrace.streaming.taken import Load, note_loads, rows_of, taken_loads
 
 logger = logging.getLogger(__name__)
 
@@ -112,8 +113,8 @@ class Pipeline:
         self.source_options = {"splittable": splittable, **source_options}
         self.last_export: float | None = None
         self.results: dict[str, DataFrame] = {}
-        # Loads that the models haven't seen, by topic.
-        self.pending: dict[str, list[str]] = {}
+        # Whether anything was loaded since the models last ran.
+        self.pending = False
         self.first = True
 
     def _loader(self, feed: Feed, checkpoint: str) -> Callable[[DataFrame, int], None]:
@@ -133,7 +134,7 @@ class Pipeline:
             bronze = session.table(bronze_table(name)).where(F.col("load_id") == load_id)
             rows = feed.project(without_load(bronze))
             append_load(rows.sortWithinPartitions(*feed.sort_by) if feed.sort_by else rows, feed.silver_table, load_id, self.root)
-            self.pending.setdefault(name, []).append(load_id)
+            self.pending = True
 
         return load
 
@@ -152,24 +153,50 @@ class Pipeline:
     def transform(self) -> None:
         """Run all models once, if anything was loaded since they last ran, or this is the first cycle.
 
-        Incremental models get the rows of the new loads only. When a model fails, the loads
-        stay pending for the next cycle of this pipeline.
+        Each incremental model gets the rows of the loads that its table hasn't taken in, which
+        is noted in the catalog: when a model fails or the driver ends, the next run of any
+        pipeline feeds them, and a new model gets all that is there.
         """
-        known = [feed for feed in self.feeds if self.spark.catalog.tableExists(feed.silver_table)]
+        known = self._known()
         if not known or not (self.pending or self.first):
             return
-        inputs, stored, fresh = {}, {}, {}
+        inputs, stored, loads = {}, {}, self._loads()
         for feed in known:
             name = feed.topic.name
             self.spark.catalog.refreshTable(feed.silver_table)
             table, raw = self.spark.table(feed.silver_table), self.spark.table(bronze_table(name))
             inputs |= {name: without_load(table), f"{name}_raw": without_load(raw)}
             stored |= {name: feed.silver_table, f"{name}_raw": bronze_table(name)}
-            fresh[name] = without_load(table.where(F.col("load_id").isin(self.pending.get(name, []))))
+
+        def fresh(model: Model) -> dict[str, DataFrame]:
+            taken = taken_loads(self.spark, model)
+            mine = {feed.topic.name: feed.silver_table for feed in known if feed.topic.name in model.needs}
+            return {name: without_load(rows_of(self.spark.table(table), loads[name] - taken)) for name, table in mine.items()}
+
+        def refreshed(model: Model) -> None:
+            self._note(model, set().union(*(loads[feed.topic.name] for feed in known if feed.topic.name in model.needs)))
+
         for layer in ("silver", "gold"):
             ensure_layer(self.spark, layer, self.root)
-        self.results = run_models(self.spark, self.models, inputs, root=self.root, stored=stored, fresh=fresh)
-        self.pending, self.first = {}, False
+        self.results = run_models(self.spark, self.models, inputs, root=self.root, stored=stored, fresh=fresh, refreshed=refreshed)
+        self.pending = self.first = False
+
+    def _known(self) -> list[Feed]:
+        return [feed for feed in self.feeds if self.spark.catalog.tableExists(feed.silver_table)]
+
+    def _loads(self) -> dict[str, set[Load]]:
+        """The loads of each topic's silver layer, from the catalog alone."""
+        return {f.topic.name: {(f.topic.name, *part) for part in partitions_of(self.spark, f.silver_table)} for f in self._known()}
+
+    def _incremental(self) -> list[Model]:
+        return [model for model in self.models if model.materialized == "incremental"]
+
+    def _note(self, model: Model, loads: set[Load]) -> None:
+        """Add to what a model has taken in; loads that compaction has merged are left out."""
+        there = self._loads()
+        taken = {x for x in taken_loads(self.spark, model) if x[0] not in there or x[2] == COMPACTED or x in there[x[0]]}
+        if loads - taken:
+            note_loads(self.spark, model, taken | loads, self.root)
 
     def export(self) -> dict[str, str]:
         """Write every report: what the gold layer stores, and this pipeline's other gold relations."""
@@ -188,7 +215,18 @@ class Pipeline:
             self.export()
 
     def compact(self, before) -> None:
-        """Merge the loads of closed days of all topics, in bronze and silver."""
+        """Merge the loads of closed days of all topics, in bronze and silver.
+
+        Incremental models take in all loads first, since a merged day can't be told apart.
+        Compact with the pipeline that has them: a day merged by another is fed to them again.
+        """
+        loads = self._loads()
+        needed = {model: [x for name in model.needs for x in loads.get(name, ())] for model in self._incremental()}
+        if any(set(needed[model]) - taken_loads(self.spark, model) for model in needed):
+            self.first = True
+            self.transform()
+        for model, own in needed.items():
+            self._note(model, {(name, day, COMPACTED) for name, day, _ in own if day < before.isoformat()})
         for feed in self.feeds:
             for table in (bronze_table(feed.topic.name), feed.silver_table):
                 if self.spark.catalog.tableExists(table):

@@ -1,3 +1,4 @@
+import datetime
 import json
 import time
 import uuid
@@ -158,6 +159,38 @@ def test_incremental_models_get_the_new_load_only(spark, tmp_path, topic):
     assert pipeline.results[models[0].full_name].count() == 13
 
 
+def test_loads_of_a_failed_model_reach_it_in_a_later_run(spark, tmp_path, topic):
+    works, sizes = [True], []
+
+    def model(silver):
+        if not works:
+            raise ValueError("model is broken")
+        sizes.append(silver.count())
+        return silver
+
+    models = [Model(f"all_{topic.name}", "gold", model, (topic.name,), "incremental", ("id",))]
+    feed, checkpoint = Feed(topic, str(tmp_path / "q")), str(tmp_path / "c")
+    put(tmp_path / "q", "1.bin", FRAMES[:4])
+    run_once(spark, feed, checkpoint, models=models)
+    works.clear()
+    put(tmp_path / "q", "2.bin", FRAMES[4:9])
+    with pytest.raises(ModelRunError, match="model is broken"):
+        run_once(spark, feed, checkpoint, models=models)
+    works.append(True)
+    put(tmp_path / "q", "3.bin", FRAMES[9:11])
+    assert run_once(spark, feed, checkpoint, models=models).results[models[0].full_name].count() == 11
+    assert sizes == [4, 7]
+    # A model that is added later gets the history, the other one nothing again, also after compaction.
+    late = Model(f"late_{topic.name}", "gold", lambda silver: silver, (topic.name,), "incremental", ("id",))
+    pipeline = run_once(spark, feed, checkpoint, models=[*models, late])
+    assert pipeline.results[late.full_name].count() == 11
+    pipeline.compact(datetime.date.today() + datetime.timedelta(days=2))
+    put(tmp_path / "q", "4.bin", FRAMES[11:12])
+    pipeline = run_once(spark, feed, checkpoint, models=[*models, late])
+    assert [pipeline.results[m.full_name].count() for m in (*models, late)] == [12, 12]
+    assert sizes == [4, 7, 0, 1]
+
+
 def test_any_topic_needs_no_type(spark, tmp_path, topic):
     put(tmp_path / "q", "1.bin", ['data: {"id":1,"order":{"paid":true}}\n\n'])
     columns = [("id", "id", "bigint"), ("paid", "order.paid", "boolean")]
