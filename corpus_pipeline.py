@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in shuffled order, as often as equal weights of all sources ask for."""
-    return mix(docs, size=MIX_SIZE, seed=MIX_SEED).select(*docs.columns)
+    return mix(docs, size=MIX_SIZE, seed=MIX_SEED, by_text=True).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of
+from millrace.llm.common import bounded_broadcast, stored, text_of
 
 # A mean above this is drawn as a sum of independent draws with smaller means.
 MEAN_PER_DRAW = 32
@@ -51,12 +51,24 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
     return sizes.select("mix_source", "weight", "bytes", F.when(F.col("bytes") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 0) -> DataFrame:
+def _repeated(docs: DataFrame) -> DataFrame:
+    """mix_id, mix_first: ids that stand for several texts, and the least hash of those texts."""
+    rows = docs.select(docs["doc_id"].cast("string").alias("mix_id"), F.xxhash64(text_of(docs)).alias("h")).where("mix_id IS NOT NULL")
+    found = rows.groupBy("mix_id").agg(F.min("h").alias("mix_first"), F.max("h").alias("last"))
+    found = stored(found.where("mix_first <> last").drop("last"), "repeated")
+    return bounded_broadcast(found, found.count(), 64)
+
+
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 0, by_text: bool = False
+) -> DataFrame:
     """Copies of the documents in shuffled order, with copy_no, n_copies and shuffle_key.
 
     The number of copies depends on the seed, the doc_id, the text's source and the rates
     alone: rows that repeat a doc_id of a source get equally many copies. A null doc_id or
-    source is a value like others. Input columns called like the three new ones are dropped.
+    source is a value like others. With ``by_text`` different texts are drawn apart also where
+    they share a doc_id or have none, by a hash of the text as well; a doc_id that stands for one
+    text is drawn as without, and equal texts of one doc_id, or without any, still share a draw. Input columns called like the three new ones are dropped.
     A source with only empty texts has no size to mix by and gets no copies.
     """
     docs = docs.drop(*OWN)
@@ -64,6 +76,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     rates = repetition_rates(docs, weights, size).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_PER_DRAW)).cast("int"))
     rates = rates.select("mix_source", "draws", _cumulative(F.col("rate") / F.col("draws")).alias("steps"))
     ident = F.coalesce(F.col("r.doc_id").cast("string"), F.lit("null"))
+    extra = []
+    if by_text:
+        text_hash = F.xxhash64(F.coalesce(F.col("r.text").cast("string"), F.lit("")))
+        apart = F.col("r.doc_id").isNull() | (F.col("mix_first") != text_hash)
+        ident = F.when(apart, F.concat_ws("/", ident, text_hash.cast("string"))).otherwise(ident)
+        extra = ["mix_first"]
 
     def uniform(draw: Column) -> Column:
         digits = F.substring(_hex(F.lit(str(seed)), ident, draw.cast("string")), 1, DIGITS)
@@ -72,9 +90,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     points = F.transform(F.sequence(F.lit(1), F.col("draws")), uniform)
     count = F.aggregate("points", F.lit(0), lambda n, u: n + F.size(F.filter("steps", lambda c: c <= u)))
     rows = docs.select(F.struct(*names).alias("r"))
+    if by_text:
+        rows = rows.join(_repeated(docs), F.col("r.doc_id").cast("string") == F.col("mix_id"), "left").drop("mix_id")
     rows = rows.join(rates, F.col("r.source").cast("string").eqNullSafe(F.col("mix_source")))
-    rows = rows.select("r", "steps", points.alias("points")).select("r", count.alias("n_copies")).where("n_copies > 0")
-    rows = rows.select("r", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
+    rows = rows.select("r", *extra, "steps", points.alias("points")).select("r", *extra, count.alias("n_copies")).where("n_copies > 0")
+    rows = rows.select("r", *extra, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
     key = _hex(F.lit(f"{seed}/order"), ident, F.col("copy_no").cast("string"))
     rows = rows.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
     return rows.select("r.*", *OWN)

@@ -45,7 +45,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), size=MIX_SIZE, seed=MIX_SEED)
+    return mix(table(spark, sf_dir, "documents"), size=MIX_SIZE, seed=MIX_SEED, by_text=True)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

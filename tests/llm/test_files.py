@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm.mixing import mix, repetition_rates
+from millrace.llm.queries import MIX_SEED, MIX_SIZE, QUERIES
 from millrace.llm.sharding import kd_shards, write_shards
 from millrace.llm.token_files import decode, decoded, encode, read_digests, write_token_files
 from tests.llm import cases
@@ -136,6 +137,26 @@ def test_copies_follow_the_inverted_distribution(spark, size):
     assert keys == sorted(keys)
 
 
+def test_texts_that_share_an_id_or_have_none_are_drawn_apart(spark, tmp_path):
+    hot = [cases.row(None if k % 2 else 7, cases.prose(k, 30), "hot") for k in range(800)]
+    rest = [cases.row(1000 + k, cases.prose(2000 + k, 30), f"s{k % 3}") for k in range(90)]
+    cases.documents(spark, hot + rest).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op4_mixing"](spark, str(tmp_path)).collect()
+    copies = {(r.doc_id, r.text): r.n_copies for r in rows}
+    for doc_id in (None, 7):
+        counts = [copies.get((doc_id, r[1]), 0) for r in hot if r[0] == doc_id]
+        assert abs(sum(counts) / 400 - rate_by_hand(hot + rest, "hot")) < 0.1 and len(set(counts)) > 2
+    plain = mix(cases.documents(spark, hot + rest), size=MIX_SIZE, seed=MIX_SEED).where("doc_id >= 1000").collect()
+    assert Counter(r for r in rows if r.doc_id and r.doc_id >= 1000) == Counter(plain)
+
+
+def rate_by_hand(data, source):
+    sizes = Counter()
+    for r in data:
+        sizes[r[3]] += len((r[1] or "").encode())
+    return sum(sizes.values()) / len(sizes) / sizes[source]
+
+
 def test_rates_meet_the_weights(spark):
     data = [cases.row(k, cases.prose(k, 20), "big" if k % 4 else "small") for k in range(4000)]
     docs = cases.documents(spark, data)
