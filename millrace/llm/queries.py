@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.decontam import contamination
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.fingerprints import FLOOR, FRACTION, SIZE, compare_neighbours, threshold
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.lm_scores import lm_scores
 from millrace.llm.mixing import mix
@@ -80,6 +81,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,10 +174,44 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.d
 FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _sketch_sql(text: str) -> str:
+    words = f"string_split_regex(trim({text}, {SPACE}), '[\\x20\\x09-\\x0D]+')"
+    runs = f"CASE WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SIZE - 2}), lambda i: array_to_string(w[i : i + {SIZE - 1}], ' ')) END"
+    hashes = f"list_sort(list_distinct(list_transform({runs}, lambda x: substr(md5(x), 1, 12))))"
+    return (
+        f"SELECT row, CASE WHEN trim({text}, {SPACE}) = '' THEN [] WHEN len(below) >= {FLOOR} THEN below ELSE hashes[1 : {FLOOR}] END AS s "
+        f"FROM (SELECT row, {text}, hashes, list_filter(hashes, lambda x: x < '{threshold(FRACTION)}') AS below "
+        f"FROM (SELECT row, {text}, {hashes} AS hashes FROM (SELECT row, {text}, {words} AS w FROM edits)))"
+    )
+
+
+def _near_sql(a: str, b: str) -> str:
+    limit = lambda x: f"CASE WHEN len({x}) < {FLOOR} THEN 'g' ELSE greatest({x}[-1], '{int(threshold(FRACTION), 16) - 1:012x}') END"
+    count = lambda x: f"len(list_filter({x}, lambda x: x <= least({limit(a)}, {limit(b)})))"
+    least = f"least({count(a)}, {count(b)})"
+    return f"CASE WHEN {a} = {b} THEN 1 WHEN {least} = 0 THEN 0 ELSE {count(f'list_intersect({a}, {b})')}::DOUBLE / {least} END::DOUBLE"
+
+
+OP11_SQL = f"""
+WITH rows AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, coalesce(text, '') AS text FROM documents),
+edits AS (SELECT a.row, b.row AS next_row, a.doc_id, a.text, length(a.text) AS n,
+                 substr(a.text, 1, n - n // 2) || substr(b.text, 1, n // 2) AS edited
+          FROM rows a JOIN rows b ON b.row = a.row % (SELECT count(*) FROM rows) + 1),
+own AS ({_sketch_sql("text")}),
+other AS ({_sketch_sql("edited")})
+SELECT edits.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own.s, '') AS fingerprint,
+       array_to_string(other.s, '') AS edited_fingerprint, {_near_sql("own.s", "other.s")} AS near_edited, {_near_sql("own.s", "nexts.s")} AS near_next
+FROM edits JOIN own USING (row) JOIN other USING (row) JOIN own nexts ON nexts.row = next_row
+"""
+
 ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op11_fingerprints": OP11_SQL,
 }
