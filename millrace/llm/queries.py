@@ -15,7 +15,9 @@ from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.lm_scores import lm_scores
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.prefix_trie import prefix_trie
 from millrace.llm.quality import fit, quality_scores
+from millrace.llm.repair import repair
 from millrace.llm.secret_scan import scan_secrets
 from millrace.llm.sharding import kd_shards
 from millrace.llm.token_files import token_digests
@@ -85,6 +87,14 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
     "op11_fingerprints": op11_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair": op13_repair,
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -207,6 +219,89 @@ SELECT edits.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_str
 FROM edits JOIN own USING (row) JOIN other USING (row) JOIN own nexts ON nexts.row = next_row
 """
 
+
+
+def _crc32_sql(text: str) -> str:
+    """Of ASCII text; DuckDB has no such function."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH clean AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS n, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS head FROM clean GROUP BY conv_id),
+begun AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.head),
+turns AS (SELECT begun.conv_id, pos AS depth, role, text FROM begun JOIN clean ON clean.conv_id = begun.head AND pos <= taken
+          UNION ALL SELECT conv_id, pos - h + taken, role, text FROM begun JOIN clean USING (conv_id) WHERE pos > h),
+paths AS (SELECT conv_id, depth, text, list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+          UNION ALL SELECT conv_id, 0, '', [] FROM convs),
+passed AS (SELECT conv_id, depth, text, sha256(to_json(path)::VARCHAR) AS node, sha256(to_json(path[: depth - 1])::VARCHAR) AS parent FROM paths),
+nodes AS (SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(text) AS text
+          FROM passed GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+worth AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+                 (n_convs - 1) * len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS saved FROM nodes LEFT JOIN children USING (node)),
+totals AS (SELECT passed.node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+           FROM worth JOIN passed ON passed.conv_id = worth.conv_id AND passed.depth <= worth.depth GROUP BY passed.node),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(node, depth) AS node FROM passed GROUP BY conv_id) GROUP BY node)
+SELECT worth.conv_id, worth.depth, up.conv_id AS parent_conv_id, worth.n_convs, worth.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM worth JOIN totals USING (node) LEFT JOIN ends USING (node) LEFT JOIN nodes up ON up.node = worth.parent AND worth.depth > 0
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE codes AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
+damaged AS (
+  SELECT conv, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM codes WHERE code <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, copy) AS pos FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again, trim(text, {SPACE}) AS bare,
+                initial || lead(initial) OVER (PARTITION BY conv ORDER BY pos) AS pair FROM placed),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+           FROM seen),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv),
+follows(a, role, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+one AS (SELECT a, b FROM follows WHERE role <> 's'),
+inserts AS (SELECT a, a AS b, '' AS letters, 0 AS price FROM (SELECT unnest(range(4)) AS a) UNION ALL SELECT a, b, 'I', 5 FROM one
+            UNION ALL SELECT x.a, y.b, 'II', 10 FROM one x JOIN one y ON x.b = y.a),
+edits AS (
+  SELECT conv, pos, a, a AS b, 'D' AS letter, 2 AS price FROM faults, (SELECT unnest(range(4)) AS a)
+  UNION ALL SELECT conv, pos, a, b, 'K', CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END
+            FROM faults JOIN follows ON follows.role = initial WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv, pos, a, b, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END
+            FROM faults, one WHERE fault IS NULL OR fault = 'truncated'),
+steps AS (SELECT conv, pos, inserts.a, edits.b, letters || letter AS letters, inserts.price + edits.price AS price
+          FROM edits JOIN inserts ON inserts.b = edits.a),
+best(conv, pos, state, path) AS (
+  SELECT conv, 0::BIGINT, 0::BIGINT, {{'cost': 0::BIGINT, 'audit': ''}} FROM counts
+  UNION ALL
+  SELECT best.conv, best.pos + 1, steps.b::BIGINT, min({{'cost': best.path.cost + steps.price, 'audit': best.path.audit || steps.letters}})
+  FROM best JOIN steps ON steps.conv = best.conv AND steps.pos = best.pos + 1 AND steps.a = best.state GROUP BY best.conv, best.pos, steps.b),
+chosen AS (SELECT conv, min({{'cost': path.cost + price, 'audit': path.audit || letters}}) AS path
+           FROM best JOIN counts USING (conv) JOIN inserts ON inserts.a = state WHERE pos = n AND inserts.b IN (0, 3) GROUP BY conv),
+letters AS (SELECT conv, unnest(string_split(path.audit, '')) AS letter, generate_subscripts(string_split(path.audit, ''), 1) AS place FROM chosen),
+aligned AS (SELECT conv, place, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv ORDER BY place) AS pos FROM letters),
+kept AS (SELECT aligned.*, row_number() OVER (PARTITION BY conv ORDER BY place) AS nth FROM aligned WHERE letter <> 'D'),
+lines AS (SELECT kept.*, role, initial, CASE WHEN letter = 'I' THEN '' ELSE text END AS text,
+                 first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY conv ORDER BY place) AS system_first
+          FROM kept LEFT JOIN placed USING (conv, pos)),
+repaired AS (SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - system_first::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                     || ':' || text, chr(10) ORDER BY place) AS whole FROM lines GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(path.cost, 0) AS cost, coalesce(path.audit, '') AS audit,
+       sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations)
+LEFT JOIN counts USING (conv) LEFT JOIN chosen USING (conv) LEFT JOIN repaired USING (conv)
+"""
+
 ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
@@ -214,4 +309,6 @@ ORACLE: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
     "op9_near_dedup": OP9_SQL,
     "op11_fingerprints": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_repair": OP13_SQL,
 }
