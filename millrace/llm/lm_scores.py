@@ -1,19 +1,20 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
 Documents are dealt out into blocks. A block explodes its texts into n-grams and adds up
-equal ones first, so that a common n-gram leaves a block once. The n-gram counts are
-partitioned by ranges of the n-grams' hashes: each range adds up what all blocks sent and
-joins the totals back to the blocks' n-grams. Each block then sums up its documents.
+equal ones first, so that a common n-gram leaves a block once. The n-gram count table is
+partitioned by the leading bits of the n-grams' hashes: each range adds up what all blocks sent
+and joins the totals back to the blocks' n-grams. Each block then sums up its documents.
 
 What travels is one cell per block and range: the sorted hashes as differences and the
-counts, both byte plane by byte plane and compressed. When a corpus grows, cells get smaller
-until they hold one n-gram each; there are never more of them than n-grams in the blocks.
+counts, both byte plane by byte plane and compressed. A block never has more than ``FAN`` cells. More
+blocks than that are first merged in groups of ``FAN``, range by range; the groups' tables are cut into
+finer ranges and merged in turn, and the totals come back the same way. So every task merges about as
+much as one block holds, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, text_of
-from millrace.llm.words import shingles, word_hashes
+from millrace.llm.words import GOLDEN, scramble, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4  # fixed factor per step back
-BLOCK_BYTES = 24 << 20
-# A range has about so many bytes of texts' n-grams.
-RANGE_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
+FAN = 512  # a power of two
 
 SCORE_SCHEMA = "doc_id BIGINT, content BIGINT, n_tokens BIGINT, n_seen BIGINT, log_score DOUBLE"
+CELL_SCHEMA = "block BIGINT, range BIGINT, grams BINARY, counts BINARY"
+TOTAL_SCHEMA = "block BIGINT, range BIGINT, totals BINARY"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,113 +54,204 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-def _grams(hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 1 to order the hashes of all runs of k words of one text."""
-    return [shingles(hashes, k) if len(hashes) >= k else hashes[:0] for k in range(1, order + 1)]
+def sorted_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the values in order (equal ones by place), the values in that order, and where runs of equal ones begin.
 
+    One plain sort: the leading bits of a value with its place in the others. Values that only
+    differ in the bits that made way are put right afterwards; there are few.
+    """
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64), values, np.zeros(0, np.int64)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    keys = (values & ~low) | np.arange(n, dtype=np.uint64)
+    keys.sort()
+    places = (keys & low).view(np.int64)
+    found = values[places]
+    new = found[1:] != found[:-1]
+    keys >>= bits
+    alike = keys[1:] == keys[:-1]
+    clash = np.flatnonzero(new & alike)
+    if len(clash):
+        group = np.concatenate([[0], np.cumsum(~alike)])
+        rows = np.flatnonzero(np.isin(group, group[clash]))
+        places[rows] = places[rows][np.lexsort((places[rows], found[rows]))]
+        found = values[places]
+        new = found[1:] != found[:-1]
+    return places, found, np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(starts, append=n)
+
+
+class Block:
+    """The n-grams of a block's texts.
+
+    ``grams`` has, order by order, a hash for every run of words within a text; ``ends`` the
+    number of its last word, and ``words`` for each text the number of its first word, and of all.
+    """
 
-def _documents(texts: pa.Array, order: int) -> Iterator[list[np.ndarray]]:
-    for first, end, data, offsets in byte_slices(texts):
-        hashes, words = word_hashes(data, offsets)
-        for row in range(end - first):
-            yield _grams(hashes[words[row] : words[row + 1]], order)
+    def __init__(self, texts: pa.ChunkedArray, order: int):
+        hashes, firsts, total = [], [], 0
+        for chunk in texts.chunks:
+            for _, _, data, offsets in byte_slices(chunk):
+                found, words = word_hashes(data, offsets)
+                firsts.append(words[:-1] + total)
+                hashes.append(found)
+                total += len(found)
+        self.words = np.concatenate([*firsts, [total]]).astype(np.int64)
+        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(self.words) - 1), np.diff(self.words))
+        self.nth = np.arange(total) - self.words[self.doc]  # of a word in its text
+        with np.errstate(over="ignore"):
+            run, grams, ends = scramble(words + GOLDEN), [], []
+            grams.append(run)
+            ends.append(np.arange(total))
+            for k in range(2, order + 1):
+                # The run of k words that ends here: that of k - 1 words ending one word earlier, and this word.
+                longer = np.zeros_like(run)
+                longer[1:] = scramble(run[:-1] * GOLDEN + words[1:] + np.uint64(k))
+                run = longer
+                ends.append(np.flatnonzero(self.nth >= k - 1))
+                grams.append(run[ends[-1]])
+        self.grams, self.ends, self.sizes = np.concatenate(grams), np.concatenate(ends), [len(x) for x in grams]
+
+
+def _cut(grams: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """Sorted n-grams and counts as packed cells by their leading bits."""
+    if not bits:
+        return [(0, pack_sorted(grams), pack(counts))] if len(grams) else []
+    ranges = grams >> np.uint64(64 - bits)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1]) if len(grams) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(grams))
+    return [(int(ranges[a]), pack_sorted(grams[a:b]), pack(counts[a:b])) for a, b in zip(starts, ends, strict=True)]
+
+
+def _cell_table(block: int, cells: list[tuple[int, bytes, bytes]]) -> pa.Table:
+    return pa.table(
+        {
+            "block": pa.array([block] * len(cells), pa.int64()),
+            "range": pa.array([x[0] for x in cells], pa.int64()),
+            "grams": pa.array([x[1] for x in cells], pa.binary()),
+            "counts": pa.array([x[2] for x in cells], pa.binary()),
+        }
+    )
+
+
+def _cells(order: int, bits: int):
+    """A block in; a cell for each range of hashes out."""
 
+    def run(block: pa.Table) -> pa.Table:
+        _, found, starts = sorted_runs(Block(block.column("text"), order).grams)
+        return _cell_table(block.column("block")[0].as_py(), _cut(found[starts], _lengths(starts, len(found)), bits))
 
-def _of_block(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block, sorted, and their numbers of occurrences."""
-    found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    waiting: list[np.ndarray] = []
+    return run
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        new, seen = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (found[:0], counts[:0])
-        both, place = np.unique(np.concatenate([found, new]), return_inverse=True)
-        return both, np.bincount(place, weights=np.concatenate([counts, seen]), minlength=len(both)).astype(np.int64)
 
-    for chunk in texts.chunks:
-        for grams in _documents(chunk, order):
-            waiting += grams
-            if len(waiting) > 4096:
-                (found, counts), waiting = merged(), []
-    return merged()
+def _merged(cells: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of some cells of one range: each one's n-grams; places in order, distinct n-grams and where each begins."""
+    grams = [unpack_sorted(x.as_py()) for x in cells.column("grams")]
+    places, found, starts = sorted_runs(np.concatenate(grams))
+    return grams, places, found[starts], starts
 
 
-def _cells(order: int, ranges: int):
-    """A block in; a cell for each range of hashes out."""
+def _counts(cells: pa.Table, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(np.concatenate([unpack(x.as_py()) for x in cells.column("counts")])[places], starts)
 
-    def run(block: pa.Table) -> pa.Table:
-        number = block.column("block")[0].as_py()
-        grams, counts = _of_block(block.column("text"), order)
-        span = (1 << 64) // ranges + 1
-        edges = np.searchsorted(grams, np.array([k * span for k in range(1, ranges)], np.uint64))
-        edges = [0, *edges.tolist(), len(grams)]
-        rows = [(k, pack_sorted(grams[a:b]), pack(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        return pa.table(
-            {
-                "block": pa.array([number] * len(rows), pa.int64()),
-                "range": pa.array([x[0] for x in rows], pa.int64()),
-                "grams": pa.array([x[1] for x in rows], pa.binary()),
-                "counts": pa.array([x[2] for x in rows], pa.binary()),
-            }
-        )
 
-    return run
+def _given_back(cells: pa.Table, grams: list[np.ndarray], places: np.ndarray, starts: np.ndarray, totals: np.ndarray) -> pa.Table:
+    """For each cell the totals of its n-grams, in their order."""
+    all_ = np.empty(len(places), np.uint64)
+    all_[places] = np.repeat(totals, _lengths(starts, len(places)))
+    parts = np.split(all_, np.cumsum([len(x) for x in grams])[:-1])
+    return pa.table({"block": cells.column("block"), "range": cells.column("range"), "totals": pa.array([pack(x) for x in parts], pa.binary())})
 
 
 def _totals(cells: pa.Table) -> pa.Table:
-    """All cells of a range in; for each the totals over all blocks out, in the order of its n-grams."""
-    grams = [unpack_sorted(x.as_py()) for x in cells.column("grams")]
-    counts = np.concatenate([unpack(x.as_py()) for x in cells.column("counts")])
-    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)[place]
-    ends = np.cumsum([len(x) for x in grams])
-    packed = [pack(totals[end - len(x) : end]) for x, end in zip(grams, ends, strict=True)]
-    return pa.table({"block": cells.column("block"), "range": cells.column("range"), "totals": pa.array(packed, pa.binary())})
+    """All cells of a range in; for each the totals over all blocks out."""
+    grams, places, _, starts = _merged(cells)
+    return _given_back(cells, grams, places, starts, _counts(cells, places, starts))
+
+
+def _merge(bits: int):
+    """The cells of a group of blocks in one range in; the group's cells for finer ranges out."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        _, places, distinct, starts = _merged(cells)
+        return _cell_table(cells.column("group")[0].as_py(), _cut(distinct, _counts(cells, places, starts), bits))
+
+    return run
+
+
+def _spread(cells: pa.Table, totals: pa.Table) -> pa.Table:
+    """The cells of a group of blocks in one range, and the group's totals in it; each cell's totals out."""
+    grams, places, _, starts = _merged(cells)
+    totals = totals.sort_by("range")
+    return _given_back(cells, grams, places, starts, np.concatenate([unpack(x.as_py()) for x in totals.column("totals")]))
+
+
+def corpus_totals(cells: DataFrame, blocks: int, bits: int, fan: int = FAN) -> DataFrame:
+    """block, range, totals: for each cell the counts of its n-grams over all cells, in their order.
+
+    ``bits`` leading bits of a hash are its range. ``fan`` is a power of two.
+    """
+    if blocks <= fan:
+        return cells.groupBy("range").applyInArrow(_totals, TOTAL_SCHEMA)
+    finer = fan.bit_length() - 1
+    grouped = cells.withColumn("group", F.floor(F.col("block") / fan).cast("long")).groupBy("group", "range")
+    upper = corpus_totals(grouped.applyInArrow(_merge(bits + finer), CELL_SCHEMA), -(-blocks // fan), bits + finer, fan)
+    upper = upper.withColumn("group", F.col("block")).withColumn("wide", F.shiftright("range", finer)).groupBy("group", "wide")
+    return grouped.cogroup(upper).applyInArrow(_spread, TOTAL_SCHEMA)
 
 
 def _scored(order: int, n_tokens: int, leave_out: bool):
     """A block's documents and the totals of its n-grams in; scores out."""
 
-    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
-        grams, _ = _of_block(block.column("text"), order)
+    def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
+        block = Block(rows.column("text"), order)
+        places, found, starts = sorted_runs(block.grams)
         totals = totals.sort_by("range")
         corpus = np.concatenate([unpack(x.as_py()) for x in totals.column("totals")] or [np.zeros(0, np.uint64)]).astype(np.float64)
-        tokens, seen, scores = [], [], []
-        for chunk in block.column("text").chunks:
-            for own in _documents(chunk, order):
-                n = len(own[0])
-                count = [corpus[np.searchsorted(grams, x)] for x in own]
-                if leave_out:
-                    for k, x in enumerate(own):
-                        _, place, times = np.unique(x, return_inverse=True, return_counts=True)
-                        count[k] = count[k] - times[place]
-                outside = max(n_tokens - (n if leave_out else 0), 1)
-                # From the unigram up: where a longer n-gram has been seen, its ratio replaces the backed-off score.
-                score = np.log(np.maximum(count[0], 0.5) / outside)
-                hits = 0
-                for k in range(1, order):
-                    longer, context = count[k], count[k - 1][: len(count[k])]
-                    found = longer > 0
-                    hits = int(found.sum())
-                    score[k:] = np.where(found, np.log(np.maximum(longer, 1) / np.maximum(context, 1)), score[k:] + math.log(BACKOFF))
-                tokens.append(n)
-                seen.append(hits)
-                scores.append(float(score.sum()))
+        counts = np.repeat(corpus, _lengths(starts, len(found)))
+        if leave_out and len(found):
+            # Equal n-grams are in the order of their places, so those of a document lie together.
+            doc = block.doc[block.ends[places]]
+            own = np.union1d(starts, np.flatnonzero(np.diff(doc)) + 1)
+            times = _lengths(own, len(found))
+            counts -= np.repeat(times, times)
+        by_place = np.empty(len(counts))
+        by_place[places] = counts
+        n_words = np.diff(block.words)
+        outside = np.maximum(n_tokens - (n_words if leave_out else 0 * n_words), 1)
+        # From the unigram up: where a longer n-gram has been seen, its ratio replaces the backed-off score.
+        shorter = by_place[: block.sizes[0]]
+        score = np.log(np.maximum(shorter, 0.5) / outside[block.doc])
+        done, hits = block.sizes[0], np.zeros(len(block.doc), bool)
+        for size in block.sizes[1:]:
+            ends = block.ends[done : done + size]
+            longer = np.zeros(len(block.doc))
+            longer[ends] = by_place[done : done + size]
+            hits = longer > 0
+            ratio = np.log(np.maximum(longer[ends], 1) / np.maximum(shorter[ends - 1], 1))
+            score[ends] = np.where(hits[ends], ratio, score[ends] + math.log(BACKOFF))
+            shorter, done = longer, done + size
+        per_doc = lambda x: np.bincount(block.doc, weights=x, minlength=len(n_words))
         return pa.table(
             {
-                "doc_id": block.column("doc_id"),
-                "content": block.column("content"),
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_seen": pa.array(seen, pa.int64()),
-                "log_score": pa.array(scores, pa.float64()),
+                "doc_id": rows.column("doc_id"),
+                "content": rows.column("content"),
+                "n_tokens": pa.array(n_words, pa.int64()),
+                "n_seen": pa.array(per_doc(hits).astype(np.int64), pa.int64()),
+                "log_score": pa.array(per_doc(score), pa.float64()),
             }
         )
 
     return run
 
 
-def lm_scores(
-    docs: DataFrame, order: int = ORDER, leave_out: bool = True, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES
-) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, leave_out: bool = True, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, content, n_tokens, n_seen, log_score, mean_log_score: one row per document.
 
     Tokens are words between ASCII white space, A-Z lower-cased. A token's score is the ratio
@@ -174,13 +267,14 @@ def lm_scores(
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     measure = rows.agg(F.sum(F.octet_length("text")), F.sum(n_words)).first()
-    size = measure[0] or 0
-    blocks, ranges = (max(1, math.ceil(size / each)) for each in (block_bytes, range_bytes))
+    blocks = max(1, math.ceil((measure[0] or 0) / block_bytes))
+    bits = min(blocks - 1, fan - 1).bit_length()
     rows = rows.withColumn("content", F.xxhash64("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "content"), F.lit(blocks)))
+    # Equal rows go to different blocks too.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "content", F.monotonically_increasing_id()), F.lit(blocks)))
     tasks = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(tasks, "block")
-    cells = rows.groupBy("block").applyInArrow(_cells(order, ranges), "block BIGINT, range BIGINT, grams BINARY, counts BINARY")
-    totals = cells.groupBy("range").applyInArrow(_totals, "block BIGINT, range BIGINT, totals BINARY")
+    cells = rows.groupBy("block").applyInArrow(_cells(order, bits), CELL_SCHEMA)
+    totals = corpus_totals(cells, blocks, bits, fan)
     scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scored(order, measure[1] or 0, leave_out), SCORE_SCHEMA)
     return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 from millrace.llm.decontam import contamination, drop_contaminated, near_phrases
-from millrace.llm.lm_scores import lm_scores, pack_sorted, unpack_sorted
+from millrace.llm.lm_scores import lm_scores, pack_sorted, sorted_runs, unpack_sorted
 from millrace.llm.quality import drop_rejected, fit, quality_scores
 from millrace.llm.queries import QUERIES
 from millrace.llm.secret_scan import scan_secrets
@@ -229,10 +229,10 @@ def scores_by_hand(data, order, leave_out):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("order", "leave_out"), [(2, True), (3, True), (2, False)])
-def test_scores_agree_with_brute_force(spark, order, leave_out):
-    data = [r for r in cases.rows() if r[0] != 409]
-    got = lm_scores(cases.documents(spark, data), order, leave_out, block_bytes=20_000, range_bytes=30_000).collect()
+@pytest.mark.parametrize(("order", "leave_out", "fan"), [(2, True, 512), (3, True, 512), (2, False, 512), (4, True, 2)])
+def test_scores_agree_with_brute_force(spark, order, leave_out, fan):
+    data = cases.rows()
+    got = lm_scores(cases.documents(spark, data), order, leave_out, block_bytes=60_000, fan=fan).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_seen, round(r.log_score, 4)) for r in got) == scores_by_hand(data, order, leave_out)
     assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
 
@@ -253,3 +253,15 @@ def test_sorted_hashes_come_back():
 
     values = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert (unpack_sorted(pack_sorted(values)) == values).all()
+
+
+@pytest.mark.parametrize("bits", [64, 20, 3])
+def test_runs_of_equal_values_are_found_with_their_places(bits):
+    import numpy as np
+
+    values = np.random.default_rng(2).integers(0, 2**bits - 1, 5000, dtype=np.uint64)
+    values[::7] = values[0]
+    places, found, starts = sorted_runs(values)
+    assert (places == np.argsort(values, kind="stable")).all() and (found == np.sort(values)).all()
+    assert (found[starts] == np.unique(values)).all()
+    assert all(len(x) == 0 for x in sorted_runs(values[:0]))
