@@ -11,7 +11,9 @@ key is as new where it is repeated. Candidates that stay as long as they were ar
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -43,6 +45,7 @@ LEAST_WORD = 4
 REACH = 48  # code points between a sensitive word's end and a candidate's start
 AROUND = 256  # code points of text on each side that a candidate is measured against
 NOVEL_SHARE = 0.8  # of the candidate's length, in marginal bytes
+ONE_CASE = 0.75  # letters of one case only carry less (log2 26 of log2 62 bits), so so much less is asked of them
 
 IDENTIFIERS = """access account address admin algorithm allow_origin api_key application argument array async auth_token
 authorization await base64 bearer boolean bucket buffer callback certificate changeme class client_id client_secret config
@@ -143,46 +146,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the long runs in sensitive context that touch none of the known spans."""
+def candidates(text: str, known: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int]]:
+    """(start, end) of the long runs in sensitive context that touch none of the known spans (sorted by start).
+
+    A run counts if a sensitive word ends within ``reach`` code points before it, or in it: then what
+    follows the first such word is the candidate. Words and runs are found once each and walked together.
+    """
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    if not runs:
+        return []
     lowered = text.lower()
     if not any(word in lowered for word in SENSITIVE):
         return []
-    found = {}
-    for word in SENSITIVE_WORD.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() > word.end() + REACH:
-                break
-            found[m.start()] = m.end()  # a run that a sensitive word begins is cut at that word
-    ends: dict[int, int] = {}
-    for start, end in found.items():
-        ends[end] = min(start, ends.get(end, start))
-    return [(start, end) for end, start in ends.items() if not any(a < end and start < b for a, _, b in known)]
-
-
-def measured_spans(text: str, novelty: Novelty) -> list[tuple[int, int, int, int]]:
+    ends = [m.end() for m in SENSITIVE_WORD.finditer(text)]
+    furthest = list(itertools.accumulate((end for _, _, end in known), max))
+    starts = [start for start, _, _ in known]
+    found, k = [], 0
+    for start, end in runs:
+        while k < len(ends) and ends[k] < start - reach:
+            k += 1
+        if k == len(ends):
+            break
+        first = max(start, ends[k])
+        if end - first < LEAST_CANDIDATE:
+            continue
+        before = bisect.bisect_left(starts, end)  # known spans that begin before its end
+        if not before or furthest[before - 1] <= first:
+            found.append((first, end))
+    return found
+
+
+def least_bytes(candidate: str, share: float = NOVEL_SHARE) -> float:
+    """Marginal bytes from which a candidate is reported."""
+    one_case = candidate.isalpha() and (candidate.islower() or candidate.isupper())
+    return share * len(candidate) * (ONE_CASE if one_case else 1)
+
+
+def measured_spans(text: str, novelty: Novelty, reach: int = REACH, share: float = NOVEL_SHARE) -> list[tuple[int, int, int, int]]:
     """(start, index of the kind, end, marginal bytes) of the fixed patterns' matches and the incompressible candidates, sorted."""
     base = base_spans(text)
-    found = candidates(text, base)
+    found = candidates(text, base, reach)
     if not (base or found):
         return []
     within = novelty.within(text, [*((start, end) for start, _, end in base), *found])
     spans = [(start, kind, end, within(text, start, end)) for start, kind, end in base]
     novel = ((start, 3, end, within(text, start, end)) for start, end in found)
-    return sorted([*spans, *(x for x in novel if x[3] >= NOVEL_SHARE * (x[2] - x[0]))])
+    return sorted([*spans, *(x for x in novel if x[3] >= least_bytes(text[x[0] : x[2]], share))])
 
 
 def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _scan(identifiers: str):
+def _scan(identifiers: str, reach: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(identifiers)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                found = measured_spans(text.as_py(), novelty)
+                found = measured_spans(text.as_py(), novelty, reach, share)
                 spans = [x[:3] for x in found]
                 counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
                 digest = hashlib.sha256(_joined(x for x in spans if x[1] < 3).encode()).hexdigest()
@@ -197,13 +219,15 @@ def _scan(identifiers: str):
     return run
 
 
-def scan_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS, reach: int = REACH, share: float = NOVEL_SHARE) -> DataFrame:
     """One row per document: counts and spans of secrets, and each span's marginal bytes.
 
     ``spans`` lists kind:start:end by start and then kind, comma-joined, in code points with
     an exclusive end; ``base_sha256`` is the digest of the list without the kind "novel". A
+    candidate starts at most ``reach`` code points after a sensitive word, and is reported if its
+    marginal bytes are at least ``share`` of its length (less for letters of one case, ``least_bytes``). A
     null or empty text has no spans. Rows are independent of each other: a null or repeated
     doc_id is returned as it is.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(_scan(identifiers), SCHEMA)
+    return rows.mapInArrow(_scan(identifiers, reach, share), SCHEMA)

@@ -4,11 +4,15 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
+from millrace.llm import secret_scan
 from millrace.llm.decontam import contamination, drop_contaminated, near_phrases
 from millrace.llm.lm_scores import lm_scores, pack_sorted, sorted_runs, unpack_sorted
 from millrace.llm.quality import drop_rejected, fit, quality_scores
@@ -94,6 +98,75 @@ def test_candidates_without_a_digit_are_measured_too(spark):
     assert [got[k].n_novel for k in range(4)] == [1, 2, 0, 0]
 
 
+def candidates_one_by_one(text, known, reach):
+    """What follows each sensitive word, found from that word on."""
+    found = {}
+    for word in secret_scan.SENSITIVE_WORD.finditer(text):
+        for m in secret_scan.CANDIDATE.finditer(text, word.end()):
+            if m.start() > word.end() + reach:
+                break
+            found[m.end()] = min(m.start(), found.get(m.end(), m.start()))
+    return sorted((start, end) for end, start in found.items() if not any(a < end and start < b for a, _, b in known))
+
+
+def test_candidates_are_those_that_follow_each_word():
+    pick = random.Random(6)
+    for _ in range(400):
+        parts = ["token", "auth_", "secret ", "api_key=", "x" * 15, "y" * 16, "z" * 30, " ", " " * 20, "words and more. ", "0123456789abcdef0", "AKIA" + "B" * 16]
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 14)))
+        known = secret_scan.base_spans(text)
+        for reach in (0, 5, 48):
+            assert secret_scan.candidates(text, known, reach) == candidates_one_by_one(text, known, reach)
+
+
+@pytest.mark.parametrize("piece", ["token ", "token abcdefghijklmnopqrst01 ", "token=abcdefghijklmnop0 ", "secret_" + "ab" * 12 + " "])
+def test_long_texts_of_sensitive_words_take_linear_time(piece):
+    novelty, seconds = secret_scan.Novelty(), []
+    for size in (500_000, 2_000_000):
+        text = piece * (size // len(piece))
+        begin = time.perf_counter()
+        secret_scan.measured_spans(text, novelty)
+        seconds.append(time.perf_counter() - begin)
+    assert seconds[1] < 12 * max(seconds[0], 0.05)
+
+
+def test_ten_megabytes_of_sensitive_words():
+    begin = time.perf_counter()
+    assert secret_scan.measured_spans("token " * 1_700_000, secret_scan.Novelty()) == []
+    assert time.perf_counter() - begin < 4
+
+
+KINDS_OF_KEYS = {
+    "letters and digits": string.ascii_letters + string.digits,
+    "letters": string.ascii_letters,
+    "capitals": string.ascii_uppercase + string.digits,
+    "small letters": string.ascii_lowercase,
+    "small letters and digits": string.ascii_lowercase + string.digits,
+}
+
+
+def test_planted_keys_are_found_and_names_of_the_text_are_not():
+    pick, novelty = random.Random(9), secret_scan.Novelty()
+    texts = [x for x in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if x and len(x) > 1000]
+
+    def found(key, text):
+        at = text.index(" ", 400) + 1
+        text = f"{text[:at]}the auth token {key} {text[at:]}"
+        start = text.index(key, at)
+        return any(kind == 3 and a <= start and b >= start + len(key) for a, kind, b, _ in secret_scan.measured_spans(text, novelty))
+
+    for alphabet in KINDS_OF_KEYS.values():
+        for size in (16, 20, 40):
+            keys = ["".join(pick.choice(alphabet) for _ in range(size)) for _ in range(100)]
+            assert sum(found(key, pick.choice(texts)) for key in keys) >= 95
+    wrong = n = 0
+    for text in texts:
+        words = [w for w in re.findall("[A-Za-z]{5,}", text[300:500])][:4]
+        for name in ("_".join(words), words[0] + "".join(w.capitalize() for w in words[1:])) if len(words) == 4 else ():
+            n, wrong = n + 1, wrong + found(name, text)
+    assert n > 100 and wrong <= 0.05 * n
+
+
 def labelled():
     pick = random.Random(5)
     data, labels = [], []
