@@ -19,6 +19,8 @@ from millrace.operators import sse as S
 from millrace.plans import gold as G
 from millrace.plans import silver as V
 from millrace.operators.layout import without_load
+from millrace.operators.merge import merge_batch, merged
+from millrace.operators.partials import partial_table
 from millrace.plans.runner import Model, change_models, run_models, sql_model
 from millrace.session import configure, scratch_dir, shared_dir
 from millrace.sinks.csv_export import CSV_OPTIONS, export_csv
@@ -310,8 +312,8 @@ def incremental_delete_insert(spark, sf_dir):
     # The added rows come twice in the batch, and both copies stay.
     batch = R.union_all(changed, added, added)
     for rows in (orders, batch):
-        I.upsert_table(rows, name, ["o_orderkey"], root=root)
-    return spark.table(name).drop(I.BUCKET)
+        merge_batch(rows, name, ["o_orderkey"], root=root)
+    return merged(spark, name)
 
 
 def incremental_append(spark, sf_dir):
@@ -391,14 +393,15 @@ def gold_csv_export(spark, sf_dir):
 def stream_once(spark, sf_dir):
     topic, folder = unique("change"), scratch_dir(spark, "export")
     feeds = Feed(B.Topic(topic), queue(spark, sf_dir), sort_by=("type",))
-    run_once(spark, feeds, scratch_dir(spark, "checkpoint"), models=change_models(topic), csv_dir=folder, root=warehouse(spark))
+    models = change_models(topic, partial=True)
+    run_once(spark, feeds, scratch_dir(spark, "checkpoint"), models=models, csv_dir=folder, root=warehouse(spark))
     return both_reports(spark, folder, topic)
 
 
 def stream_continuous(spark, sf_dir):
     topic, folder, path = unique("change"), scratch_dir(spark, "export"), scratch_dir(spark, "queue")
     write_part(spark, sf_dir, path, second=False)
-    settings = {"models": change_models(topic), "csv_dir": folder, "export_every": 0, "root": warehouse(spark)}
+    settings = {"models": change_models(topic, partial=True), "csv_dir": folder, "export_every": 0, "root": warehouse(spark)}
     running = run_continuous(spark, Feed(B.Topic(topic), path), scratch_dir(spark, "checkpoint"), every=0.1, **settings)
     try:
         write_late(spark, sf_dir, path)
@@ -439,14 +442,13 @@ def stream_checkpoint(spark, sf_dir):
 
 def stream_minute_counts(spark, sf_dir):
     path, checkpoint = scratch_dir(spark, "queue"), scratch_dir(spark, "checkpoint")
-    keys, name = ["domain", "log_action"], f"gold.{unique('log_counts')}"
+    keys, name = ["domain", "log_action"], partial_table(unique("log_counts"))
     # The counts go on after a restart from where they were.
     for second in (False, True):
         write_part(spark, sf_dir, path, second)
         changes = V.silver_recentchange(B.load_events(A.read_frames(spark, path, streaming=True), KEYS))
-        running = N.stream_minute_counts(V.of_type(changes, "log"), keys)
-        N.write_minute_counts(running, name, keys, checkpoint, root=warehouse(spark)).awaitTermination()
-    return spark.table(name).drop(I.BUCKET)
+        N.add_minute_counts(V.of_type(changes, "log"), name, keys, checkpoint, root=warehouse(spark)).awaitTermination()
+    return N.minute_counts(spark, name, keys)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -62,6 +62,17 @@ def topic_totals(frames: DataFrame, topics: Sequence[Topic]) -> DataFrame:
     return flagged.groupBy("topic").agg(F.count("*").alias("seen"), F.count_if("kept").alias("loaded"))
 
 
+def create_bronze(spark: SparkSession, topic: str, root: str | None = None) -> str:
+    """Create ``bronze.<topic>_raw`` if absent; returns its name."""
+    ensure_layer(spark, "bronze", root)
+    table = bronze_table(topic)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({BRONZE_COLUMNS}, {LOAD_COLUMNS}) "
+        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_day, load_id)"
+    )
+    return table
+
+
 def append_bronze(events: DataFrame, topic: str, load_id: str | None = None, root: str | None = None) -> str:
     """Write events as one load of ``bronze.<topic>_raw``, creating it if absent.
 
@@ -71,12 +82,7 @@ def append_bronze(events: DataFrame, topic: str, load_id: str | None = None, roo
     """
     spark = events.sparkSession
     load_id = load_id or uuid.uuid4().hex
-    ensure_layer(spark, "bronze", root)
-    table = bronze_table(topic)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({BRONZE_COLUMNS}, {LOAD_COLUMNS}) "
-        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_day, load_id)"
-    )
+    table = create_bronze(spark, topic, root)
     if "file_name" not in events.columns:
         events = events.withColumn("file_name", F.lit(None).cast("string"))
     names = Observation()

@@ -22,6 +22,16 @@ def _columns(df: DataFrame) -> str:
     return ", ".join(f"{storage.quoted(field.name)} {field.dataType.simpleString()}" for field in df.schema)
 
 
+def create_loads(like: DataFrame, table: str, root: str | None = None) -> None:
+    """Create a table for loads like a given one if absent."""
+    spark = like.sparkSession
+    ensure_layer(spark, table.split(".")[0], root)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({_columns(like)}, {LOAD_COLUMNS}) "
+        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_day, load_id)"
+    )
+
+
 def append_load(df: DataFrame, table: str, load_id: str, root: str | None = None) -> None:
     """Append a batch as the load ``load_id`` of a stored table, creating it if absent.
 
@@ -29,11 +39,7 @@ def append_load(df: DataFrame, table: str, load_id: str, root: str | None = None
     name; a missing one or one too many is an error.
     """
     spark = df.sparkSession
-    ensure_layer(spark, table.split(".")[0], root)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({_columns(df)}, {LOAD_COLUMNS}) "
-        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY (load_day, load_id)"
-    )
+    create_loads(df, table, root)
     names = [field.name for field in spark.table(table).schema if field.name not in ("load_day", "load_id")]
     if sorted(names) != sorted(df.columns):
         raise ValueError(f"{table} has the columns {names}, the batch has {df.columns}")

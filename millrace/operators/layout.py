@@ -33,12 +33,17 @@ def set_property(spark: SparkSession, table: str, name: str, value: str) -> None
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({storage.literal(name)} = {storage.literal(value)})")
 
 
-def partitions_of(spark: SparkSession, table: str, only: str = "") -> list[tuple[str, str]]:
-    """(day, load) of the partitions, from the catalog alone."""
+def partition_values(spark: SparkSession, table: str, only: str = "") -> list[tuple[str, ...]]:
+    """The values of the partitions' columns, as text, from the catalog alone."""
     rows = spark.sql(f"SHOW PARTITIONS {table} {only}").collect()
     return [tuple(unquote(part.split("=", 1)[1]) for part in row[0].split("/")) for row in rows]
 
 
+def partitions_of(spark: SparkSession, table: str, only: str = "") -> list[tuple[str, str]]:
+    """(day, load) of the partitions, from the catalog alone."""
+    return partition_values(spark, table, only)
+
+
 def load_place(spark: SparkSession, table: str, load_id: str) -> str:
     """The partition of a load: where it was written before, or else today's."""
     found = partitions_of(spark, table, f"PARTITION (load_id = {storage.literal(load_id)})")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 from string import Formatter
@@ -12,19 +12,25 @@ from pyspark.sql import functions as F
 
 from millrace import storage
 from millrace.functions.text import ADD_WORD, LINK_PATTERN, REMOVE_WORD
-from millrace.operators.incremental import BUCKET, upsert_table
+from millrace.operators import merge, partials
 from millrace.operators.layout import ensure_layer
 from millrace.plans.silver import LOG_PARAM_PATHS
 
 
+# Where the tables of incremental models are; the models are views over them.
+KEYED_LAYER = "keyed"
+
+
 @dataclass(frozen=True)
 class Model:
     """A relation of a layer.
 
     ``build`` is a function of the needed DataFrames, in the order of ``needs``, or SQL
-    text that names them in braces, from which ``needs`` follows. ``materialized`` is ``view``, ``table`` or
-    ``incremental``; the last is refreshed by ``unique_key``, and ``bucket`` says how its
-    rows are laid out (see ``upsert_table``).
+    text that names them in braces, from which ``needs`` follows. ``materialized`` is ``view``, ``table``,
+    ``incremental`` or ``partial``. An incremental model is refreshed by ``unique_key``, and ``bucket`` says
+    how its rows are laid out (see ``merge_batch``). A partial model groups the rows of one topic by
+    ``unique_key``, and its other columns are sums (or counts): each load's are added to a table of
+    partial sums (see ``partials``), and the relation is a view that sums them up, in the order of ``order_by``.
     """
 
     name: str
@@ -34,6 +40,7 @@ class Model:
     materialized: str = "view"
     unique_key: tuple[str, ...] = ()
     bucket: str | None = None
+    order_by: tuple[str, ...] = ()
 
     def __post_init__(self):
         if isinstance(self.build, str) and not self.needs:
@@ -61,8 +68,33 @@ _LOG_PARAMS = ", ".join(
     f"to_json(try_variant_get(log_params, '$.{path}', 'variant')) AS {path.split('.')[-1]}" for path in LOG_PARAM_PATHS
 )
 
-def change_models(topic: str = "recentchange") -> tuple[Model, ...]:
-    """The views by event type and both reports of a topic with change events."""
+def change_models(topic: str = "recentchange", partial: bool = False) -> tuple[Model, ...]:
+    """The views by event type and both reports of a topic with change events.
+
+    With ``partial`` the reports are sums of what each load has counted, and no cycle reads
+    more of silver than its own loads; else they are views over all of silver.
+    """
+    if partial:
+        reports = (
+            Model(
+                f"{topic}_logs_per_domain_and_min",
+                "gold",
+                f"SELECT domain, log_action, {_MINUTE} AS minute, count(*) AS count_actions FROM {{{topic}}} WHERE type = 'log' "
+                "GROUP BY domain, log_action, minute",
+                materialized="partial",
+                unique_key=("domain", "log_action", "minute"),
+                order_by=("minute", "domain", "log_action"),
+            ),
+            Model(
+                f"{topic}_human_vs_bot_new_and_edit_actions",
+                "gold",
+                f"SELECT {_MINUTE} AS minute, bot, count(*) AS count_actions FROM {{{topic}}} WHERE type IN ('new', 'edit') GROUP BY minute, bot",
+                materialized="partial",
+                unique_key=("minute", "bot"),
+                order_by=("minute", "bot"),
+            ),
+        )
+        return (*change_models(topic)[:-2], *reports)
     return (
         Model(
             f"{topic}_new",
@@ -135,8 +167,26 @@ def _store_table(df: DataFrame, full_name: str) -> None:
     spark.catalog.refreshTable(full_name)
 
 
+def keyed_table(model: Model) -> str:
+    """Where the runs of an incremental model are."""
+    return storage.quoted(f"{KEYED_LAYER}.{model.layer}_{model.name}")
+
+
+def partial_sums_table(model: Model) -> str:
+    """Where the runs of a partial model are."""
+    return partials.partial_table(f"{model.layer}_{model.name}")
+
+
+Intake = Iterable[tuple[object, Mapping[str, DataFrame]]]
+
+
+def _built(spark: SparkSession, model: Model, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    needed = {name: inputs[name] for name in model.needs}
+    return sql_model(spark, model.build, needed) if isinstance(model.build, str) else model.build(*needed.values())
+
+
 def _refresh(
-    spark: SparkSession, model: Model, inputs: Mapping[str, DataFrame], stored: Mapping[str, str], root: str | None
+    spark: SparkSession, model: Model, inputs: Mapping[str, DataFrame], stored: Mapping[str, str], root: str | None, intake: Intake | None
 ) -> tuple[DataFrame, str | None]:
     """The model's relation, and its name in the catalog if it is stored there."""
     full_name = storage.quoted(model.full_name)
@@ -144,21 +194,35 @@ def _refresh(
     if model.materialized == "view" and isinstance(model.build, str) and all(need in stored for need in model.needs):
         spark.sql(f"CREATE OR REPLACE VIEW {full_name} AS {model.build.format(**stored)}")
         return spark.table(full_name), full_name
-    needed = {name: inputs[name] for name in model.needs}
-    if isinstance(model.build, str):
-        df = sql_model(spark, model.build, needed)
-    else:
-        df = model.build(*needed.values())
-    if model.materialized == "view":
+    if model.materialized == "view" or (model.materialized == "partial" and intake is None):
+        df = _built(spark, model, inputs)
+        if model.order_by:
+            df = df.orderBy(*[F.col(name).asc_nulls_last() for name in model.order_by])
         df.createOrReplaceTempView(f"`{model.full_name}`")
         return df, None
     if model.materialized == "table":
-        _store_table(df, model.full_name)
+        _store_table(_built(spark, model, inputs), model.full_name)
         return spark.table(full_name), full_name
-    if model.materialized == "incremental":
-        upsert_table(df, full_name, model.unique_key, model.bucket, root=root)
-        return spark.table(full_name).drop(BUCKET), None
-    raise ValueError(f"unknown materialization {model.materialized!r}")
+    if model.materialized == "partial":
+        table = partial_sums_table(model)
+        for run, rows in intake:
+            partials.append_run(_built(spark, model, {**inputs, **rows}), table, run, root)
+        if not spark.catalog.tableExists(table):
+            partials.create_partials(_built(spark, model, inputs), table, root)
+        partials.fold(spark, table, model.unique_key)
+        text = partials.totals_sql(spark, table, model.unique_key, model.order_by)
+    elif model.materialized == "incremental":
+        table = keyed_table(model)
+        for run, rows in [(None, {})] if intake is None else intake:
+            merge.merge_batch(_built(spark, model, {**inputs, **rows}), table, model.unique_key, model.bucket, root=root, run=run)
+        if not spark.catalog.tableExists(table):
+            merge.merge_batch(_built(spark, model, inputs).limit(0), table, model.unique_key, model.bucket, root=root)
+        columns = ", ".join(storage.quoted(name) for name in spark.table(table).columns if name not in merge.LAYOUT_COLUMNS)
+        text = f"SELECT {columns} FROM ({merge.merged_sql(spark, table)})"
+    else:
+        raise ValueError(f"unknown materialization {model.materialized!r}")
+    spark.sql(f"CREATE OR REPLACE VIEW {full_name} AS {text}")
+    return spark.table(full_name), full_name
 
 
 def run_models(
@@ -169,8 +233,7 @@ def run_models(
     loaded: int | None = None,
     root: str | None = None,
     stored: Mapping[str, str] | None = None,
-    fresh: Mapping[str, DataFrame] | Callable[[Model], Mapping[str, DataFrame]] | None = None,
-    refreshed: Callable[[Model], None] | None = None,
+    fresh: Mapping[str, DataFrame] | Callable[[Model], Intake] | None = None,
 ) -> dict[str, DataFrame]:
     """Refresh models after what they need; returns them by ``layer.name``.
 
@@ -178,7 +241,8 @@ def run_models(
     whose needs are all stored becomes a view of the catalog, for every session; other
     views stay lazy and are temporary views under their quoted full name. ``fresh`` has the
     rows that are new since the last run, for incremental models that need such an input, or
-    is a function that gives them for a model; ``refreshed`` is told each incremental model that has taken them in.
+    is a function that gives, for an incremental or partial model, pairs of a run and its rows; it is
+    asked for the next pair when one is stored. Without runs, partial models are plain views.
     Nothing runs when ``loaded`` is 0. On failure the run stops, or with
     ``fail_fast=False`` goes on with models that do not need a failed one, and raises
     ``ModelRunError`` at the end.
@@ -196,11 +260,10 @@ def run_models(
         try:
             if absent:
                 raise LookupError(f"needs {', '.join(absent)}")
-            incremental = model.materialized == "incremental"
-            new = (fresh(model) if callable(fresh) else fresh or {}) if incremental else {}
-            result, place = _refresh(spark, model, {**available, **new}, catalog, root)
-            if incremental and refreshed:
-                refreshed(model)
+            intake = None
+            if model.materialized in ("incremental", "partial") and fresh:
+                intake = fresh(model) if callable(fresh) else [(None, fresh)] if model.materialized == "incremental" else None
+            result, place = _refresh(spark, model, available, catalog, root, intake)
             available[name] = results[model.full_name] = result
             catalog.pop(name, None)
             if place:

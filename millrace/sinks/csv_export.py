@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from millrace import storage
 from millrace.session import scratch_dir
 
+# Reports are mostly small: several are computed at a time.
+SIDE_BY_SIDE = 4
 CSV_OPTIONS = {
     "sep": ";",
     "header": "true",
@@ -40,16 +43,17 @@ def export_csv(models: Mapping[str, DataFrame], path: str, single_file: bool = T
     With ``single_file`` they are then copied one after another into one file, whatever
     their size, through a small buffer; without, ``<name>.csv`` is always a folder whose files, in name order, hold the
     rows in order, each with a header. Relations of equal name in two layers are told apart
-    by their layer. A report appears under its name by a rename: the one before is moved
+    by their layer. A few are written side by side. A report appears under its name by a rename: the one before is moved
     aside first, comes back if the rename fails, and goes last. No relations, no files.
     """
     names = [full_name.split(".")[-1] for full_name in models]
-    written = {}
-    for full_name, df in models.items():
+
+    def export(full_name: str, df: DataFrame) -> str:
         name = full_name.split(".")[-1]
-        name = full_name if names.count(name) > 1 else name
-        written[full_name] = _export(df, f"{path.rstrip('/')}/{name}.csv", single_file)
-    return written
+        return _export(df, f"{path.rstrip('/')}/{full_name if names.count(name) > 1 else name}.csv", single_file)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return dict(zip(models, pool.map(export, models.keys(), models.values()), strict=True))
 
 
 def _export(df: DataFrame, target: str, single_file: bool) -> str:
@@ -85,9 +89,14 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"' if any(c in name for c in ';"\n\r') else name
 
 
-def export_layer(spark: SparkSession, path: str, layer: str = "gold", single_file: bool = True) -> dict[str, str]:
-    """Export every stored table or view of a catalog database; no database, no files."""
+def layer_relations(spark: SparkSession, layer: str = "gold") -> dict[str, DataFrame]:
+    """Every stored table or view of a catalog database by ``layer.name``; none without the database."""
     if not spark.catalog.databaseExists(layer):
         return {}
     names = [table.name for table in spark.catalog.listTables(layer) if not table.isTemporary]
-    return export_csv({f"{layer}.{name}": spark.table(storage.quoted(f"{layer}.{name}")) for name in names}, path, single_file)
+    return {f"{layer}.{name}": spark.table(storage.quoted(f"{layer}.{name}")) for name in names}
+
+
+def export_layer(spark: SparkSession, path: str, layer: str = "gold", single_file: bool = True) -> dict[str, str]:
+    """Export every stored table or view of a catalog database; no database, no files."""
+    return export_csv(layer_relations(spark, layer), path, single_file)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.text import minute_start, minute_text
+from millrace.operators import partials
 from millrace.operators.incremental import upsert_table
 from millrace.plans.gold import count_by_minute
+from millrace.streaming.landing import stream_id
 
 # A day of minutes shares a bucket, so late events rewrite the days they belong to.
 DAY_BUCKET = "datediff(to_date(substr(minute, 1, 10), 'yyyy/MM/dd'), date'1970-01-01')"
@@ -56,3 +58,30 @@ def write_minute_counts(
     writer = counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
+
+
+def add_minute_counts(
+    events: DataFrame, table: str, keys: Sequence[str], checkpoint: str, every: str | None = None, root: str | None = None
+) -> StreamingQuery:
+    """Counts per minute of ``dt`` and keys of each batch of a stream, added to a table of partial sums.
+
+    No state is kept, and nothing but the batch is read: late events are counted with their old
+    minute when the sums are read, and a repeated batch replaces its own counts. Read the table with ``minute_counts``.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        run = partials.Run(stream_id(batch.sparkSession, checkpoint), 0, batch_id, batch_id)
+        if not partials.is_taken(partials.runs_of(batch.sparkSession, table), f"{run.stream}-{batch_id}"):
+            partials.append_run(count_by_minute(batch, *keys), table, run, root)
+            partials.fold(batch.sparkSession, table, ["minute", *keys])
+
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
+def minute_counts(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
+    """The counts of ``add_minute_counts``, in report order."""
+    spark.catalog.refreshTable(table)
+    names = ["minute", *keys]
+    return partials.totals(spark, table, names, order_by=names).select(*keys, "minute", "count_actions")

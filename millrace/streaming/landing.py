@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,3 +40,8 @@ def land(
 def with_topic(frames: DataFrame, topic: str) -> DataFrame:
     """Frames of one topic, labelled for ``land``."""
     return frames.withColumn("topic", F.lit(topic))
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint keeps over restarts, so that loads of two streams never collide."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]

@@ -6,11 +6,10 @@ anything was loaded, and exports the reports when that is due, new data or not.
 
 from __future__ import annotations
 
-import json
 import logging
 import threading
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,17 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace import storage
-from millrace.operators.bronze import Topic, append_bronze, bronze_table
-from millrace.operators.incremental import append_load
+from millrace.operators import merge, partials
+from millrace.operators.bronze import BRONZE_COLUMNS, Topic, append_bronze, bronze_table, create_bronze
+from millrace.operators.incremental import append_load, create_loads
 from millrace.operators.layout import COMPACTED, compact_days, ensure_layer, partitions_of, without_load
 from millrace.operators.quality import quality_flags, quality_measures
 from millrace.operators.sse import parse_sse, split_valid_utf8
-from millrace.plans.runner import Model, run_models
+from millrace.plans.runner import Model, keyed_table, partial_sums_table, run_models
 from millrace.plans.silver import silver_recentchange
 from millrace.session import configure
-from millrace.sinks.csv_export import export_csv, export_layer
+from millrace.sinks.csv_export import export_csv, layer_relations
 from millrace.sources.frames import read_frames
-from millrace.streaming.taken import Load, note_loads, rows_of, taken_loads
+from millrace.streaming.landing import stream_id
+from millrace.streaming.taken import EPOCH, Marks, Taken, later, marks_of, note, rows_between, taken
 
 logger = logging.getLogger(__name__)
 
@@ -85,11 +86,6 @@ def load_frames(frames: DataFrame, topic: Topic, load_id: str, root: str | None
     return {**parsed.get, **scanned.get}
 
 
-def _stream_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id a checkpoint keeps over restarts, so that loads of two streams never collide."""
-    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-
-
 class Pipeline:
     """Cycles over some feeds; see ``run_once`` and ``run_continuous``."""
 
@@ -121,7 +117,7 @@ class Pipeline:
         session, name = self.spark, feed.topic.name
 
         def load(batch: DataFrame, batch_id: int) -> None:
-            load_id = f"{_stream_id(session, checkpoint)}-{batch_id:012d}"
+            load_id = f"{stream_id(session, checkpoint)}-{batch_id:012d}"
             counts = load_frames(batch, feed.topic, load_id, self.root)
             self.report(name, counts)
             if counts["seen"] == 0:
@@ -153,60 +149,88 @@ class Pipeline:
     def transform(self) -> None:
         """Run all models once, if anything was loaded since they last ran, or this is the first cycle.
 
-        Each incremental model gets the rows of the loads that its table hasn't taken in, which
-        is noted in the catalog: when a model fails or the driver ends, the next run of any
-        pipeline feeds them, and a new model gets all that is there.
+        Each incremental or partial model gets the rows of the loads that it hasn't taken in: when a
+        model fails or the driver ends, the next run of any pipeline feeds them, and a new model
+        gets all that is there. A topic that nothing has arrived for is an empty table.
         """
-        known = self._known()
-        if not known or not (self.pending or self.first):
+        if not self._known() or not (self.pending or self.first):
             return
-        inputs, stored, loads = {}, {}, self._loads()
-        for feed in known:
+        self._create_absent()
+        inputs, stored, loads = {}, {}, self._marks()
+        for feed in self.feeds:
             name = feed.topic.name
             self.spark.catalog.refreshTable(feed.silver_table)
             table, raw = self.spark.table(feed.silver_table), self.spark.table(bronze_table(name))
             inputs |= {name: without_load(table), f"{name}_raw": without_load(raw)}
             stored |= {name: feed.silver_table, f"{name}_raw": bronze_table(name)}
-
-        def fresh(model: Model) -> dict[str, DataFrame]:
-            taken = taken_loads(self.spark, model)
-            mine = {feed.topic.name: feed.silver_table for feed in known if feed.topic.name in model.needs}
-            return {name: without_load(rows_of(self.spark.table(table), loads[name] - taken)) for name, table in mine.items()}
-
-        def refreshed(model: Model) -> None:
-            self._note(model, set().union(*(loads[feed.topic.name] for feed in known if feed.topic.name in model.needs)))
-
         for layer in ("silver", "gold"):
             ensure_layer(self.spark, layer, self.root)
-        self.results = run_models(self.spark, self.models, inputs, root=self.root, stored=stored, fresh=fresh, refreshed=refreshed)
+        self.results = run_models(
+            self.spark,
+            self.models,
+            inputs,
+            root=self.root,
+            stored=stored,
+            fresh=lambda model: self._intake(model, loads),
+        )
         self.pending = self.first = False
 
     def _known(self) -> list[Feed]:
         return [feed for feed in self.feeds if self.spark.catalog.tableExists(feed.silver_table)]
 
-    def _loads(self) -> dict[str, set[Load]]:
-        """The loads of each topic's silver layer, from the catalog alone."""
-        return {f.topic.name: {(f.topic.name, *part) for part in partitions_of(self.spark, f.silver_table)} for f in self._known()}
-
-    def _incremental(self) -> list[Model]:
-        return [model for model in self.models if model.materialized == "incremental"]
-
-    def _note(self, model: Model, loads: set[Load]) -> None:
-        """Add to what a model has taken in; loads that compaction has merged are left out."""
-        there = self._loads()
-        taken = {x for x in taken_loads(self.spark, model) if x[0] not in there or x[2] == COMPACTED or x in there[x[0]]}
-        if loads - taken:
-            note_loads(self.spark, model, taken | loads, self.root)
+    def _create_absent(self) -> None:
+        """Empty layers for topics of which no file has come, so that models over several topics run."""
+        for feed in self.feeds:
+            if not self.spark.catalog.tableExists(feed.silver_table):
+                create_bronze(self.spark, feed.topic.name, self.root)
+                empty = self.spark.createDataFrame([], BRONZE_COLUMNS)
+                create_loads(feed.project(empty), feed.silver_table, self.root)
+
+    def _marks(self) -> dict[str, Marks]:
+        """Per topic and stream the last batch in the silver layer, from the catalog alone."""
+        return {feed.topic.name: marks_of(partitions_of(self.spark, feed.silver_table)) for feed in self._known()}
+
+    def _rows(self, model: Model, after: dict[str, Marks], upto: dict[str, Marks]) -> dict[str, DataFrame]:
+        mine = {feed.topic.name: feed.silver_table for feed in self._known() if feed.topic.name in model.needs}
+        return {
+            name: without_load(rows_between(self.spark.table(table), after.get(name, {}), upto.get(name, {}))) for name, table in mine.items()
+        }
+
+    def _intake(self, model: Model, loads: dict[str, Marks]) -> Iterator[tuple[object, dict[str, DataFrame]]]:
+        """The runs that a model has to take in, each with its rows; the next is asked for when one is stored."""
+        loads = {name: marks for name, marks in loads.items() if name in model.needs}
+        if model.materialized == "partial":
+            if len(loads) != 1:
+                raise ValueError(f"{model.full_name} must need one topic, and needs {', '.join(model.needs)}")
+            ((topic, marks),) = loads.items()
+            have = partials.runs_of(self.spark, partial_sums_table(model))
+            done = {run.stream: max(r.last for r in have if r.stream == run.stream) for run in have}
+            for stream, last in sorted(later(marks, done).items()):
+                rows = self._rows(model, {topic: done}, {topic: {stream: last}})
+                yield partials.Run(stream, 0, done.get(stream, -1) + 1, last), rows
+            return
+        state = taken(self.spark, model)
+        if state.begun is not None and merge.last_run(self.spark, keyed_table(model)) != state.run + 1:
+            state.begun = None  # nothing of it was written
+        while True:
+            if state.begun is None:
+                new = {name: later(marks, state.marks.get(name, {})) for name, marks in loads.items()}
+                if not any(new.values()):
+                    return
+                state.begun = {name: {**state.marks.get(name, {}), **marks} for name, marks in new.items()}
+                note(self.spark, model, state, self.root)
+            yield state.run + 1, self._rows(model, state.marks, state.begun)
+            state = Taken(state.run + 1, {**state.marks, **state.begun})
+            note(self.spark, model, state, self.root)
 
     def export(self) -> dict[str, str]:
         """Write every report: what the gold layer stores, and this pipeline's other gold relations."""
         if not self.csv_dir:
             return {}
-        self.last_export = time.monotonic()
         mine = {name: df for name, df in self.results.items() if name.startswith("gold.")}
-        if mine:
-            return export_csv(mine, self.csv_dir)
-        return export_layer(self.spark, self.csv_dir, "gold")
+        written = export_csv(layer_relations(self.spark, "gold") | mine, self.csv_dir)
+        self.last_export = time.monotonic()
+        return written
 
     def cycle(self) -> None:
         self.load()
@@ -220,13 +244,25 @@ class Pipeline:
         Incremental models take in all loads first, since a merged day can't be told apart.
         Compact with the pipeline that has them: a day merged by another is fed to them again.
         """
-        loads = self._loads()
-        needed = {model: [x for name in model.needs for x in loads.get(name, ())] for model in self._incremental()}
-        if any(set(needed[model]) - taken_loads(self.spark, model) for model in needed):
+        own = [model for model in self.models if model.materialized in ("incremental", "partial")]
+        if own:
             self.first = True
             self.transform()
-        for model, own in needed.items():
-            self._note(model, {(name, day, COMPACTED) for name, day, _ in own if day < before.isoformat()})
+        closed = (before - EPOCH).days - 1
+        for model in own:
+            state = taken(self.spark, model)
+            for feed in self._known():
+                name = feed.topic.name
+                days = [day for day, _ in partitions_of(self.spark, feed.silver_table) if day < before.isoformat()]
+                if name not in model.needs or not days:
+                    continue
+                if model.materialized == "partial":
+                    table = partial_sums_table(model)
+                    partials.note_run(self.spark, table, partials.Run(COMPACTED, 0, 0, closed))
+                else:
+                    state.marks.setdefault(name, {})[COMPACTED] = closed
+            if model.materialized == "incremental":
+                note(self.spark, model, state, self.root)
         for feed in self.feeds:
             for table in (bronze_table(feed.topic.name), feed.silver_table):
                 if self.spark.catalog.tableExists(table):

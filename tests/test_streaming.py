@@ -32,6 +32,11 @@ def topic():
     return B.Topic(f"t{uuid.uuid4().hex}")
 
 
+@pytest.fixture(autouse=True)
+def no_reports_of_other_tests(spark):
+    spark.sql("DROP DATABASE IF EXISTS gold CASCADE")
+
+
 def put(folder, name, frames):
     folder.mkdir(parents=True, exist_ok=True)
     (folder / name).write_bytes("".join(frames).encode())
