@@ -27,7 +27,7 @@ from millrace.llm.words import GOLDEN, scramble, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4  # fixed factor per step back
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 20 << 20
 FAN = 512  # a power of two
 
 SCORE_SCHEMA = "doc_id BIGINT, content BIGINT, n_tokens BIGINT, n_seen BIGINT, log_score DOUBLE"
@@ -62,16 +62,17 @@ def sorted_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     n = len(values)
     if not n:
-        return np.zeros(0, np.int64), values, np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), values, np.zeros(0, np.int64)
     bits = np.uint64(max(1, (n - 1).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     keys = (values & ~low) | np.arange(n, dtype=np.uint64)
     keys.sort()
-    places = (keys & low).view(np.int64)
+    places = (keys & low).astype(np.int32)
     found = values[places]
     new = found[1:] != found[:-1]
     keys >>= bits
     alike = keys[1:] == keys[:-1]
+    del keys
     clash = np.flatnonzero(new & alike)
     if len(clash):
         group = np.concatenate([[0], np.cumsum(~alike)])
@@ -103,18 +104,18 @@ class Block:
                 total += len(found)
         self.words = np.concatenate([*firsts, [total]]).astype(np.int64)
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(self.words) - 1), np.diff(self.words))
-        self.nth = np.arange(total) - self.words[self.doc]  # of a word in its text
+        self.doc = np.repeat(np.arange(len(self.words) - 1, dtype=np.int32), np.diff(self.words))
+        nth = np.arange(total) - self.words[self.doc]  # of a word in its text
         with np.errstate(over="ignore"):
             run, grams, ends = scramble(words + GOLDEN), [], []
             grams.append(run)
-            ends.append(np.arange(total))
+            ends.append(np.arange(total, dtype=np.int32))
             for k in range(2, order + 1):
                 # The run of k words that ends here: that of k - 1 words ending one word earlier, and this word.
                 longer = np.zeros_like(run)
                 longer[1:] = scramble(run[:-1] * GOLDEN + words[1:] + np.uint64(k))
                 run = longer
-                ends.append(np.flatnonzero(self.nth >= k - 1))
+                ends.append(np.flatnonzero(nth >= k - 1).astype(np.int32))
                 grams.append(run[ends[-1]])
         self.grams, self.ends, self.sizes = np.concatenate(grams), np.concatenate(ends), [len(x) for x in grams]
 
@@ -211,18 +212,24 @@ def _scored(order: int, n_tokens: int, leave_out: bool):
 
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
         block = Block(rows.column("text"), order)
-        places, found, starts = sorted_runs(block.grams)
+        places, _, starts = sorted_runs(block.grams)
+        n, block.grams = len(places), None
         totals = totals.sort_by("range")
         corpus = np.concatenate([unpack(x.as_py()) for x in totals.column("totals")] or [np.zeros(0, np.uint64)]).astype(np.float64)
-        counts = np.repeat(corpus, _lengths(starts, len(found)))
-        if leave_out and len(found):
+        counts = np.repeat(corpus, _lengths(starts, n))
+        del corpus
+        if leave_out and n:
             # Equal n-grams are in the order of their places, so those of a document lie together.
             doc = block.doc[block.ends[places]]
-            own = np.union1d(starts, np.flatnonzero(np.diff(doc)) + 1)
-            times = _lengths(own, len(found))
+            new = np.zeros(n, bool)
+            new[starts] = True
+            new[1:] |= doc[1:] != doc[:-1]
+            times = _lengths(np.flatnonzero(new), n).astype(np.int32)
+            del doc, new
             counts -= np.repeat(times, times)
-        by_place = np.empty(len(counts))
+        by_place = np.empty(n)
         by_place[places] = counts
+        del places, counts
         n_words = np.diff(block.words)
         outside = np.maximum(n_tokens - (n_words if leave_out else 0 * n_words), 1)
         # From the unigram up: where a longer n-gram has been seen, its ratio replaces the backed-off score.
