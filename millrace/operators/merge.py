@@ -8,8 +8,8 @@ where ``FAN`` runs of a level have come together, they become one run of the nex
 spans others takes their place when its partition appears, so each bucket is switched in one step.
 
 What the newest run of a key replaces is found by an anti-join of all runs with the keys of the later
-ones; the first run, by far the largest, is only on its left side and isn't shuffled when the
-rest is small enough to be broadcast.
+ones; the first run, by far the largest, is only on its left side. Rows lie sorted by key in their
+files, which have Bloom filters on the keys, so that ``lookup`` reads little for a few keys.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ RULE, KEYS, NULL_SAFE = "millrace.bucket", "millrace.keys", "millrace.null_safe"
 # Of a bucket of hashed keys, when a table is laid out for the first time, and the least number of them.
 BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 8
 FAN = 8
+# Each halves the largest size, so that small row groups get small filters.
+BLOOM_FILTERS = {"enabled": "true", "candidates.number": "12"}
 
 Part = tuple[str, int, int, int]  # bucket, level, first and last run
 
@@ -55,11 +57,15 @@ def create_keyed(
     """Create a table for batches like a given one if absent; ``rule`` is a SQL expression over the keys."""
     ensure_layer(spark, table.split(".")[0], root)
     columns = ", ".join(f"{storage.quoted(field.name)} {field.dataType.simpleString()}" for field in like.schema)
+    # Readers of a few keys skip row groups by these filters, made as large as a row group needs.
+    filters = ", 'parquet.bloom.filter.adaptive.enabled' 'true'" + "".join(
+        f", {storage.literal(f'parquet.bloom.filter.{name}#{key}')} '{value}'" for key in keys for name, value in BLOOM_FILTERS.items()
+    )
     properties = {RULE: f"coalesce(cast({rule} as bigint), -1)", KEYS: json.dumps(list(keys)), NULL_SAFE: json.dumps(null_safe)}
     listed = ", ".join(f"{storage.literal(name)} = {storage.literal(value)}" for name, value in properties.items())
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {BUCKET} BIGINT, run_level INT, run_first BIGINT, run_last BIGINT) "
-        f"USING parquet OPTIONS ({TABLE_OPTIONS}) PARTITIONED BY ({', '.join(LAYOUT_COLUMNS)}) TBLPROPERTIES ({listed})"
+        f"USING parquet OPTIONS ({TABLE_OPTIONS}{filters}) PARTITIONED BY ({', '.join(LAYOUT_COLUMNS)}) TBLPROPERTIES ({listed})"
     )
 
 
@@ -101,19 +107,24 @@ def merge_batch(
         if sorted(names) != sorted(batch.columns):
             raise ValueError(f"{table} has the columns {names}, the batch has {batch.columns}")
         placed = staged.select(*names).withColumn(BUCKET, F.expr(property_of(spark, table, RULE)))
-        _write(placed.withColumns({"run_level": F.lit(0), "run_first": F.lit(run).cast("long"), "run_last": F.lit(run).cast("long")}), table)
+        _write(placed.withColumns({"run_level": F.lit(0), "run_first": F.lit(run).cast("long"), "run_last": F.lit(run).cast("long")}), table, keys)
     finally:
         storage.delete(spark, staged_path)
     fold_runs(spark, table, fan)
     return run
 
 
-def _write(rows: DataFrame, table: str) -> None:
+def _write(rows: DataFrame, table: str, keys: Sequence[str]) -> None:
     # A rebalance gives each bucket few files and splits one that is much larger.
-    rows.hint("rebalance", BUCKET).write.insertInto(table, overwrite=True)
+    rows = rows.hint("rebalance", BUCKET).sortWithinPartitions(*LAYOUT_COLUMNS, *[storage.quoted(key) for key in keys])
+    rows.write.insertInto(table, overwrite=True)
     rows.sparkSession.catalog.refreshTable(table)
 
 
+def _keys_of(spark: SparkSession, table: str) -> list[str]:
+    return json.loads(property_of(spark, table, KEYS))
+
+
 def _same_key(keys: Sequence[str], ours: str, theirs: str, null_safe: bool) -> str:
     names = [storage.quoted(key) for key in keys]
     return " AND ".join(f"{ours}.{name} {'<=>' if null_safe else '='} {theirs}.{name}" for name in names)
@@ -122,9 +133,9 @@ def _same_key(keys: Sequence[str], ours: str, theirs: str, null_safe: bool) -> s
 def merged_sql(spark: SparkSession, table: str, only: str = "true") -> str:
     """SQL for the rows that count, with their layout columns; for a view, whatever the runs are when it is read.
 
-    ``only`` is a condition on the layout columns that takes whole buckets or, of a bucket, consecutive runs.
+    ``only`` is a condition that takes whole keys, whole buckets or, of a bucket, consecutive runs.
     """
-    keys, null_safe = json.loads(property_of(spark, table, KEYS)), json.loads(property_of(spark, table, NULL_SAFE))
+    keys, null_safe = _keys_of(spark, table), json.loads(property_of(spark, table, NULL_SAFE))
     names = ", ".join(f"p.{storage.quoted(name)}" for name in spark.table(table).columns)
     key_names = ", ".join(storage.quoted(key) for key in keys)
     # A run that others span doesn't count. Later runs are taken as they are, spanned or not: what
@@ -144,6 +155,27 @@ def merged(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(merged_sql(spark, table)).drop(*LAYOUT_COLUMNS)
 
 
+def lookup(spark: SparkSession, table: str, wanted: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of some keys, as of the newest runs; ``wanted`` has the key columns. NULL keys match nothing.
+
+    Up to ``most`` keys are put into the scan itself, each as an equality: it reads only the keys'
+    buckets, and of their files the row groups that sorting, statistics and Bloom filters leave.
+    More keys are joined.
+    """
+    keys = _keys_of(spark, table)
+    wanted = wanted.select(*keys).dropna().distinct()
+    found = wanted.withColumn(BUCKET, F.expr(property_of(spark, table, RULE))).limit(most + 1).collect()
+    if len(found) > most:
+        return merged(spark, table).join(wanted, keys, "left_semi")
+    if not found:
+        return merged(spark, table).where(F.lit(False))
+    kinds = {field.name: field.dataType.simpleString() for field in wanted.schema}
+    value = lambda row, key: f"CAST({storage.literal(str(row[key]))} AS {kinds[key]})"
+    same = [" AND ".join(f"{storage.quoted(key)} = {value(row, key)}" for key in keys) for row in found]
+    buckets = ", ".join(sorted({str(row[BUCKET]) for row in found}))
+    return spark.sql(merged_sql(spark, table, f"{BUCKET} IN ({buckets}) AND (({') OR ('.join(same)}))")).drop(*LAYOUT_COLUMNS)
+
+
 def fold_runs(spark: SparkSession, table: str, fan: int = FAN) -> list[Part]:
     """Make one run of ``fan`` runs of a bucket and level, in the buckets that have so many; returns the new parts.
 
@@ -175,6 +207,6 @@ def fold_runs(spark: SparkSession, table: str, fan: int = FAN) -> list[Part]:
             buckets = [bucket for bucket, place in due.items() if place == (first, last)]
             only = f"{BUCKET} IN ({', '.join(buckets)}) AND run_level = {level} AND run_first >= {first} AND run_last <= {last}"
             rows = spark.sql(merged_sql(spark, table, only))
-            _write(rows.withColumns({"run_level": F.lit(level + 1), "run_first": F.lit(first).cast("long"), "run_last": F.lit(last).cast("long")}), table)
+            _write(rows.withColumns({"run_level": F.lit(level + 1), "run_first": F.lit(first).cast("long"), "run_last": F.lit(last).cast("long")}), table, _keys_of(spark, table))
             made += [(bucket, level + 1, first, last) for bucket in buckets]
     return made

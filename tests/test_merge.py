@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import merge as M
-from millrace.operators.relational import upsert
+from millrace.operators.relational import keyed_anti_join, upsert, write_bucketed
 
 SCHEMA = "id BIGINT, part STRING, v STRING"
 
@@ -93,3 +93,58 @@ def test_columns_go_by_name_and_must_be_the_same(spark, table):
 def test_an_empty_first_batch(spark, table):
     M.merge_batch(frame(spark, []), table, ["id"])
     assert M.merged(spark, table).collect() == [] and M.last_run(spark, table) is None
+
+
+def scanned(df):
+    """Rows that the file scans of a query gave out."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            plan.append(node.plan())
+        elif name.startswith("Scan parquet") and "v:" in str(node.schema().simpleString()).replace("v:string", "v:"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_a_few_keys_are_found_by_reading_few_row_groups(spark, table):
+    key = F.md5(F.col("id").cast("string")).alias("k")  # every run has keys of the whole range
+    spark.conf.set("parquet.block.size", str(64 << 10))
+    try:
+        for run in range(5):
+            part = spark.range(run * 50_000, (run + 1) * 50_000)
+            M.merge_batch(part.select(key, F.concat(key, F.lit("-v")).alias("v")), table, ["k"], buckets=2)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    wanted = spark.range(100_000, 150_000, 500).select(key)
+    found = M.lookup(spark, table, wanted)
+    assert rows(found) == rows(wanted.select("k", F.concat("k", F.lit("-v")))) and found.count() == 100
+    # The keys are in one run, where they lie in most row groups; the others have them in their ranges too.
+    assert scanned(found) < 60_000
+    M.merge_batch(wanted.limit(3).select("k", F.lit("new").alias("v")), table, ["k"])
+    assert M.lookup(spark, table, wanted).where("v = 'new'").count() == 3
+    assert M.lookup(spark, table, wanted, most=5).count() == 100  # by a join
+    assert M.lookup(spark, table, wanted.where("false")).count() == 0
+
+
+def test_a_bucketed_target_is_not_moved(spark):
+    name = f"silver.b{uuid.uuid4().hex[:8]}"
+    target = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("id"), F.col("id").alias("n"))
+    write_bucketed(target, name, ["id"], 6)
+    batch = spark.range(0, 5000, 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = keyed_anti_join(spark.table(name), batch, ["id"], buckets=6)
+        assert rows(found) == rows(keyed_anti_join(target, batch, ["id"]))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    target_side = plan[plan.index("Scan parquet") - 400 : plan.index("Scan parquet")] if "Scan parquet" in plan else plan
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2 and "SelectedBucketsCount: 6 out of 6" in plan
+    assert "Exchange hashpartitioning(id" not in target_side
