@@ -15,6 +15,7 @@ from millrace.llm.common import bounded_broadcast, stored, text_of
 # A mean above this is drawn as a sum of independent draws with smaller means.
 MEAN_PER_DRAW = 32
 DIGITS = 13  # hex digits of a hash, 52 bits, which a double holds exactly
+SOURCE_BYTES = 2048  # of a source's row, most of it the distribution function
 OWN = ("copy_no", "n_copies", "shuffle_key")
 
 
@@ -60,7 +61,12 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 0, by_text: bool = False
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    size: float = 1.0,
+    seed: int = 0,
+    by_text: bool = False,
+    own_columns: bool = True,
 ) -> DataFrame:
     """Copies of the documents in shuffled order, with copy_no, n_copies and shuffle_key.
 
@@ -68,13 +74,16 @@ def mix(
     alone: rows that repeat a doc_id of a source get equally many copies. A null doc_id or
     source is a value like others. With ``by_text`` different texts are drawn apart also where
     they share a doc_id or have none, by a hash of the text as well; a doc_id that stands for one
-    text is drawn as without, and equal texts of one doc_id, or without any, still share a draw. Input columns called like the three new ones are dropped.
+    text is drawn as without, and equal texts of one doc_id, or without any, still share a draw. Input columns called like the three new
+    ones are dropped; without ``own_columns`` there are no new ones, and all of the input's stay.
     A source with only empty texts has no size to mix by and gets no copies.
     """
-    docs = docs.drop(*OWN)
+    docs = docs.drop(*OWN) if own_columns else docs
     names = docs.columns
     rates = repetition_rates(docs, weights, size).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_PER_DRAW)).cast("int"))
-    rates = rates.select("mix_source", "draws", _cumulative(F.col("rate") / F.col("draws")).alias("steps"))
+    # A row per source, counted before it is broadcast: the documents aren't dealt out by source.
+    rates = stored(rates.select("mix_source", "draws", _cumulative(F.col("rate") / F.col("draws")).alias("steps")), "rates")
+    rates = bounded_broadcast(rates, rates.count(), SOURCE_BYTES)
     ident = F.coalesce(F.col("r.doc_id").cast("string"), F.lit("null"))
     extra = []
     if by_text:
@@ -97,4 +106,4 @@ def mix(
     rows = rows.select("r", *extra, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
     key = _hex(F.lit(f"{seed}/order"), ident, F.col("copy_no").cast("string"))
     rows = rows.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
-    return rows.select("r.*", *OWN)
+    return rows.select("r.*", *OWN) if own_columns else rows.select("r.*")

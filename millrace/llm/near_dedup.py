@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, stored, text_of
+from millrace.llm.exact_dedup import drop_repeated_rows
 from millrace.llm.words import GOLDEN, scramble, shingles, word_hashes
 
 # A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8 ** 5) ** 32, 3 in a million.
@@ -339,6 +340,10 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, with one document of each group; rows without doc_id stay."""
+    """The documents, all columns, with one document of each group, and one row of those with equal doc_id and text.
+
+    Rows without doc_id stay, one for each text.
+    """
+    docs = drop_repeated_rows(docs)
     dropped = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")

@@ -13,14 +13,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, text_of
@@ -34,7 +34,9 @@ BLOCK_IDS = 1024
 # Each length of a stretch as a sum of two shorter ones.
 STRETCHES = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (8, 2), 12: (8, 4), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
 
-FILE_SCHEMA = "doc_id BIGINT, part INT, n_tokens BIGINT, words BINARY, block_words ARRAY<INT>"
+FILE_SCHEMA = "doc_id BIGINT, part INT, row BIGINT, n_tokens BIGINT, words BINARY, block_words ARRAY<INT>"
+
+DIGEST_SCHEMA = "doc_id BIGINT, part INT, row BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -229,7 +231,7 @@ def _encoded(tokenizer: str, end_id: int):
     """Texts in order in; rows of a file out, with the number of the task as that of the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids, number = WordIds(tokenizer), TaskContext.get().partitionId()
+        word_ids, number, done = WordIds(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, end, _, _ in byte_slices(batch.column("text")):
                 part = batch.slice(first, end - first)
@@ -244,25 +246,34 @@ def _encoded(tokenizer: str, end_id: int):
                     [
                         part.column("doc_id"),
                         pa.array(np.full(part.num_rows, number, np.int32)),
+                        pa.array(np.arange(done, done + part.num_rows)),
                         pa.array(np.diff(offsets)),
                         pa.array([x for x, _ in rows], pa.binary()),
                         pa.array([x for _, x in rows], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "part", "n_tokens", "words", "block_words"],
+                    names=["doc_id", "part", "row", "n_tokens", "words", "block_words"],
                 )
+                done += part.num_rows
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Encode whole texts and write them in ascending order of doc_id; ``part`` numbers the files.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, order: Sequence[Column] | None = None) -> None:
+    """Encode whole texts and write them in order; ``part`` numbers the files and ``row`` the rows of one.
 
-    A null text has no ids but the end id; a null doc_id comes first; rows that repeat a
-    doc_id follow each other. An empty table gives files without rows.
+    The order is ascending by doc_id, or by some columns or expressions of ``docs``. A null text has
+    no ids but the end id; a null doc_id comes first; rows that repeat a doc_id follow each
+    other, in the order of a hash of the text. An empty table gives files without rows.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    in_order = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    keys = [docs["doc_id"].cast("long"), F.xxhash64(text_of(docs))] if order is None else order
+    names = [f"key_{k}" for k in range(len(keys))]
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        text_of(docs).alias("text"),
+        *[key.alias(name) for key, name in zip(keys, names, strict=True)],
+        F.monotonically_increasing_id().alias("tie"),  # equal rows may go to different tasks
+    )
+    in_order = rows.repartitionByRange(*names, "tie").sortWithinPartitions(*names, "tie").select("doc_id", "text")
     in_order.mapInArrow(_encoded(tokenizer, end_id), FILE_SCHEMA).write.parquet(path)
 
 
@@ -273,19 +284,19 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = ids.astype("<u4")
             sizes += np.diff(offsets).tolist()
             sums += [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        columns = [batch.column("doc_id"), batch.column("part"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
-        yield pa.record_batch(columns, names=["doc_id", "part", "n_tokens", "ids_crc32"])
+        columns = [*(batch.column(x) for x in ("doc_id", "part", "row")), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
+        yield pa.record_batch(columns, names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, all from the decoded files."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    rows = files.select("doc_id", "part", "words").mapInArrow(_digests, "doc_id BIGINT, part INT, n_tokens BIGINT, ids_crc32 BIGINT")
+    rows = files.select("doc_id", "part", "row", "words").mapInArrow(_digests, DIGEST_SCHEMA)
     # Parts are files, so their number, and the rows of one, are bounded by how the files were written.
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     start = (F.col("before") + F.col("inside")).alias("start")
     return rows.join(parts, "part").select("doc_id", start, "n_tokens", "ids_crc32")
@@ -303,9 +314,9 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id BIGINT, ids ARRAY<BIGINT>")
 
 
-def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write the files to the shared folder and read them back."""
+def token_digests(docs: DataFrame, tokenizer: str, end_id: int, order: Sequence[Column] | None = None) -> DataFrame:
+    """Write the files to the shared folder, in the order that ``write_token_files`` describes, and read them back."""
     spark = docs.sparkSession
     path = scratch_dir(spark, "tokens")
-    write_token_files(docs, path, tokenizer, end_id)
+    write_token_files(docs, path, tokenizer, end_id, order)
     return read_digests(spark, path)

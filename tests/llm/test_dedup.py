@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.exact_dedup import drop_copies, exact_groups
+from millrace.llm.exact_dedup import drop_copies, drop_repeated_rows, exact_groups
 from millrace.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from millrace.llm.near_dedup import band_keys, components, drop_near_duplicates, merged, near_duplicates, sketch
 from tests.llm import cases
@@ -36,11 +36,34 @@ def test_copies_are_dropped_and_columns_stay(spark):
     docs = cases.documents(spark)
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
-    texts = [r.text or "" for r in kept.collect() if r.doc_id is not None]
-    assert len(texts) == len(set(texts)) + 2  # three equal rows of one id are one document
+    texts = [r.text or "" for r in kept.collect()]
+    assert sorted(texts) == sorted({r[1] or "" for r in cases.rows()})  # one row each, also of rows that repeat an id
+    ids = {r.text: r.doc_id for r in kept.collect()}
+    assert ids["no id"] is None and ids[cases.prose(3)] == 3
     assert exact_groups(cases.empty(spark)).count() == 0
 
 
+def test_runs_are_cut_between_tasks_and_added_up(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        data = [cases.row(k, f"text {k % 3}") for k in range(200)] + [cases.row(None, "text 1")] * 5
+        got = Counter(map(tuple, exact_groups(cases.documents(spark, data)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = Counter(r[1] for r in data)
+    assert got == Counter((r[0], int(r[1][-1]), sizes[r[1]], r[0] == int(r[1][-1]), sha(r[1])) for r in data)
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = cases.documents(spark, cases.rows() * 2)
+    kept = drop_repeated_rows(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter({(r[0], r[1] or "") for r in cases.rows()})
+    single = docs.where("doc_id BETWEEN 10 AND 20").distinct()
+    assert sorted(map(tuple, drop_repeated_rows(single).collect())) == sorted(map(tuple, single.collect()))
+    assert drop_repeated_rows(cases.empty(spark)).collect() == []
+
+
 def lines_by_hand(data, min_docs, keep_first):
     keyed, found = {}, defaultdict(set)
     for doc_id, text, *_ in data:

@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from millrace.llm.mixing import mix, repetition_rates
 from millrace.llm.queries import MIX_SEED, MIX_SIZE, QUERIES
 from millrace.llm.sharding import kd_shards, write_shards
@@ -58,6 +60,32 @@ def test_files_hold_what_the_tokenizer_gives(spark, tmp_path):
     assert sums == Counter((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in expected)
 
 
+def test_rows_of_one_id_start_where_they_lie(spark, tmp_path):
+    data = [cases.row(7, cases.prose(k, 3 + k)) for k in range(8)] + [cases.row(1, "one"), cases.row(9, "nine")] + [cases.row(7, cases.prose(2, 5))] * 3
+    path = str(tmp_path / "tokens")
+    write_token_files(cases.documents(spark, data), path, TOKENIZER, 2)
+    digests = read_digests(spark, path).orderBy("start").collect()
+    lies = spark.read.parquet(path).orderBy("part", "row").select("doc_id", "n_tokens").collect()
+    assert [(r.doc_id, r.n_tokens) for r in digests] == [tuple(r) for r in lies]
+    assert [r.start for r in digests] == np.cumsum([0] + [r.n_tokens for r in lies[:-1]]).tolist()
+
+
+def test_files_follow_a_given_order(spark, tmp_path):
+    docs = cases.documents(spark, [cases.row(k, cases.prose(k, 5)) for k in range(30)])
+    path = str(tmp_path / "tokens")
+    write_token_files(docs, path, TOKENIZER, 2, order=[-docs["doc_id"]])
+    assert [r.doc_id for r in read_digests(spark, path).orderBy("start").collect()] == list(range(29, -1, -1))
+
+
+def test_mixing_keeps_columns_that_bear_its_names(spark):
+    docs = cases.documents(spark).withColumn("copy_no", F.lit(-9)).withColumn("shuffle_key", F.lit("mine"))
+    plain = mix(docs, size=2.0, seed=3, own_columns=False)
+    assert plain.columns == docs.columns
+    rows = plain.collect()
+    assert rows and {(r.copy_no, r.shuffle_key) for r in rows} == {(-9, "mine")}
+    assert len(rows) == mix(docs, size=2.0, seed=3).count()
+
+
 def test_no_documents_no_rows(spark, tmp_path):
     write_token_files(cases.empty(spark), str(tmp_path / "none"), TOKENIZER, 2)
     assert read_digests(spark, str(tmp_path / "none")).count() == 0
