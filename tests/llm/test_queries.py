@@ -61,7 +61,8 @@ def test_each_stage_takes_awkward_rows_and_keeps_their_columns(spark, tables, nu
     stage = corpus_pipeline.STAGES[number][1]
     kept = stage(spark, docs, sf_dir)
     assert kept.columns == docs.columns
-    before, after = ({(r.doc_id, r.text) for r in rows} for rows in (docs.collect(), found := kept.collect()))
+    found = kept.collect()
+    before, after = ({(r.doc_id, r.text) for r in rows} for rows in (docs.collect(), found))
     assert after <= before
     assert all(r[name] == f"my {name}" for r in found for name in docs.columns[-8:])
     assert stage(spark, docs.limit(0), sf_dir).collect() == []
