@@ -134,11 +134,26 @@ def _whole_number(text: Column) -> Column:
     return F.element_at(F.transform(F.array(found), value), 1)
 
 
+# The usual forms of a time: to the second or with a fraction, without an offset or with Z; and with another offset.
+PLAIN_TIME = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?"
+OFFSET = r"[+-](?:0\d|1[0-7]):[0-5]\d"
+
+
 def _utc_time(text: Column) -> Column:
     """A time as TIMESTAMP_NTZ in UTC; one without an offset is taken to be in UTC.
 
-    Nothing here depends on the session's time zone: instants go by their microseconds.
+    Nothing here depends on the session's time zone. Usual forms take one cast, which leaves
+    an offset out of account; others go by the microseconds of their instant.
     """
+    local, zero = text.try_cast("timestamp_ntz"), F.lit(0)
+    sign = F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1)
+    hours, minutes = (sign * F.substring(text, at, 2).try_cast("int") for at in (-5, -2))
+    usual = F.when(text.rlike(PLAIN_TIME + "Z?$"), local)
+    usual = usual.when(text.rlike(PLAIN_TIME + OFFSET + "$"), local - F.make_dt_interval(zero, hours, minutes, zero))
+    return usual.otherwise(_any_time(text))
+
+
+def _any_time(text: Column) -> Column:
     with_zone = F.coalesce(F.concat(text, F.lit("Z")).try_cast("timestamp"), text.try_cast("timestamp"))
     seconds = (F.unix_micros(with_zone).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     zero = F.lit(0)
