@@ -6,6 +6,7 @@ input, whatever their names, never meet the operator's own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -69,3 +70,11 @@ def byte_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         end = min(max(end, first + 1), len(column))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table made by an expression: no Python on the executors."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    fields = ", ".join(f"{part.split()[0]}: {part.split()[1]}" for part in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))

@@ -104,6 +104,25 @@ class Model:
             self.weights -= rate * (1 - step / (steps + 1)) * move
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone.
+
+    One half of each is told apart by a model; on the other half, the share of unlabelled rows with a
+    score above a cut, over that of positives, is the prior if no negative scores so high. The
+    cut is the one with the least ratio, margins for the numbers of rows included.
+    """
+    model = Model(np.concatenate([positive[::2], unlabelled[::2]]))
+    model.fit(positive[::2], unlabelled[::2], 0.5)
+    ours, others = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    if not len(ours) or not len(others):
+        return 1.0
+    cuts = np.unique(ours)
+    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
+    margin = sum(np.sqrt(np.log(40) / (2 * len(x))) for x in (ours, others))
+    best = np.argmin((above(others) + margin) / above(ours))
+    return float(np.clip(above(others)[best] / above(ours)[best], 0.01, 1))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning: a fifth of the ids, and rows without id."""
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -125,7 +144,8 @@ def _sampled(ids: DataFrame, rows: int, seed: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 10) -> Model | None:
     """Fit on about ``sample`` trusted positives and as many other documents, all outside the held-out fold.
 
-    The class prior is the share of positives among all labelled rows outside that fold.
+    The class prior is the share of positives among all labelled rows outside that fold; where
+    these are all positive, it is estimated from them and the other documents (``estimated_prior``).
     Labels that are null or neither 0 nor 1 are left out; an id labelled twice is trusted if
     all its labels are 1. Without positives or texts there is no model.
     """
@@ -150,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 10
     if not len(positive) or not len(unlabelled):
         return None
     model = Model(np.concatenate([positive, unlabelled]))
-    model.fit(positive, unlabelled, counts[1] / counts[0])
+    model.fit(positive, unlabelled, counts[1] / counts[0] if counts[1] < counts[0] else estimated_prior(positive, unlabelled))
     return model
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_broadcast, stored, text_of
+from millrace.llm.common import bounded_broadcast, literal_rows, stored, text_of
 from millrace.session import scratch_dir
 from millrace.storage import delete
 
@@ -51,7 +51,7 @@ def _coordinates(docs: DataFrame) -> list[Column]:
 DIMENSIONS = ("x0", "x1", "x2", "x3")
 
 
-def _rows(docs: DataFrame, shards: int) -> DataFrame:
+def _rows(docs: DataFrame, shards: int, group_share: float) -> DataFrame:
     """doc_id, size, text_crc32, coordinates and tie of every row; no texts.
 
     Rows of equal texts have the coordinates of the one with the least doc_id and the same
@@ -72,7 +72,7 @@ def _rows(docs: DataFrame, shards: int) -> DataFrame:
     )
     groups = stored(groups.where("copies > 1"), "copies")  # written, so that the join can split a large group
     rows = base.join(groups, ["content", "text_crc32", "size"], "left")
-    together = F.col("copies") * F.col("size") <= F.lit(total * GROUP_SHARE / shards)
+    together = F.col("copies") * F.col("size") <= F.lit(total * group_share / shards)
     tie = F.when(together, F.xxhash64("content", "size")).otherwise(F.xxhash64("content", "size", "doc_id"))
     moved = [F.when(together, F.col("least")[x]).otherwise(F.col(x)).alias(x) for x in DIMENSIONS]
     return rows.select("doc_id", "size", "text_crc32", *moved, F.pmod(tie, F.lit(1 << TIE_BITS)).alias("tie"))
@@ -92,7 +92,7 @@ def _cuts(rows: DataFrame, parts: dict[int, int]) -> dict[int, tuple[str, int]]:
     spark = rows.sparkSession
     left_bits = COORDINATE_BITS + TIE_BITS
     while left_bits and state:
-        table = spark.createDataFrame([(n, *s) for n, s in state.items()], "node INT, dimension STRING, prefix BIGINT, wanted DOUBLE")
+        table = literal_rows(spark, [(n, *s) for n, s in state.items()], "node INT, dimension STRING, prefix BIGINT, wanted DOUBLE")
         table = bounded_broadcast(table, len(state), 64)
         shift = left_bits - STEP_BITS
         keyed = rows.join(table, "node").withColumn("key", _key(F.col("dimension")))
@@ -120,26 +120,29 @@ def _key(dimension: Column) -> Column:
     return F.shiftleft(coordinate, TIE_BITS) + F.col("tie")
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+def kd_shards(
+    docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, group_share: float = GROUP_SHARE
+) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: every row of the input in one shard.
 
     Give the number of shards, or the bytes that a shard should have. Sizes are those of the
     texts in UTF-8 (null: none) plus 16 bytes a row, and shards differ by about the largest
     row or group of copies that a cut meets; with fewer rows than shards, some shards are
     empty. Slots number the rows of a shard without gaps. Null metadata is a value of its own.
-    Rows that repeat a doc_id and a text lie together.
+    Equal texts lie together, unless they fill more than ``group_share`` of a shard: then they are
+    dealt out by doc_id, and those of one doc_id lie together.
     """
     if shards is None:
         total = docs.agg(F.sum(F.octet_length(text_of(docs)) + ROW_BYTES)).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
     spark = docs.sparkSession
     path = scratch_dir(spark, "kd-level")
-    rows = stored(_rows(docs, shards).withColumn("node", F.lit(0)), "kd-level", path)
+    rows = stored(_rows(docs, shards, group_share).withColumn("node", F.lit(0)), "kd-level", path)
     parts = {0: shards}
     while any(k > 1 for k in parts.values()):
         cuts = _cuts(rows, parts)
         table = [(node, parts[node] // 2, *cut) for node, cut in cuts.items()]
-        table = spark.createDataFrame(table, "node INT, lower INT, dimension STRING, last BIGINT")
+        table = literal_rows(spark, table, "node INT, lower INT, dimension STRING, last BIGINT")
         above = F.coalesce((_key(F.col("dimension")) > F.col("last")).cast("int") * F.col("lower"), F.lit(0))
         moved = rows.join(bounded_broadcast(table, len(cuts), 64), "node", "left").withColumn("node", F.col("node") + above)
         older, path = path, scratch_dir(spark, "kd-level")
@@ -152,7 +155,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
 def _slots(rows: DataFrame) -> DataFrame:
     """Numbers the rows of each shard: blocks of a shard are counted, then numbered in parallel."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SLOT_BLOCKS)).cast("int"))
+    # Repeated rows go to different blocks.
+    spread = F.monotonically_increasing_id()
+    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", spread), F.lit(SLOT_BLOCKS)).cast("int")), "blocks")
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

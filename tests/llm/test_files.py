@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from millrace.llm.common import literal_rows
 from millrace.llm.mixing import mix, repetition_rates
 from millrace.llm.queries import MIX_SEED, MIX_SIZE, QUERIES
 from millrace.llm.sharding import kd_shards, write_shards
@@ -193,3 +194,10 @@ def test_rates_meet_the_weights(spark):
     mixed = mix(docs, {"big": 1.0, "small": 3.0}, seed=1).groupBy("source").sum("n_chars").collect()
     sums = {r.source: r[1] for r in mixed}
     assert abs(sums["small"] / sum(sums.values()) - 0.75) < 0.03
+
+
+def test_no_python_rows_in_the_plan_of_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = kd_shards(docs, shards=5)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan
+    assert literal_rows(spark, [(1, "a", 2**60, 0.1)], "n INT, s STRING, b BIGINT, d DOUBLE").collect() == [(1, "a", 2**60, 0.1)]

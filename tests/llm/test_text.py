@@ -9,13 +9,14 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import secret_scan
 from millrace.llm.decontam import contamination, drop_contaminated, near_phrases
 from millrace.llm.lm_scores import lm_scores, pack_sorted, sorted_runs, unpack_sorted
-from millrace.llm.quality import drop_rejected, fit, quality_scores
+from millrace.llm.quality import drop_rejected, estimated_prior, fit, quality_scores
 from millrace.llm.queries import QUERIES
 from millrace.llm.secret_scan import scan_secrets
 from tests.llm import cases
@@ -195,6 +196,24 @@ def test_classifier_tells_held_out_documents_apart(spark):
     assert kept.count() == sum(r.predicted for r in rows)
 
 
+def test_positive_labels_alone_are_enough(spark):
+    data, labels = labelled()
+    docs = cases.documents(spark, data)
+    only = spark.createDataFrame([x for x in labels if x[1]], "doc_id BIGINT, quality INT, toxic INT")
+    model = fit(docs, only, sample=400)
+    truth = {k: q for k, q, _ in labels}
+    rows = [r for r in quality_scores(docs, model, threshold=0.5).collect() if r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) > 0.95
+
+
+def test_the_prior_is_estimated_from_positives_and_unlabelled():
+    draw = np.random.default_rng(3)
+    for share in (0.3, 0.7, 0.95):
+        positive = draw.normal(1.5, 1, (1500, 4))
+        mixed = np.where(draw.random((3000, 1)) < share, draw.normal(1.5, 1, (3000, 4)), draw.normal(-1.5, 1, (3000, 4)))
+        assert abs(estimated_prior(positive, mixed) - share) < 0.1
+
+
 def test_held_out_labels_change_no_score(spark):
     data, labels = labelled()
     docs = cases.documents(spark, data)
