@@ -30,6 +30,7 @@ from millrace.streaming.landing import land, with_topic
 from millrace.streaming.pipeline import Feed, run_continuous, run_once
 
 KEYS = ["id"]
+PRODUCERS = 8
 # The feed arrives in two parts: what happened before this time, and the rest.
 SECOND_START = "timestamp_ntz'2024-01-16 00:00:00'"
 FIRST_PART, SECOND_PART = f"ts < {SECOND_START}", f"ts >= {SECOND_START}"
@@ -51,7 +52,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.frames(table(spark, sf_dir, "events"))
+    """The feed, from at least so many producers as one would have: one file of events is one task otherwise."""
+    events = table(spark, sf_dir, "events")
+    return feed.frames(events.repartition(max(PRODUCERS, events.rdd.getNumPartitions())))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ class Pipeline:
         self.source_options = {"splittable": splittable, **source_options}
         self.last_export: float | None = None
         self.results: dict[str, DataFrame] = {}
-        # Whether anything was loaded since the models last ran.
-        self.pending = False
+        # Topics that were loaded since the models last ran.
+        self.pending: set[str] = set()
         self.first = True
 
     def _loader(self, feed: Feed, checkpoint: str) -> Callable[[DataFrame, int], None]:
@@ -130,7 +130,7 @@ class Pipeline:
             bronze = session.table(bronze_table(name)).where(F.col("load_id") == load_id)
             rows = feed.project(without_load(bronze))
             append_load(rows.sortWithinPartitions(*feed.sort_by) if feed.sort_by else rows, feed.silver_table, load_id, self.root)
-            self.pending = True
+            self.pending.add(name)
 
         return load
 
@@ -147,7 +147,10 @@ class Pipeline:
             query.awaitTermination()
 
     def transform(self) -> None:
-        """Run all models once, if anything was loaded since they last ran, or this is the first cycle.
+        """Run the models that a load has reached since they last ran, or all if this is the first cycle.
+
+        A model is reached if it needs a topic that was loaded, or a model that is reached; the others
+        stay as they are.
 
         Each incremental or partial model gets the rows of the loads that it hasn't taken in: when a
         model fails or the driver ends, the next run of any pipeline feeds them, and a new model
@@ -157,6 +160,8 @@ class Pipeline:
             return
         self._create_absent()
         inputs, stored, loads = {}, {}, self._marks()
+        reached = {feed.topic.name for feed in self.feeds} if self.first else set(self.pending)
+        due = self._due(reached)
         for feed in self.feeds:
             name = feed.topic.name
             self.spark.catalog.refreshTable(feed.silver_table)
@@ -165,15 +170,30 @@ class Pipeline:
             stored |= {name: feed.silver_table, f"{name}_raw": bronze_table(name)}
         for layer in ("silver", "gold"):
             ensure_layer(self.spark, layer, self.root)
-        self.results = run_models(
+        for model in self.models:
+            if model not in due:
+                inputs[model.name] = self.results[model.full_name]
+                if self.spark.catalog.tableExists(storage.quoted(model.full_name)):
+                    stored[model.name] = storage.quoted(model.full_name)
+        self.results |= run_models(
             self.spark,
-            self.models,
+            due,
             inputs,
             root=self.root,
             stored=stored,
             fresh=lambda model: self._intake(model, loads),
         )
-        self.pending = self.first = False
+        self.pending -= reached
+        self.first = False
+
+    def _due(self, topics: set[str]) -> list[Model]:
+        """The models that need some topics, in any number of steps."""
+        names = {name for topic in topics for name in (topic, f"{topic}_raw")}
+        due: list[Model] = []
+        while more := [m for m in self.models if m not in due and (m.full_name not in self.results or names & set(m.needs))]:
+            due += more
+            names |= {model.name for model in more}
+        return due
 
     def _known(self) -> list[Feed]:
         return [feed for feed in self.feeds if self.spark.catalog.tableExists(feed.silver_table)]

@@ -183,3 +183,38 @@ def test_a_topic_without_a_file_is_empty(spark, tmp_path, topic):
     put(tmp_path / "none", "1.bin", FRAMES[:5])
     assert rows(run_once(spark, feeds, str(tmp_path / "c"), models=models).results[model.full_name]) == [(24, 5, 5)]
     same_as_batch(spark, idle)
+
+
+def test_only_models_that_a_load_reaches_are_run(spark, tmp_path, topic):
+    other = Topic(topic.name + "_b")
+    feeds = [Feed(topic, str(tmp_path / "a")), Feed(other, str(tmp_path / "b"))]
+    ran = []
+
+    def counted(name):
+        def build(*frames):
+            ran.append(name)
+            return frames[0].groupBy("type").count()
+
+        return build
+
+    models = [Model(f"{t.name}_n", "gold", counted(t.name), (t.name,), "table") for t in (topic, other)]
+    models.append(Model(f"{topic.name}_top", "gold", lambda n: ran.append("top") or n, (f"{topic.name}_n",), "table"))
+    models.append(Model(f"{other.name}_raws", "gold", f"SELECT count(*) AS n FROM {{{other.name}_raw}}", materialized="table"))
+    place = lambda model: spark.sql(f"DESCRIBE TABLE EXTENDED {model.full_name}").where("col_name = 'Location'").first()["data_type"]
+    put(tmp_path / "a", "1.bin", FRAMES[:6])
+    put(tmp_path / "b", "1.bin", FRAMES[:6])
+    pipeline = Pipeline(spark, feeds, str(tmp_path / "c"), models=models)
+    pipeline.cycle()
+    assert sorted(ran) == sorted([topic.name, other.name, "top"])
+    before = [place(model) for model in models]
+    put(tmp_path / "a", "2.bin", FRAMES[6:])
+    pipeline.cycle()
+    assert ran[3:] == [topic.name, "top"]
+    assert [a == b for a, b in zip(before, map(place, models), strict=True)] == [False, True, False, True]
+    assert pipeline.results[models[0].full_name].agg(F.sum("count")).first()[0] == 24
+    pipeline.cycle()  # idle
+    assert len(ran) == 5
+    put(tmp_path / "b", "2.bin", FRAMES[6:8])
+    pipeline.cycle()
+    assert ran[5:] == [other.name]
+    assert [r["n"] for r in spark.table(models[3].full_name).collect()] == [8]
