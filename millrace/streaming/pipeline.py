@@ -112,6 +112,8 @@ class Pipeline:
         # Topics that were loaded since the models last ran.
         self.pending: set[str] = set()
         self.first = True
+        # Events seen in the last cycle, by topic.
+        self.loaded: dict[str, int] = {}
 
     def _loader(self, feed: Feed, checkpoint: str) -> Callable[[DataFrame, int], None]:
         session, name = self.spark, feed.topic.name
@@ -120,6 +122,7 @@ class Pipeline:
             load_id = f"{stream_id(session, checkpoint)}-{batch_id:012d}"
             counts = load_frames(batch, feed.topic, load_id, self.root)
             self.report(name, counts)
+            self.loaded[name] += counts["seen"]
             if counts["seen"] == 0:
                 return
             # From here on the work reads the load just written, so it depends on the batch
@@ -141,10 +144,12 @@ class Pipeline:
         return writer.queryName(f"load {feed.topic.name}").trigger(availableNow=True).start()
 
     def load(self) -> None:
-        """Load what has arrived for every topic; the topics' streams run side by side."""
+        """Load what has arrived for every topic, and report the total; the topics' streams run side by side."""
+        self.loaded = {feed.topic.name: 0 for feed in self.feeds}
         queries = [self._start(feed) for feed in self.feeds]
         for query in queries:
             query.awaitTermination()
+        logger.info("%s events of %s topics in this cycle", sum(self.loaded.values()), len(self.feeds))
 
     def transform(self) -> None:
         """Run the models that a load has reached since they last ran, or all if this is the first cycle.

@@ -180,8 +180,10 @@ def test_a_topic_without_a_file_is_empty(spark, tmp_path, topic):
     models = [model, *change_models(idle.name, partial=True)]
     assert rows(run_once(spark, feeds, str(tmp_path / "c"), models=models).results[model.full_name]) == [(24, 0, 0)]
     assert spark.table(reports(idle)[0]).count() == 0
-    put(tmp_path / "none", "1.bin", FRAMES[:5])
-    assert rows(run_once(spark, feeds, str(tmp_path / "c"), models=models).results[model.full_name]) == [(24, 5, 5)]
+    put(tmp_path / "none", "1.bin", [*FRAMES[:5], "data: {cut\n\n"])
+    pipeline = run_once(spark, feeds, str(tmp_path / "c"), models=models)
+    assert rows(pipeline.results[model.full_name]) == [(24, 5, 5)]
+    assert pipeline.loaded == {topic.name: 0, idle.name: 6} and sum(pipeline.loaded.values()) == 6
     same_as_batch(spark, idle)
 
 
