@@ -213,10 +213,14 @@ def _refresh(
         text = partials.totals_sql(spark, table, model.unique_key, model.order_by)
     elif model.materialized == "incremental":
         table = keyed_table(model)
+        taken = False
         for run, rows in [(None, {})] if intake is None else intake:
             merge.merge_batch(_built(spark, model, {**inputs, **rows}), table, model.unique_key, model.bucket, root=root, run=run)
-        if not spark.catalog.tableExists(table):
-            merge.merge_batch(_built(spark, model, inputs).limit(0), table, model.unique_key, model.bucket, root=root)
+            taken = True
+        if not taken:
+            # Over no rows: the table is there, and a model whose columns have changed fails at once.
+            none = _built(spark, model, {**inputs, **{name: inputs[name].limit(0) for name in model.needs}})
+            merge.merge_batch(none, table, model.unique_key, model.bucket, root=root)
         columns = ", ".join(storage.quoted(name) for name in spark.table(table).columns if name not in merge.LAYOUT_COLUMNS)
         text = f"SELECT {columns} FROM ({merge.merged_sql(spark, table)})"
     else:

@@ -248,6 +248,16 @@ class Pipeline:
             state = Taken(state.run + 1, {**state.marks, **state.begun})
             note(self.spark, model, state, self.root)
 
+    def _behind(self, model: Model, loads: dict[str, Marks]) -> bool:
+        """Whether there are loads that a model hasn't taken in."""
+        mine = {name: marks for name, marks in loads.items() if name in model.needs}
+        if model.materialized == "partial":
+            have = partials.runs_of(self.spark, partial_sums_table(model))
+            done = {run.stream: max(r.last for r in have if r.stream == run.stream) for run in have}
+            return any(later(marks, done) for marks in mine.values())
+        state = taken(self.spark, model)
+        return state.begun is not None or any(later(marks, state.marks.get(name, {})) for name, marks in mine.items())
+
     def export(self) -> dict[str, str]:
         """Write every report: what the gold layer stores, and this pipeline's other gold relations."""
         if not self.csv_dir:
@@ -270,7 +280,8 @@ class Pipeline:
         Compact with the pipeline that has them: a day merged by another is fed to them again.
         """
         own = [model for model in self.models if model.materialized in ("incremental", "partial")]
-        if own:
+        loads = self._marks()
+        if any(self._behind(model, loads) for model in own):
             self.first = True
             self.transform()
         closed = (before - EPOCH).days - 1
