@@ -13,8 +13,9 @@ from millrace.operators.bronze import (
 )
 from millrace.operators.incremental import append_load, upsert_table
 from millrace.operators.layout import compact_days
+from millrace.operators.merge import lookup, merge_batch, merged
 from millrace.operators.quality import quality_counts, require_keys, valid_json
-from millrace.operators.relational import keyed_anti_join, sort_nulls_last, union_all, upsert
+from millrace.operators.relational import keyed_anti_join, sort_nulls_last, union_all, upsert, write_bucketed
 from millrace.operators.sse import parse_sse, split_valid_utf8
 from millrace.plans.gold import gold_human_vs_bot, gold_logs_per_domain_and_min
 from millrace.plans.runner import CHANGE_MODELS, Model, ModelRunError, change_models, run_models, sql_model
@@ -30,7 +31,7 @@ from millrace.plans.silver import (
 from millrace.session import build_session, configure
 from millrace.sinks.csv_export import export_csv, export_layer
 from millrace.sources.frames import new_frames, read_frames
-from millrace.streaming.counts import stream_minute_counts, write_minute_counts
+from millrace.streaming.counts import add_minute_counts, minute_counts, stream_minute_counts, write_minute_counts
 from millrace.streaming.landing import land, with_topic
 from millrace.streaming.pipeline import Feed, Pipeline, load_frames, run_continuous, run_once
 
@@ -41,6 +42,7 @@ __all__ = [
     "ModelRunError",
     "Pipeline",
     "Topic",
+    "add_minute_counts",
     "append_bronze",
     "append_load",
     "build_session",
@@ -61,6 +63,10 @@ __all__ = [
     "load_all",
     "load_events",
     "load_frames",
+    "lookup",
+    "merge_batch",
+    "merged",
+    "minute_counts",
     "new_frames",
     "parse_sse",
     "project_events",
@@ -86,5 +92,6 @@ __all__ = [
     "upsert_table",
     "valid_json",
     "with_topic",
+    "write_bucketed",
     "write_minute_counts",
 ]
