@@ -15,7 +15,7 @@ import pytest
 
 from millrace.llm import secret_scan
 from millrace.llm.decontam import contamination, drop_contaminated, near_phrases
-from millrace.llm.lm_scores import lm_scores, pack_sorted, sorted_runs, unpack_sorted
+from millrace.llm.lm_scores import corpus_totals, lm_scores, pack_sorted, sorted_runs, unpack_sorted
 from millrace.llm.quality import drop_rejected, estimated_prior, fit, quality_scores
 from millrace.llm.queries import QUERIES
 from millrace.llm.secret_scan import scan_secrets
@@ -336,6 +336,58 @@ def test_registered_scores_see_more_than_one_word_of_context(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_seen, round(r.log_score, 4)) for r in got) == scores_by_hand(data, 3, True)
 
 
+def test_a_block_is_scored_in_a_few_times_the_memory_of_its_n_grams():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.llm import lm_scores as m
+
+    rng, n_docs, n_words = np.random.default_rng(3), 1000, 2000
+    texts = [" ".join(x) for x in rng.integers(0, 5000, (n_docs, n_words)).astype(str)]
+    n_grams, ids = n_docs * (3 * n_words - 3), pa.array(range(n_docs), pa.int64())
+    rows = pa.table({"doc_id": ids, "content": ids, "text": texts, "block": pa.array([0] * n_docs, pa.int64())})
+    bits = 4
+    steps = (
+        lambda x: m._cells(3, bits)(rows),
+        lambda x: pa.concat_tables([m._totals(bits)(x.slice(k, 1)) for k in range(len(x))]),
+        lambda x: m._scored(3, n_docs * n_words, False, bits)(rows, x),
+    )
+    found = None
+    for step in steps:
+        tracemalloc.start()
+        found = step(found)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * n_grams
+    assert sum(found.column("n_tokens").to_pylist()) == n_docs * n_words
+    assert all(found.column("n_seen").to_numpy() == n_words - 2)
+
+
+def test_texts_of_short_words_make_more_blocks(spark, monkeypatch):
+    from millrace.llm import lm_scores as m
+
+    seen = []
+
+    def totals(cells, blocks, *rest):
+        seen.append(blocks)
+        return corpus_totals(cells, blocks, *rest)
+
+    monkeypatch.setattr(m, "BLOCK_GRAMS", 1000)
+    monkeypatch.setattr(m, "corpus_totals", totals)
+    data = [cases.row(k, "a b " * 100) for k in range(10)]
+    got = lm_scores(cases.documents(spark, data), 3).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_seen, round(r.log_score, 4)) for r in got) == scores_by_hand(data, 3, True)
+    assert seen == [6]
+
+
+def test_blocks_of_empty_documents_are_scored(spark):
+    data = [cases.row(0, "a b c " * 20)] + [cases.row(k, None if k % 2 else "") for k in range(1, 20)]
+    got = lm_scores(cases.documents(spark, data), 3, block_bytes=10).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_seen, round(r.log_score, 4)) for r in got) == scores_by_hand(data, 3, True)
+
+
 def test_no_documents_no_scores(spark):
     assert lm_scores(cases.empty(spark)).count() == 0
 
